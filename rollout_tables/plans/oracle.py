@@ -389,7 +389,7 @@ masked AS (SELECT *, list_transform(ids, lambda x, i: CASE WHEN answer_start IS
 
 def _reward_of(category: str, **kw) -> str:
     return (with_(RECORDS, PROMPTS, EVALS, ROLLOUTS, RESOLVED, _scored(**kw))
-            + f"SELECT rollout_id, prompt_id, json_state, position_found, round(reward_raw, 6) AS reward_raw "
+            + f"SELECT rollout_id, prompt_id, json_state, position_found, (round(reward_raw, 6) + 0.0) AS reward_raw "
               f"FROM scored WHERE category = {lit(category)}")
 
 
@@ -400,7 +400,7 @@ ORACLE = {
     "split_4way_assign": with_(_split_sql("documents", SPLITS_4WAY)) + "SELECT doc_id, split_rank, split FROM assigned",
     "split_size_report": with_(_split_sql("labels", SPLITS_3WAY)) + f"""
 SELECT split, {_split_order(SPLITS_3WAY)} AS split_order, count(*) AS n,
-       round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM assigned GROUP BY split""",
+       (round(count(*) * 100.0 / sum(count(*)) OVER (), 6) + 0.0) AS pct FROM assigned GROUP BY split""",
     "split_resolve": with_(_split_sql("documents", SPLITS_4WAY)) + """
 SELECT doc_id, split, CASE split WHEN 'sft_train' THEN 'train' ELSE 'eval' END AS use
 FROM assigned WHERE split IN ('sft_train', 'sft_val')""",
@@ -435,10 +435,10 @@ FROM masked""",
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE n_ids > {fx.TOKEN_ROW_LENGTH}) AS n_truncated,
        count(*) FILTER (WHERE answer_start IS NULL) AS n_without_answer,
        CAST(sum(len(list_filter(labels, lambda x: x <> -100))) AS BIGINT) AS trained_tokens,
-       round(avg(len(list_filter(labels, lambda x: x <> -100))), 6) AS mean_trained_tokens
+       (round(avg(len(list_filter(labels, lambda x: x <> -100))), 6) + 0.0) AS mean_trained_tokens
 FROM masked""",
     "completion_parse": with_(ROLLOUTS, parsed("rollouts")) + """
-SELECT rollout_id, json_state, pred_move, pred_advantage, pred_score, round(think_tokens, 6) AS think_tokens FROM parsed""",
+SELECT rollout_id, json_state, pred_move, pred_advantage, pred_score, (round(think_tokens, 6) + 0.0) AS think_tokens FROM parsed""",
     "completion_lists": with_(ROLLOUTS, parsed("rollouts")) + """
 SELECT rollout_id, json_state, array_to_string(pred_missing, '|') AS pred_missing, len(pred_missing)::BIGINT AS n_missing,
        array_to_string(pred_fens, '|') AS pred_fens, len(pred_fens)::BIGINT AS n_fens FROM parsed""",
@@ -468,27 +468,27 @@ WHERE f NOT IN (SELECT fen FROM evals)""",
     "reward_sort_fens": _reward_of("SORT_FENS"),
     "reward_linear": _reward_of("FIND_NEXT_BEST_MOVE", scaling="linear"),
     "reward_all": ALL + """
-SELECT rollout_id, category, json_state, round(reward_raw, 6) AS reward_raw, round(think_tokens, 6) AS think_tokens,
-       round(penalty, 6) AS penalty, round(reward, 6) AS reward FROM scored""",
+SELECT rollout_id, category, json_state, (round(reward_raw, 6) + 0.0) AS reward_raw, (round(think_tokens, 6) + 0.0) AS think_tokens,
+       (round(penalty, 6) + 0.0) AS penalty, (round(reward, 6) + 0.0) AS reward FROM scored""",
     "reward_weighted": ALL.rstrip() + ",\nweights(category, weight) AS (VALUES " + ", ".join(
         f"({lit(c)}, {w})" for c, w in CATEGORY_WEIGHTS) + """)
-SELECT s.category, count(*) AS n, round(avg(reward), 6) AS mean_reward,
-       round(sum(coalesce(w.weight, 1.0) * reward) / sum(coalesce(w.weight, 1.0)), 6) AS weighted_mean_reward
+SELECT s.category, count(*) AS n, (round(avg(reward), 6) + 0.0) AS mean_reward,
+       (round(sum(coalesce(w.weight, 1.0) * reward) / sum(coalesce(w.weight, 1.0)), 6) + 0.0) AS weighted_mean_reward
 FROM scored s LEFT JOIN weights w ON w.category = s.category GROUP BY ROLLUP (s.category)""",
     "group_advantage": ALL + """
 , g AS (SELECT prompt_id, avg(reward) AS group_mean, stddev_samp(reward) AS group_std, count(*) AS group_size
        FROM scored GROUP BY prompt_id)
-SELECT s.rollout_id, s.prompt_id, round(s.reward, 6) AS reward, round(g.group_mean, 6) AS group_mean,
-       round(g.group_std, 6) AS group_std, g.group_size,
-       round(CASE WHEN g.group_size > 1 THEN (s.reward - g.group_mean) / (g.group_std + 0.0001) ELSE 0.0 END, 6) AS advantage
+SELECT s.rollout_id, s.prompt_id, (round(s.reward, 6) + 0.0) AS reward, (round(g.group_mean, 6) + 0.0) AS group_mean,
+       (round(g.group_std, 6) + 0.0) AS group_std, g.group_size,
+       (round(CASE WHEN g.group_size > 1 THEN (s.reward - g.group_mean) / (g.group_std + 0.0001) ELSE 0.0 END, 6) + 0.0) AS advantage
 FROM scored s JOIN g ON g.prompt_id = s.prompt_id""",
     "reward_by_interval": ALL + """
-SELECT CAST(floor(step / 10) * 10 AS BIGINT) AS interval_start, count(*) AS n, round(avg(reward), 6) AS reward,
-       round(stddev_samp(reward), 6) AS reward_std FROM scored GROUP BY 1""",
+SELECT CAST(floor(step / 10) * 10 AS BIGINT) AS interval_start, count(*) AS n, (round(avg(reward), 6) + 0.0) AS reward,
+       (round(stddev_samp(reward), 6) + 0.0) AS reward_std FROM scored GROUP BY 1""",
     "reward_trend": ALL + """
 , per AS (SELECT CAST(floor(step / 100) * 100 AS BIGINT) AS interval_start, avg(reward) AS mean_reward FROM scored GROUP BY 1)
-SELECT interval_start, round(mean_reward, 6) AS mean_reward,
-       round((mean_reward - lag(mean_reward) OVER (ORDER BY interval_start)) * 10.0, 6) AS gain_per_1000_steps,
+SELECT interval_start, (round(mean_reward, 6) + 0.0) AS mean_reward,
+       (round((mean_reward - lag(mean_reward) OVER (ORDER BY interval_start)) * 10.0, 6) + 0.0) AS gain_per_1000_steps,
        (mean_reward - lag(mean_reward) OVER (ORDER BY interval_start)) * 10.0 >= 0.1 AS meets_target
 FROM per""",
     "completion_lengths": with_(ROLLOUTS) + """
@@ -498,16 +498,16 @@ hc AS (SELECT chars, sum(cnt) OVER (ORDER BY chars ROWS BETWEEN UNBOUNDED PRECED
               sum(cnt) OVER () AS n FROM h),
 q AS (SELECT min(CASE WHEN cum >= ceil(n * 0.5) THEN chars END) / 4.0 AS p50_tokens,
              min(CASE WHEN cum >= ceil(n * 0.9) THEN chars END) / 4.0 AS p90_tokens FROM hc)
-SELECT count(*) AS n, round(min(chars) / 4.0, 6) AS min_tokens, round(avg(chars / 4.0), 6) AS mean_tokens,
-       round(max(chars) / 4.0, 6) AS max_tokens,
+SELECT count(*) AS n, (round(min(chars) / 4.0, 6) + 0.0) AS min_tokens, (round(avg(chars / 4.0), 6) + 0.0) AS mean_tokens,
+       (round(max(chars) / 4.0, 6) + 0.0) AS max_tokens,
        count(*) FILTER (WHERE chars / 4.0 >= 20 AND chars / 4.0 <= 60) AS n_in_target,
        count(*) FILTER (WHERE chars / 4.0 >= 256) AS n_at_cap,
-       round(any_value(q.p50_tokens), 6) AS p50_tokens, round(any_value(q.p90_tokens), 6) AS p90_tokens
+       (round(any_value(q.p50_tokens), 6) + 0.0) AS p50_tokens, (round(any_value(q.p90_tokens), 6) + 0.0) AS p90_tokens
 FROM c, q""",
     "reward_by_category": ALL + """
-SELECT category, count(*) AS n, round(avg(reward), 6) AS mean_reward, round(stddev_samp(reward), 6) AS reward_std,
-       round(min(reward), 6) AS min_reward, round(max(reward), 6) AS max_reward,
-       round(avg(reward_raw), 6) AS mean_reward_raw, count(*) FILTER (WHERE penalty > 0) AS n_penalised,
+SELECT category, count(*) AS n, (round(avg(reward), 6) + 0.0) AS mean_reward, (round(stddev_samp(reward), 6) + 0.0) AS reward_std,
+       (round(min(reward), 6) + 0.0) AS min_reward, (round(max(reward), 6) + 0.0) AS max_reward,
+       (round(avg(reward_raw), 6) + 0.0) AS mean_reward_raw, count(*) FILTER (WHERE penalty > 0) AS n_penalised,
        count(*) FILTER (WHERE json_state = 'object') AS n_json
 FROM scored GROUP BY ROLLUP (category)""",
     "completion_sample": with_(ROLLOUTS) + """
