@@ -20,38 +20,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollout_tables.fixed_values import (
-    CHARS_PER_TOKEN, JSON_OBJECT_PATTERN, MOVE_KEYS, THINK_PATTERN, UCI_MOVE_PATTERN,
-)
-from rollout_tables.functions.text import (
-    json_has_key, json_lookup, py_strip, strip_chars, variant_as_py_str, variant_type,
+    CHARS_PER_TOKEN, JSON_OBJECT_PATTERN, MOVE_KEYS, THINK_CLOSE, THINK_OPEN, UCI_MOVE_PATTERN,
 )
+from rollout_tables.functions.text import py_strip, strip_chars, variant_as_py_str, variant_type
 
 # a whole text that Python's json.loads reads as an array or a scalar
 NON_OBJECT_JSON = (r"(?s)^[ \t\n\r]*(\[.*\]|\".*\"|-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?"
                    r"|true|false|null|NaN|-?Infinity)[ \t\n\r]*$")
 
 
-def _all_of(*words):
-    def pred(key):
-        cond = None
-        for w in words:
-            c = key.contains(w)
-            cond = c if cond is None else (cond & c)
-        return cond
-    return pred
+SEP = "\u0001"  # joins the lower-cased keys of one object into one string
+_ITEM = f"[^{SEP}]*"
+
 
+def _exactly(word: str) -> str:
+    return f"(?:^|{SEP})({word})(?:{SEP}|$)"
 
-def _exactly(word):
-    return lambda key: key == F.lit(word)
 
+def _contains(*words: str) -> str:
+    if len(words) == 1:
+        return f"(?:^|{SEP})({_ITEM}{words[0]}{_ITEM})"
+    a, b = words
+    return f"(?:^|{SEP})({_ITEM}(?:{a}{_ITEM}{b}|{b}{_ITEM}{a}){_ITEM})"
 
-# key predicates on the lower-cased key, by label
+
+# first key (in object order) matching each rule, as a regex over the keys
 KEY_RULES = {f"move{i}": _exactly(k) for i, k in enumerate(MOVE_KEYS)}
 KEY_RULES.update({
-    "adv": _all_of("advantage", "most"),
-    "score": _all_of("score"),
-    "missing": _all_of("missing", "move"),
-    "fens": _all_of("sorted", "fen"),
+    "adv": _contains("advantage", "most"),
+    "score": _contains("score"),
+    "missing": _contains("missing", "move"),
+    "fens": _contains("sorted", "fen"),
 })
 
 
@@ -61,8 +60,15 @@ def repaired(text: Column) -> Column:
 
 
 def think_tokens(completion: Column) -> Column:
-    """Approximate token count of the reasoning block (characters / 4)."""
-    return F.length(F.regexp_extract(completion, THINK_PATTERN, 1)) / F.lit(CHARS_PER_TOKEN)
+    """Approximate token count of the reasoning block (characters / 4):
+    the text between the first ``<|im_start|>assistant\n<think>\n`` and the
+    next ``\n</think>`` (what the lazy pattern ``THINK_PATTERN`` captures),
+    found with ``locate`` instead of a regex scan."""
+    start = F.locate(THINK_OPEN, completion)
+    body = start + F.lit(len(THINK_OPEN))
+    end = F.call_function("locate", F.lit(THINK_CLOSE), completion, body)
+    chars = F.when((start > 0) & (end > 0), end - body).otherwise(F.lit(0))
+    return chars / F.lit(CHARS_PER_TOKEN)
 
 
 def completion_text(c: Column, data_type=None) -> Column:
@@ -95,22 +101,32 @@ def stage_state(df: DataFrame, c: str) -> DataFrame:
 
 
 def stage_lookups(df: DataFrame) -> DataFrame:
-    """One key search per rule: ``_k_<rule>`` (key present) and ``_v_<rule>``
-    (its value as a variant)."""
+    """One key search per rule, without higher-order functions: the
+    lower-cased keys are joined into one string, a regex finds the first key
+    matching the rule, ``array_position`` gives its place and so the original
+    key. ``_v_<rule>`` is its value (a variant; SQL null when the key is
+    absent, a variant null for a JSON null). Repeated keys read their last
+    value, as a Python dict does."""
     obj = F.col("_obj")
+    df = df.withColumns({"_keys": F.map_keys(obj), "_dups": F.size(F.array_distinct(F.map_keys(obj))) < F.size(obj)})
+    df = df.withColumn("_lkeys", F.split(F.lower(F.array_join("_keys", SEP)), SEP, -1))
+    joined = F.array_join("_lkeys", SEP)
     cols = {}
-    for name, pred in KEY_RULES.items():
-        cols[f"_k_{name}"] = json_has_key(obj, pred)
-        cols[f"_v_{name}"] = json_lookup(obj, pred)
-    return df.withColumns(cols)
+    for name, pattern in KEY_RULES.items():
+        found = F.regexp_extract(joined, pattern, 1)
+        idx = F.when(found != "", F.array_position("_lkeys", found))
+        key = F.get(F.col("_keys"), (idx - 1).cast("int"))
+        last_of_key = F.try_element_at(F.filter(F.map_entries(obj), lambda e: e["key"] == key), F.lit(-1))["value"]
+        cols[f"_v_{name}"] = F.when(F.col("_dups"), last_of_key).otherwise(F.try_element_at(obj, key))
+    return df.withColumns(cols).drop("_keys", "_lkeys", "_dups")
 
 
 def stage_values(df: DataFrame) -> DataFrame:
     """Python ``str()`` of each value and the JSON type of list values."""
     cols = {}
     for name in KEY_RULES:
-        cols[f"_s_{name}"] = F.when(F.col(f"_k_{name}"),
-                                    F.coalesce(variant_as_py_str(F.col(f"_v_{name}")), F.lit("None")))
+        v = F.col(f"_v_{name}")
+        cols[f"_s_{name}"] = F.when(v.isNotNull(), F.coalesce(variant_as_py_str(v), F.lit("None")))
     for name in ("missing", "fens"):
         cols[f"_t_{name}"] = variant_type(F.col(f"_v_{name}"))
     return df.withColumns(cols)
@@ -153,7 +169,8 @@ def missing_column() -> Column:
     as_text = F.filter(F.transform(parts, lambda p: strip_chars(py_strip(p), "\"'")),
                        lambda p: (p != "") & (p != "?"))
     return (F.when(F.col("_obj").isNull(), F.lit(None))
-            .when(~F.col("_k_missing") | (t == "STRING"), as_text)
+            .when(v.isNull(), F.array().cast("array<string>"))
+            .when(t == "STRING", as_text)
             .when(t == "ARRAY<STRING>", as_list))
 
 
@@ -167,7 +184,8 @@ def fens_column() -> Column:
                         lambda e: F.coalesce(variant_as_py_str(e), F.lit("None")))
     as_list = F.transform(F.filter(items, lambda f: py_strip(f) != ""), lambda f: strip_chars(f, "\"'"))
     return (F.when(F.col("_obj").isNull(), F.lit(None))
-            .when(~F.col("_k_fens") | (t == "STRING"), as_text)
+            .when(v.isNull(), F.array().cast("array<string>"))
+            .when(t == "STRING", as_text)
             .when(t.startswith("ARRAY"), as_list))
 
 
@@ -182,5 +200,5 @@ def parse(df: DataFrame, c: str) -> DataFrame:
         "pred_fens": fens_column(),
         "think_tokens": think_tokens(F.col(c)),
     })
-    helpers = [x for x in out.columns if x.startswith(("_k_", "_v_", "_s_", "_t_"))] + ["_obj"]
+    helpers = [x for x in out.columns if x.startswith(("_v_", "_s_", "_t_"))] + ["_obj"]
     return out.drop(*helpers)

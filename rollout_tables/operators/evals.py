@@ -110,7 +110,10 @@ def positions_to_evaluate(prompts: DataFrame, rollouts: DataFrame, evals: DataFr
     need_pos = prompts.select(position_key(F.col("moves")).alias("key"))
     nxt = parse_completions(x.filter(F.col("category") == "FIND_NEXT_BEST_MOVE"))
     move = F.when(F.col("json_state") != "non_object", F.col("pred_move"))
-    need_child = nxt.select(child_key(F.col("resolved_key"), move).alias("key")).filter(F.col("key").isNotNull())
+    # keep non-null keys with an explode, not a filter: a filter here would be
+    # pushed down through the parse projections with every parse expression
+    # inlined into its condition
+    need_child = nxt.select(F.explode(F.array_compact(F.array(child_key(F.col("resolved_key"), move)))).alias("key"))
     positions = (need_pos.unionByName(need_child).filter(~F.col("key").contains("?")).distinct()
                  .join(evals.select(F.col("position_key").alias("key")), "key", "left_anti")
                  .select(F.lit("position").alias("kind"), "key"))

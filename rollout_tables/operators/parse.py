@@ -18,7 +18,12 @@ PARSED_COLUMNS = ["json_state", "pred_move", "pred_advantage", "pred_score", "pr
 
 def parse_completions(rollouts: DataFrame, completion_col: str = "completion") -> DataFrame:
     """Adds ``json_state``, ``pred_move``, ``pred_advantage``, ``pred_score``,
-    ``pred_missing`` (array), ``pred_fens`` (array) and ``think_tokens``."""
+    ``pred_missing`` (array), ``pred_fens`` (array) and ``think_tokens``.
+
+    Do not ``filter`` directly on these columns: the optimizer pushes a
+    filter below the projections and inlines the parse into its condition.
+    Select rows by category before parsing, and use ``when`` (or an explode
+    of an optional value) after it."""
     dtype = rollouts.schema[completion_col].dataType
     df = rollouts.withColumn("_c", C.completion_text(F.col(completion_col), dtype))
     return C.parse(df, "_c").drop("_c")
