@@ -79,57 +79,65 @@ def completion_text(c: Column, data_type=None) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def stage_parse(df: DataFrame, c: str) -> DataFrame:
-    """E1 + E2: ``_obj`` (the parsed object or null) and ``_no_braces``."""
+def _parse_stage_columns(c: str) -> list[dict[str, Column]]:
+    """E1 + E2, the parse state, the key lookups and the value conversions,
+    as successive projections (each only reads columns of the previous one)."""
     found = F.regexp_extract(F.col(c), JSON_OBJECT_PATTERN, 0)
-    return (df.withColumn("_found", found)
-            .withColumns({
-                "_obj": F.from_json(repaired(F.when(F.col("_found") == "", F.col(c)).otherwise(F.col("_found"))),
-                                    "MAP<STRING,VARIANT>"),
-                "_no_braces": F.col("_found") == "",
-            }).drop("_found"))
-
-
-def stage_state(df: DataFrame, c: str) -> DataFrame:
-    """'object', 'non_object' (JSON array or scalar: the rules' AttributeError
-    path) or 'text' (decode error)."""
+    s1 = {"_found": found}
+    s2 = {"_obj": F.from_json(repaired(F.when(F.col("_found") == "", F.col(c)).otherwise(F.col("_found"))),
+                              "MAP<STRING,VARIANT>"),
+          "_no_braces": F.col("_found") == ""}
     whole = repaired(F.col(c))
-    non_object = (F.col("_no_braces") & whole.rlike(NON_OBJECT_JSON) & F.try_parse_json(whole).isNotNull())
-    state = (F.when(F.col("_obj").isNotNull(), F.lit("object"))
-             .when(non_object, F.lit("non_object")).otherwise(F.lit("text")))
-    return df.withColumn("json_state", state).drop("_no_braces")
-
-
-def stage_lookups(df: DataFrame) -> DataFrame:
-    """One key search per rule, without higher-order functions: the
-    lower-cased keys are joined into one string, a regex finds the first key
-    matching the rule, ``array_position`` gives its place and so the original
-    key. ``_v_<rule>`` is its value (a variant; SQL null when the key is
-    absent, a variant null for a JSON null). Repeated keys read their last
-    value, as a Python dict does."""
-    obj = F.col("_obj")
-    df = df.withColumns({"_keys": F.map_keys(obj), "_dups": F.size(F.array_distinct(F.map_keys(obj))) < F.size(obj)})
-    df = df.withColumn("_lkeys", F.split(F.lower(F.array_join("_keys", SEP)), SEP, -1))
+    non_object = F.col("_no_braces") & whole.rlike(NON_OBJECT_JSON) & F.try_parse_json(whole).isNotNull()
+    s3 = {"json_state": F.when(F.col("_obj").isNotNull(), F.lit("object"))
+          .when(non_object, F.lit("non_object")).otherwise(F.lit("text")),
+          "_keys": F.map_keys("_obj"),
+          "_dups": F.size(F.array_distinct(F.map_keys("_obj"))) < F.size("_obj")}
+    s4 = {"_lkeys": F.split(F.lower(F.array_join("_keys", SEP)), SEP, -1)}
+    # one key search per rule, without higher-order functions: a regex over
+    # the joined lower-cased keys finds the first key matching the rule,
+    # array_position gives its place and so the original key. The value is a
+    # variant: SQL null when the key is absent, a variant null for a JSON
+    # null. A repeated key reads its last value, as a Python dict does.
     joined = F.array_join("_lkeys", SEP)
-    cols = {}
+    obj = F.col("_obj")
+    s5 = {}
     for name, pattern in KEY_RULES.items():
-        found = F.regexp_extract(joined, pattern, 1)
-        idx = F.when(found != "", F.array_position("_lkeys", found))
+        hit = F.regexp_extract(joined, pattern, 1)
+        idx = F.when(hit != "", F.array_position("_lkeys", hit))
         key = F.get(F.col("_keys"), (idx - 1).cast("int"))
         last_of_key = F.try_element_at(F.filter(F.map_entries(obj), lambda e: e["key"] == key), F.lit(-1))["value"]
-        cols[f"_v_{name}"] = F.when(F.col("_dups"), last_of_key).otherwise(F.try_element_at(obj, key))
-    return df.withColumns(cols).drop("_keys", "_lkeys", "_dups")
-
-
-def stage_values(df: DataFrame) -> DataFrame:
-    """Python ``str()`` of each value and the JSON type of list values."""
-    cols = {}
+        s5[f"_v_{name}"] = F.when(F.col("_dups"), last_of_key).otherwise(F.try_element_at(obj, key))
+    s6 = {}
     for name in KEY_RULES:
         v = F.col(f"_v_{name}")
-        cols[f"_s_{name}"] = F.when(v.isNotNull(), F.coalesce(variant_as_py_str(v), F.lit("None")))
+        s6[f"_s_{name}"] = F.when(v.isNotNull(), F.coalesce(variant_as_py_str(v), F.lit("None")))
     for name in ("missing", "fens"):
-        cols[f"_t_{name}"] = variant_type(F.col(f"_v_{name}"))
-    return df.withColumns(cols)
+        s6[f"_t_{name}"] = variant_type(F.col(f"_v_{name}"))
+    s7 = {
+        "pred_move": move_column(F.col(c)),
+        "pred_advantage": advantage_column(F.col(c)),
+        "pred_score": score_column(F.col(c)),
+        "pred_missing": missing_column(),
+        "pred_fens": fens_column(),
+        "think_tokens": think_tokens(F.col(c)),
+    }
+    return [s1, s2, s3, s4, s5, s6, s7]
+
+
+_STAGE_CACHE: dict[tuple, list[dict[str, Column]]] = {}
+
+
+def stage_columns(c: str) -> list[dict[str, Column]]:
+    """The parse columns, built once per Spark context and text column name
+    (a Column is an unresolved expression and can be reused by any frame;
+    building it costs thousands of calls into the JVM)."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    key = (id(sc), sc.applicationId if sc else None, c)
+    if key not in _STAGE_CACHE:
+        _STAGE_CACHE[key] = _parse_stage_columns(c)
+    return _STAGE_CACHE[key]
 
 
 def move_column(c: Column) -> Column:
@@ -191,14 +199,9 @@ def fens_column() -> Column:
 
 def parse(df: DataFrame, c: str) -> DataFrame:
     """All PARSE columns for the text column ``c``; helper columns are dropped."""
-    out = stage_values(stage_lookups(stage_state(stage_parse(df, c), c)))
-    out = out.withColumns({
-        "pred_move": move_column(F.col(c)),
-        "pred_advantage": advantage_column(F.col(c)),
-        "pred_score": score_column(F.col(c)),
-        "pred_missing": missing_column(),
-        "pred_fens": fens_column(),
-        "think_tokens": think_tokens(F.col(c)),
-    })
-    helpers = [x for x in out.columns if x.startswith(("_v_", "_s_", "_t_"))] + ["_obj"]
+    out = df
+    for stage in stage_columns(c):
+        out = out.withColumns(stage)
+    helpers = [x for x in out.columns if x.startswith(("_v_", "_s_", "_t_"))] + [
+        "_obj", "_found", "_no_braces", "_keys", "_dups", "_lkeys"]
     return out.drop(*helpers)
