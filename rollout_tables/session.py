@@ -48,12 +48,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the cluster and must be a shared file system;
-    it is only filled in here when unset (local runs and tests), with a fresh
-    folder under the system temp dir.
+    On a cluster this is set by the cluster and must be a shared file system
+    (an unset value is an error there); it is only filled in here for local
+    masters (local runs and tests), with a fresh folder under the temp dir.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="rollout-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
