@@ -38,6 +38,22 @@ def top_n(top_moves: Column, n: int = 5) -> Column:
     return F.transform(F.slice(F.coalesce(top_moves, F.array()), 1, n), lambda m: m["move"])
 
 
+def top_moves_from_lines(lines: DataFrame, n: int = 5, key_col: str = "position_key") -> DataFrame:
+    """F4 from long rows (one row per candidate line: ``move``, ``score``,
+    ``mate``, ``depth``): the best ``n`` per position as the ``top_moves``
+    array. A position has at most a few hundred legal moves, so the window
+    partition is bounded by the game, not by the data."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(key_col).orderBy(F.desc_nulls_last("score"), F.asc("move"))
+    ranked = lines.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
+    return ranked.groupBy(key_col).agg(F.sort_array(F.collect_list(F.struct(
+        "_rank", "move", F.col("score").cast("int").alias("score"), F.col("mate").cast("int").alias("mate"),
+        F.col("depth").cast("int").alias("depth")))).alias("_top")).select(
+        key_col, F.transform("_top", lambda t: F.struct(t["move"].alias("move"), t["score"].alias("score"),
+                                                         t["mate"].alias("mate"), t["depth"].alias("depth"))
+                             ).alias("top_moves"))
+
+
 def white_to_move(fen: Column, n_moves: Column | None = None) -> Column:
     """side to move of a FEN; move-count parity when there is no FEN."""
     if n_moves is None:

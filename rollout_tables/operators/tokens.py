@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,14 @@ def token_audit(masked: DataFrame, max_len: int) -> DataFrame:
         F.count_if(F.col("answer_start").isNull()).alias("n_without_answer"),
         F.sum(trained).cast("long").alias("trained_tokens"),
         F.avg(trained).alias("mean_trained_tokens"))
+
+
+def tokenize(df: DataFrame, tokenizer, text_col: str = "text", out_col: str = "input_ids") -> DataFrame:
+    """K2: token ids from a user tokenizer (``list[str] -> list[list[int]]``),
+    run per Arrow batch in a pandas UDF; the tokenizer itself is an input,
+    not part of this package. The result feeds ``mask_token_rows``."""
+    @F.pandas_udf("array<int>")
+    def _ids(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(tokenizer(texts.fillna("").tolist())))
+
+    return df.withColumn(out_col, _ids(F.col(text_col)))

@@ -37,3 +37,13 @@ def test_work_list_and_evaluator(spark):
     # appended to the table, the positions are no longer missing
     more = evals_df(spark).unionByName(out.filter(F.col("position_key").isNotNull()))
     assert {x["kind"] for x in positions_to_evaluate(p, r, more).collect()} == {"fen"}
+
+
+def test_top_moves_from_lines(spark):
+    from rollout_tables.operators.evals import top_moves_from_lines, top_n
+    lines = spark.createDataFrame([("p", "a", 5), ("p", "b", 9), ("p", "c", 7), ("q", "x", 1)],
+                                  "position_key string, move string, score int").withColumn(
+        "mate", F.lit(None).cast("int")).withColumn("depth", F.lit(10))
+    got = {r["position_key"]: r["t"] for r in
+           top_moves_from_lines(lines, 2).select("position_key", top_n(F.col("top_moves"), 5).alias("t")).collect()}
+    assert got == {"p": ["b", "c"], "q": ["x"]}

@@ -44,3 +44,34 @@ def test_audit(spark):
     a = token_audit(mask_token_rows(df, 6, 0), 6).collect()[0]
     assert (a["n_rows"], a["n_truncated"], a["n_without_answer"]) == (2, 1, 1)
     assert a["trained_tokens"] == 3 + 6
+
+
+def test_user_tokenizer_then_mask(spark):
+    from pyspark.sql import functions as F
+
+    from rollout_tables.operators.messages import sft_messages
+    from rollout_tables.operators.tokens import tokenize
+
+    vocab = {"<|im_start|>": A, "\n": NL}
+
+    def toy(texts):  # markers and newlines get their ids, other characters 1
+        out = []
+        for t in texts:
+            ids, i = [], 0
+            while i < len(t):
+                if t.startswith("<|im_start|>", i):
+                    ids.append(vocab["<|im_start|>"]); i += len("<|im_start|>")
+                else:
+                    ids.append(vocab.get(t[i], 1)); i += 1
+            out.append(ids)
+        return out
+
+    recs = spark.createDataFrame([(1, "T", "K", "in", "ok")],
+                                 "record_id long, task string, KIND string, input string, expected_output string")
+    toks = tokenize(sft_messages(recs).select("record_id", "text"), toy)
+    r = mask_token_rows(toks, 400, 0, rule="answer").collect()[0]
+    # the answer "ok" follows the assistant header; only it, its close marker and padding stay
+    kept = [x for x in r["labels"][:r["n_real"]] if x != -100]
+    assert kept[:2] == [1, 1] and r["answer_start"] < r["n_real"]
+    assert "ArrowEvalPython" in toks._jdf.queryExecution().executedPlan().toString()
+    assert F is not None
