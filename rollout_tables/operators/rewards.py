@@ -168,15 +168,25 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     srt = sort_fen_counts(srt, evals, "rollout_id", carried)
     srt = srt.withColumn("reward_raw", rule_sort_fens())
 
-    chain = (F.when(cat == ADV, rule_advantaged_player(draw_partial_credit))
-             .when(cat == FINAL, rule_final_score())
-             .when(cat == MLM, rule_missing_moves())
-             .when(cat == LAST, rule_last_move()))
-    for name, rule in (extra_rules or {}).items():
-        chain = chain.when(cat == name, rule)
-    rest = parse_completions(x.filter(~cat.isin(NEXT, SORT))).withColumn("reward_raw", chain.otherwise(F.lit(0.0)))
-
-    out = nxt.select(*keep).unionByName(srt.select(*keep)).unionByName(rest.select(*keep))
+    # one branch per remaining category: each parses only its rows, and
+    # column pruning leaves only the label its rule reads
+    simple = {ADV: rule_advantaged_player(draw_partial_credit), FINAL: rule_final_score(),
+              MLM: rule_missing_moves(), LAST: rule_last_move()}
+    branches = [nxt, srt]
+    for name, rule in simple.items():
+        branches.append(parse_completions(x.filter(cat == name)).withColumn("reward_raw", rule))
+    known = [NEXT, SORT, *simple]
+    chain = F.lit(0.0)
+    if extra_rules:
+        chain = None
+        for name, rule in extra_rules.items():
+            chain = F.when(cat == name, rule) if chain is None else chain.when(cat == name, rule)
+        chain = chain.otherwise(F.lit(0.0))
+    branches.append(parse_completions(x.filter(~cat.isin(*known))).withColumn("reward_raw", chain))
+
+    out = branches[0].select(*keep)
+    for b in branches[1:]:
+        out = out.unionByName(b.select(*keep))
     out = out.withColumn("reward_raw", F.col("reward_raw").cast("double"))
     out = out.withColumn("penalty", reasoning_penalty(F.col("think_tokens")))
     return out.withColumn("reward", F.col("reward_raw") - F.col("penalty"))
