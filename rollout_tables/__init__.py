@@ -11,3 +11,19 @@ Subpackages:
 """
 
 from rollout_tables.session import build_session, checkpoint_dir  # noqa: F401
+
+
+def _pickle_by_value() -> None:
+    """Python functions that run in tasks (the F10 evaluator hook, the
+    tokenizer UDF) are pickled with their code, so executors need no copy of
+    this package on their path."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # older cloudpickle: rely on the package being installed
+        pass
+
+
+_pickle_by_value()
