@@ -71,21 +71,29 @@ def completion_lengths(rollouts: DataFrame, max_new_tokens: int = MAX_NEW_TOKENS
                        target: tuple[int, int] = TARGET_TOKENS) -> DataFrame:
     """Completion length statistics in approximate tokens (characters /
     4): min, mean, max, exact median and 90th percentile of the character
-    length, share in the 20-60 token target, and completions at the cap."""
-    chars = F.length(F.coalesce(F.col("completion"), F.lit("")))
-    df = rollouts.select(chars.alias("chars"))
+    length, completions in the 20-60 token target, and completions at the cap.
+
+    Everything is computed from the length histogram (a partial aggregation
+    sized by the number of distinct lengths) in one aggregation."""
+    chars = F.length(F.coalesce(F.col("completion"), F.lit(""))).alias("chars")
+    hist = rollouts.groupBy(chars).agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.orderBy("chars")  # over the histogram, one row per distinct length
+    hist = (hist.withColumn("cum", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("total", F.sum("cnt").over(Window.partitionBy())))
     tokens = F.col("chars") / F.lit(CHARS_PER_TOKEN)
-    stats = df.agg(
-        F.count(F.lit(1)).alias("n"),
+
+    def quantile(p):
+        return F.min(F.when(F.col("cum") >= F.ceil(F.col("total") * F.lit(p)), F.col("chars"))) / F.lit(CHARS_PER_TOKEN)
+
+    return hist.agg(
+        F.sum("cnt").alias("n"),
         (F.min("chars") / F.lit(CHARS_PER_TOKEN)).alias("min_tokens"),
-        F.avg(tokens).alias("mean_tokens"),
+        (F.sum(F.col("chars") * F.col("cnt")) / F.sum("cnt") / F.lit(CHARS_PER_TOKEN)).alias("mean_tokens"),
         (F.max("chars") / F.lit(CHARS_PER_TOKEN)).alias("max_tokens"),
-        F.count_if((tokens >= target[0]) & (tokens <= target[1])).alias("n_in_target"),
-        F.count_if(tokens >= max_new_tokens).alias("n_at_cap"))
-    q = exact_quantiles(df, "chars", [0.5, 0.9]).select(
-        (F.col("p50") / F.lit(CHARS_PER_TOKEN)).alias("p50_tokens"),
-        (F.col("p90") / F.lit(CHARS_PER_TOKEN)).alias("p90_tokens"))
-    return stats.crossJoin(q)  # one row with one row
+        F.sum(F.when((tokens >= target[0]) & (tokens <= target[1]), F.col("cnt")).otherwise(0)).alias("n_in_target"),
+        F.sum(F.when(tokens >= max_new_tokens, F.col("cnt")).otherwise(0)).alias("n_at_cap"),
+        quantile(0.5).alias("p50_tokens"),
+        quantile(0.9).alias("p90_tokens"))
 
 
 def reward_by_category(scored: DataFrame) -> DataFrame:

@@ -138,13 +138,16 @@ def join_prompts(parsed: DataFrame, resolved_prompts: DataFrame) -> DataFrame:
 
 
 def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, scaling: str = "tanh",
-                   draw_partial_credit: bool = False, extra_rules: dict[str, Column] | None = None) -> DataFrame:
+                   draw_partial_credit: bool = False, extra_rules: dict[str, Column] | None = None,
+                   categories: list[str] | None = None) -> DataFrame:
     """G7 + G8 + G9: one row per rollout with the category reward
     (``reward_raw``), the reasoning penalty and the final ``reward``.
 
     ``rollouts`` has ``rollout_id``, ``prompt_id``, ``step``, ``completion``;
     ``prompts`` is the output of ``rl_prompts`` (``record_id`` = prompt id);
-    ``extra_rules`` maps further categories to reward columns (K3).
+    ``extra_rules`` maps further categories to reward columns (K3);
+    ``categories`` restricts the job to those categories (only their
+    branches are built).
 
     Plan: rollouts meet their resolved prompt first; the rows then split by
     category and each branch parses only its own rows, so every completion
@@ -154,35 +157,33 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     x = join_prompts(rollouts, resolve_positions(prompts, evals))
     cat = F.col("category")
     keep = [c for c in OUTPUT_COLUMNS if c not in ("penalty", "reward")]
+    if categories is not None:
+        x = x.filter(cat.isin(*categories))
 
-    nxt = parse_completions(x.filter(cat == NEXT))
-    move = F.when(F.col("json_state") != "non_object", F.col("pred_move"))
-    nxt = after_move(nxt, evals, child_key(F.col("resolved_key"), move), "rollout_id") \
-        .withColumn("reward_raw", rule_next_best_move(scaling))
-
-    srt = parse_completions(x.filter(cat == SORT))
-    carried = [c for c in keep if c not in ("rollout_id", "reward_raw")] + ["n_fens"]
-    usable = F.when((F.col("json_state") == "object") & (F.size("pred_fens") >= 2), F.col("pred_fens"))
-    srt = srt.withColumn("pred_fens", usable).withColumn("n_fens", F.size("pred_fens"))
-    srt = srt.withColumn("n_fens", F.when(F.col("pred_fens").isNotNull(), F.col("n_fens")))
-    srt = sort_fen_counts(srt, evals, "rollout_id", carried)
-    srt = srt.withColumn("reward_raw", rule_sort_fens())
+    def wanted(name):
+        return categories is None or name in categories
 
+    branches = []
+    if wanted(NEXT):
+        branches.append(_next_branch(x, evals, scaling))
+    if wanted(SORT):
+        branches.append(_sort_branch(x, evals, keep))
     # one branch per remaining category: each parses only its rows, and
     # column pruning leaves only the label its rule reads
     simple = {ADV: rule_advantaged_player(draw_partial_credit), FINAL: rule_final_score(),
               MLM: rule_missing_moves(), LAST: rule_last_move()}
-    branches = [nxt, srt]
     for name, rule in simple.items():
-        branches.append(parse_completions(x.filter(cat == name)).withColumn("reward_raw", rule))
+        if wanted(name):
+            branches.append(parse_completions(x.filter(cat == name)).withColumn("reward_raw", rule))
     known = [NEXT, SORT, *simple]
-    chain = F.lit(0.0)
-    if extra_rules:
-        chain = None
-        for name, rule in extra_rules.items():
-            chain = F.when(cat == name, rule) if chain is None else chain.when(cat == name, rule)
-        chain = chain.otherwise(F.lit(0.0))
-    branches.append(parse_completions(x.filter(~cat.isin(*known))).withColumn("reward_raw", chain))
+    if categories is None or any(c not in known for c in categories):
+        chain = F.lit(0.0)
+        if extra_rules:
+            chain = None
+            for name, rule in extra_rules.items():
+                chain = F.when(cat == name, rule) if chain is None else chain.when(cat == name, rule)
+            chain = chain.otherwise(F.lit(0.0))
+        branches.append(parse_completions(x.filter(~cat.isin(*known))).withColumn("reward_raw", chain))
 
     out = branches[0].select(*keep)
     for b in branches[1:]:
@@ -192,6 +193,26 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     return out.withColumn("reward", F.col("reward_raw") - F.col("penalty"))
 
 
+def _next_branch(x: DataFrame, evals: DataFrame, scaling: str) -> DataFrame:
+    """FIND_NEXT_BEST_MOVE rows: parse, then the after-move lookup."""
+    nxt = parse_completions(x.filter(F.col("category") == NEXT))
+    move = F.when(F.col("json_state") != "non_object", F.col("pred_move"))
+    nxt = after_move(nxt, evals, child_key(F.col("resolved_key"), move), "rollout_id") \
+        .withColumn("reward_raw", rule_next_best_move(scaling))
+    return nxt
+
+
+def _sort_branch(x: DataFrame, evals: DataFrame, keep: list[str]) -> DataFrame:
+    """SORT_FENS rows: parse, explode the FEN list, FEN lookup, window."""
+    srt = parse_completions(x.filter(F.col("category") == SORT))
+    carried = [c for c in keep if c not in ("rollout_id", "reward_raw")] + ["n_fens"]
+    usable = F.when((F.col("json_state") == "object") & (F.size("pred_fens") >= 2), F.col("pred_fens"))
+    srt = srt.withColumn("pred_fens", usable).withColumn("n_fens", F.size("pred_fens"))
+    srt = srt.withColumn("n_fens", F.when(F.col("pred_fens").isNotNull(), F.col("n_fens")))
+    srt = sort_fen_counts(srt, evals, "rollout_id", carried)
+    return srt.withColumn("reward_raw", rule_sort_fens())
+
+
 def weighted_rewards(scored: DataFrame, weights: DataFrame, default_weight: float = 1.0) -> DataFrame:
     """Attaches the category weight (a small fixed dimension, broadcast)."""
     w = F.broadcast(weights.select("category", F.col("weight").cast("double").alias("weight")))

@@ -171,7 +171,7 @@ def _scored(spark, sf, **kw):
 
 def _reward_of(category, **kw):
     def q(spark, sf):
-        s = _scored(spark, sf, **kw).filter(F.col("category") == category)
+        s = _scored(spark, sf, categories=[category], **kw)
         return flat(s.select("rollout_id", "prompt_id", "json_state", "position_found", "reward_raw"))
     q.__name__ = f"reward_{category.lower()}"
     return q

@@ -130,3 +130,11 @@ def test_weights(spark, scored):
     w = weighted_rewards(score_rollouts(ro, prompts_df(spark, PROMPTS), evals_df(spark)), weights(spark))
     got = {r["category"]: r["weight"] for r in w.select("category", "weight").distinct().collect()}
     assert got["FIND_FINAL_SCORE"] == 0.8 and got["SORT_FENS"] == 0.5 and got["OTHER"] == 1.0
+
+
+def test_category_subset(spark, scored):
+    ro = rollouts_df(spark, [(i, p, c) for i, p, c, _ in CASES])
+    out = score_rollouts(ro, prompts_df(spark, PROMPTS), evals_df(spark), categories=["SORT_FENS", "OTHER"])
+    got = {r["rollout_id"]: r["reward_raw"] for r in out.collect()}
+    assert set(got) == {i for i, *_ in CASES if i[0] in "fo" and i != "o2"}
+    assert all(got[k] == pytest.approx(scored[k]["reward_raw"]) for k in got)
