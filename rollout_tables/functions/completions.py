@@ -6,7 +6,7 @@ the original code feeds it (the first innermost ``{...}``, with single quotes
 turned into double quotes). ``from_json`` into ``MAP<STRING,VARIANT>`` keeps
 every key in order, duplicates included, and keeps each value's JSON type; a
 Python dict keeps the first position of a key and its last value, which
-``json_lookup`` reproduces.
+the key-lookup stage reproduces.
 
 The functions come in stages (``stage_*``) that each add a few columns and
 only read columns of the previous stage, so that the parse and every key

@@ -34,17 +34,3 @@ def variant_as_py_str(v: Column) -> Column:
             .when(t.startswith("ARRAY") | t.startswith("OBJECT"), F.to_json(v))
             .otherwise(F.try_variant_get(v, "$", "string")))
 
-
-def json_lookup(obj: Column, key_pred) -> Column:
-    """Value (variant) of the first key of a parsed JSON object (a
-    ``MAP<STRING,VARIANT>`` from ``from_json``) whose lower-cased name
-    satisfies ``key_pred``, with Python dict semantics for repeated keys:
-    the first position wins and the last value is read."""
-    entries = F.map_entries(obj)
-    first_key = F.get(F.filter(entries, lambda e: key_pred(F.lower(e["key"]))), 0)["key"]
-    same = F.filter(entries, lambda e: e["key"] == first_key)
-    return F.try_element_at(same, F.lit(-1))["value"]
-
-
-def json_has_key(obj: Column, key_pred) -> Column:
-    return F.exists(F.map_keys(obj), lambda k: key_pred(F.lower(k)))
