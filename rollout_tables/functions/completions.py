@@ -8,10 +8,10 @@ every key in order, duplicates included, and keeps each value's JSON type; a
 Python dict keeps the first position of a key and its last value, which
 the key-lookup stage reproduces.
 
-The functions come in stages (``stage_*``) that each add a few columns and
-only read columns of the previous stage, so that the parse and every key
-lookup is computed once per row: the optimizer does not inline an expensive
-column into several consumers.
+The columns come in stages (``stage_columns``), each projection reading only
+columns of the previous one, so that the parse and every key lookup is
+computed once per row: the optimizer does not inline an expensive column into
+several consumers.
 """
 
 from __future__ import annotations
