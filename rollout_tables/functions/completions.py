@@ -82,10 +82,11 @@ def completion_text(c: Column, data_type=None) -> Column:
 def _parse_stage_columns(c: str) -> list[dict[str, Column]]:
     """E1 + E2, the parse state, the key lookups and the value conversions,
     as successive projections (each only reads columns of the previous one)."""
-    found = F.regexp_extract(F.col(c), JSON_OBJECT_PATTERN, 0)
+    # no '{' at all: no object to find (skip the regex scan)
+    found = F.when(F.instr(F.col(c), "{") > 0, F.regexp_extract(F.col(c), JSON_OBJECT_PATTERN, 0)).otherwise(F.lit(""))
     s1 = {"_found": found}
-    s2 = {"_obj": F.from_json(repaired(F.when(F.col("_found") == "", F.col(c)).otherwise(F.col("_found"))),
-                              "MAP<STRING,VARIANT>"),
+    # without a {...} pair the text cannot decode to an object: parse only the found object
+    s2 = {"_obj": F.when(F.col("_found") != "", F.from_json(repaired(F.col("_found")), "MAP<STRING,VARIANT>")),
           "_no_braces": F.col("_found") == ""}
     whole = repaired(F.col(c))
     non_object = F.col("_no_braces") & whole.rlike(NON_OBJECT_JSON) & F.try_parse_json(whole).isNotNull()
