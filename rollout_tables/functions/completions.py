@@ -44,14 +44,13 @@ def _contains(*words: str) -> str:
     return f"(?:^|{SEP})({_ITEM}(?:{a}{_ITEM}{b}|{b}{_ITEM}{a}){_ITEM})"
 
 
-# first key (in object order) matching each rule, as a regex over the keys
-KEY_RULES = {f"move{i}": _exactly(k) for i, k in enumerate(MOVE_KEYS)}
-KEY_RULES.update({
-    "adv": _contains("advantage", "most"),
-    "score": _contains("score"),
-    "missing": _contains("missing", "move"),
-    "fens": _contains("sorted", "fen"),
-})
+# first key (in object order) matching each rule: exact keys by position,
+# the others by a regex over the joined keys
+EXACT_KEYS = {f"move{i}": k for i, k in enumerate(MOVE_KEYS)}
+CONTAINS_WORDS = {"adv": ("advantage", "most"), "score": ("score",), "missing": ("missing", "move"),
+                  "fens": ("sorted", "fen")}
+KEY_RULES = {name: _exactly(k) for name, k in EXACT_KEYS.items()}
+KEY_RULES.update({name: _contains(*words) for name, words in CONTAINS_WORDS.items()})
 
 
 def repaired(text: Column) -> Column:
@@ -104,8 +103,16 @@ def _parse_stage_columns(c: str) -> list[dict[str, Column]]:
     obj = F.col("_obj")
     s5 = {}
     for name, pattern in KEY_RULES.items():
-        hit = F.regexp_extract(joined, pattern, 1)
-        idx = F.when(hit != "", F.array_position("_lkeys", hit))
+        if name in EXACT_KEYS:  # exact key: its first position directly
+            idx = F.array_position("_lkeys", EXACT_KEYS[name])
+            idx = F.when(idx > 0, idx)
+        else:  # contains-rule: cheap substring guard, then the regex
+            guard = None
+            for w in CONTAINS_WORDS[name]:
+                g = joined.contains(w)
+                guard = g if guard is None else guard & g
+            hit = F.when(guard, F.regexp_extract(joined, pattern, 1)).otherwise(F.lit(""))
+            idx = F.when(hit != "", F.array_position("_lkeys", hit))
         key = F.get(F.col("_keys"), (idx - 1).cast("int"))
         last_of_key = F.try_element_at(F.filter(F.map_entries(obj), lambda e: e["key"] == key), F.lit(-1))["value"]
         s5[f"_v_{name}"] = F.when(F.col("_dups"), last_of_key).otherwise(F.try_element_at(obj, key))
