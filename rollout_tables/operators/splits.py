@@ -28,7 +28,10 @@ def split_sizes_expr(total: F.Column, ratios: list[tuple[str, float]]) -> list[F
 def assign_splits(df: DataFrame, id_col: str, ratios: list[tuple[str, float]] = SPLITS_3WAY,
                   seed: int = SPLIT_SEED, bucket_chars: int = 3) -> DataFrame:
     """Adds ``split_rank`` (1-based position in the seeded
-    order) and ``split`` (contiguous rank ranges in the order of ``ratios``)."""
+    order) and ``split`` (contiguous rank ranges in the order of ``ratios``).
+    ``bucket_chars`` sets 16^n buckets: 3 (4,096) keeps buckets of about
+    250,000 rows per billion records; use 4 above about 10^10 records.
+    Record ids must be unique: the hash spreads them evenly over the buckets."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
     keyed = df.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, bucket_chars))
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -36,7 +39,10 @@ def assign_splits(df: DataFrame, id_col: str, ratios: list[tuple[str, float]] =
     offsets = (counts.withColumn("_offset", F.coalesce(
         F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_total", F.sum("_cnt").over(Window.partitionBy())))
-    ranked = keyed.join(F.broadcast(offsets.select("_bucket", "_offset", "_total")), "_bucket")
+    offsets = offsets.select("_bucket", "_offset", "_total")
+    # at most 16^bucket_chars rows: broadcast explicitly up to 65,536 buckets,
+    # beyond that leave it to AQE's runtime size check
+    ranked = keyed.join(F.broadcast(offsets) if bucket_chars <= 4 else offsets, "_bucket")
     in_bucket = Window.partitionBy("_bucket").orderBy("_h", id_col)
     ranked = ranked.withColumn("split_rank", (F.col("_offset") + F.row_number().over(in_bucket)).cast("long"))
     sizes = split_sizes_expr(F.col("_total"), ratios)

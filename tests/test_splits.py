@@ -62,3 +62,10 @@ def test_no_single_partition_window_over_rows(spark):
     # window runs over the aggregated bucket counts
     assert "row_number() windowspecdefinition(_bucket" in plan
     assert plan.count("SinglePartition") <= 2
+
+
+def test_more_buckets_same_ranks(spark):
+    base = spark.range(300).withColumnRenamed("id", "rid")
+    a = {r["rid"]: r["split_rank"] for r in split_3way(base, "rid").collect()}
+    b = {r["rid"]: r["split_rank"] for r in split_3way(base, "rid", bucket_chars=5).collect()}
+    assert a == b
