@@ -23,7 +23,7 @@ from rollout_tables.operators import splits as S
 from rollout_tables.operators.parse import parse_completions
 from rollout_tables.operators.tokens import mask_token_rows, token_audit
 from rollout_tables.plans import inputs as I
-from rollout_tables.session import checkpoint_dir
+from rollout_tables.session import materialise
 from rollout_tables.sources import datasets as DS
 from rollout_tables.sources import fixtures as fx
 
@@ -201,9 +201,8 @@ def reward_weighted(spark, sf):
 
 def group_advantage(spark, sf):
     # the scored rows feed both the group statistics and the join back:
-    # checkpoint them once (shared checkpoint folder) instead of scoring twice
-    checkpoint_dir(spark)
-    a = R.group_advantage(_scored(spark, sf).checkpoint(eager=True))
+    # write them once (shared checkpoint folder) instead of scoring twice
+    a = R.group_advantage(materialise(_scored(spark, sf), "scored"))
     return flat(a.select("rollout_id", "prompt_id", "reward", "group_mean", "group_std",
                          F.col("group_size").cast("long").alias("group_size"), "advantage"))
 

@@ -62,3 +62,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
+
+
+def materialise(df, name: str = "table"):
+    """Writes ``df`` as parquet under the shared checkpoint folder and reads
+    it back: cuts lineage (nothing is recomputed when an executor is lost or
+    when the result is consumed twice) and keeps columnar scans."""
+    import uuid
+
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "materialised", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
