@@ -165,8 +165,17 @@ def digest_evaluator(pdf: pd.DataFrame) -> pd.DataFrame:
 
 # --- REWARD ----------------------------------------------------------------
 
+_SCORED: dict[tuple, DataFrame] = {}
+
+
 def _scored(spark, sf, **kw):
-    return G.score_rollouts(I.rollouts(spark, sf), I.prompts(spark, sf), I.evals(spark, sf), **kw)
+    """The REWARD job over the derived inputs. The DataFrame (an unexecuted
+    plan, not a result) is built once per session, input and options: its
+    construction costs seconds of analysis, and every run re-executes it."""
+    key = (spark.sparkContext.applicationId, sf, tuple(sorted((k, repr(v)) for k, v in kw.items())))
+    if key not in _SCORED:
+        _SCORED[key] = G.score_rollouts(I.rollouts(spark, sf), I.prompts(spark, sf), I.evals(spark, sf), **kw)
+    return _SCORED[key]
 
 
 def _reward_of(category, **kw):
