@@ -93,3 +93,25 @@ LOGGING_STEPS = 10
 MAX_NEW_TOKENS = 256
 TARGET_TOKENS = (20, 60)
 TARGET_REWARD_GAIN_PER_1000_STEPS = 0.1
+
+# --- fixed values: reward rules ---
+# tiers are (|cp| above, floor, factor): reward = max(floor, factor * s), first tier that applies;
+# the last tier (None) applies to everything below
+ADVANTAGE_EXPECTED_CP = 50           # cp > 50 white, cp < -50 black, else draw
+ADVANTAGE_TIERS = [(200, 0.5, 1.0), (50, 0.2, 0.5), (25, 0.0, 0.3), (None, -0.1, 0.2)]
+ADVANTAGE_WRONG_FLOOR = -0.5         # wrong label: max(-0.5, -|s|)
+ADVANTAGE_DRAW_PARTIAL = -0.2        # the draw branch (unreachable as written)
+FINAL_SCORE_EXPECTED_CP = 200        # cp > 200 "1-0", cp < -200 "0-1", else "1/2-1/2"
+FINAL_SCORE_TIERS = [(400, 0.5, 1.0), (200, 0.3, 0.8), (100, 0.1, 0.5), (None, -0.1, 0.3)]
+FINAL_SCORE_DRAW_PARTIAL = -0.15
+FINAL_SCORE_WRONG_FLOOR = -0.5
+SCORE_LABELS = ("1-0", "0-1", "1/2-1/2")
+NEXT_MOVE_FAILURE = -0.1
+PARSE_FAILURE = -1.0                 # JSON scalar/array, unreadable list, too few items
+LIST_BASE, LIST_SPAN = 0.5, 0.5      # MLM and SORT_FENS: 0.5 + 0.5 * share
+LAST_MOVE_BEST, LAST_MOVE_TOP, LAST_MOVE_NONE, LAST_MOVE_OTHER = 1.0, 0.5, -0.5, -0.25
+TOP_N_MOVES = 5
+SCORE_CLAMP_CP = 5000
+TANH_SCALE_CP = 200.0
+LINEAR_SCALE_CP = 500.0
+MATE_OFFSET = 10000

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CLAMP_CP = 5000
+from rollout_tables.fixed_values import LINEAR_SCALE_CP, MATE_OFFSET, SCORE_CLAMP_CP, TANH_SCALE_CP
+
+CLAMP_CP = SCORE_CLAMP_CP
 
 
 def _oriented(cp: Column, white_to_move: Column) -> Column:
@@ -16,13 +18,13 @@ def _oriented(cp: Column, white_to_move: Column) -> Column:
 def scaled(cp: Column, white_to_move: Column | None = None) -> Column:
     """H2: tanh(score / 200) of the clamped, side-oriented score."""
     white_to_move = F.lit(True) if white_to_move is None else white_to_move
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.tanh(_oriented(cp, white_to_move) / F.lit(200.0))))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.tanh(_oriented(cp, white_to_move) / F.lit(TANH_SCALE_CP))))
 
 
 def linear(cp: Column, white_to_move: Column | None = None) -> Column:
     """H1: score / 500, clamped to [-1, 1]."""
     white_to_move = F.lit(True) if white_to_move is None else white_to_move
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _oriented(cp, white_to_move) / F.lit(500.0)))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _oriented(cp, white_to_move) / F.lit(LINEAR_SCALE_CP)))
 
 
 def to_reward(cp: Column, white_to_move: Column, scaling: str = "tanh") -> Column:
@@ -34,5 +36,5 @@ def centipawns(eval_type: Column, eval_value: Column, mate: str = "as_cp") -> Co
     ``mate='scaled'``; by default the value is read as centipawns, as the
     reward rules do."""
     if mate == "scaled":
-        return F.when(eval_type == "mate", F.lit(10000) + eval_value).otherwise(F.coalesce(eval_value, F.lit(0)))
+        return F.when(eval_type == "mate", F.lit(MATE_OFFSET) + eval_value).otherwise(F.coalesce(eval_value, F.lit(0)))
     return eval_value

@@ -14,7 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollout_tables.fixed_values import PENALTY_DECAY_TOKENS, PENALTY_FREE_TOKENS, PENALTY_SCALE
+from rollout_tables.fixed_values import (
+    ADVANTAGE_DRAW_PARTIAL, ADVANTAGE_EXPECTED_CP, ADVANTAGE_TIERS, ADVANTAGE_WRONG_FLOOR, FINAL_SCORE_DRAW_PARTIAL,
+    FINAL_SCORE_EXPECTED_CP, FINAL_SCORE_TIERS, FINAL_SCORE_WRONG_FLOOR, LAST_MOVE_BEST, LAST_MOVE_NONE,
+    LAST_MOVE_OTHER, LAST_MOVE_TOP, LIST_BASE, LIST_SPAN, NEXT_MOVE_FAILURE, PARSE_FAILURE, PENALTY_DECAY_TOKENS,
+    PENALTY_FREE_TOKENS, PENALTY_SCALE, SCORE_LABELS, TOP_N_MOVES,
+)
 from rollout_tables.functions import scores
 from rollout_tables.operators.evals import after_move, child_key, evaluate_fens, resolve_positions, top_n, \
     white_to_move
@@ -30,72 +35,78 @@ def _cp() -> Column:
     return F.coalesce(F.col("eval_value"), F.lit(0))
 
 
+def _tiered(cp: Column, s: Column, tiers) -> Column:
+    """max(floor, factor * s) for the first tier whose |cp| bound is exceeded."""
+    chain = None
+    for bound, floor, factor in tiers:
+        value = F.greatest(F.lit(floor), s * factor)
+        if bound is None:
+            return chain.otherwise(value)
+        cond = F.abs(cp) > bound
+        chain = F.when(cond, value) if chain is None else chain.when(cond, value)
+    return chain
+
+
 def rule_next_best_move(scaling: str = "tanh") -> Column:
     """G1: the evaluation after the predicted move, from the side then to
     move; -0.1 when the move cannot be played or the text is a JSON scalar."""
     ok = (F.col("json_state") != "non_object") & F.col("after_cp").isNotNull()
     return F.when(ok, scores.to_reward(F.col("after_cp"), white_to_move(F.col("after_fen")), scaling)) \
-        .otherwise(F.lit(-0.1))
+        .otherwise(F.lit(NEXT_MOVE_FAILURE))
 
 
 def rule_advantaged_player(draw_partial_credit: bool = False) -> Column:
     """G2."""
     cp = _cp()
     s = scores.scaled(cp)
-    expected = F.when(cp > 50, "white").when(cp < -50, "black").otherwise("draw")
+    expected = F.when(cp > ADVANTAGE_EXPECTED_CP, "white").when(cp < -ADVANTAGE_EXPECTED_CP, "black") \
+        .otherwise("draw")
     label = F.col("pred_advantage")
-    correct = (F.when(F.abs(cp) > 200, F.greatest(F.lit(0.5), s))
-               .when(F.abs(cp) > 50, F.greatest(F.lit(0.2), s * 0.5))
-               .when(F.abs(cp) > 25, F.greatest(F.lit(0.0), s * 0.3))
-               .otherwise(F.greatest(F.lit(-0.1), s * 0.2)))
-    wrong = F.greatest(F.lit(-0.5), -F.abs(s))
+    wrong = F.greatest(F.lit(ADVANTAGE_WRONG_FLOOR), -F.abs(s))
     if draw_partial_credit:
-        wrong = F.when((label == "draw") | (expected == "draw"), F.lit(-0.2)).otherwise(wrong)
-    return (F.when(F.col("json_state") == "non_object", F.lit(-1.0))
-            .when(label == expected, correct).otherwise(wrong))
+        wrong = F.when((label == "draw") | (expected == "draw"), F.lit(ADVANTAGE_DRAW_PARTIAL)).otherwise(wrong)
+    return (F.when(F.col("json_state") == "non_object", F.lit(PARSE_FAILURE))
+            .when(label == expected, _tiered(cp, s, ADVANTAGE_TIERS)).otherwise(wrong))
 
 
 def rule_final_score() -> Column:
     """G3."""
     cp = _cp()
     s = scores.scaled(cp)
-    expected = F.when(cp > 200, "1-0").when(cp < -200, "0-1").otherwise("1/2-1/2")
+    win, loss, draw = SCORE_LABELS
+    expected = F.when(cp > FINAL_SCORE_EXPECTED_CP, win).when(cp < -FINAL_SCORE_EXPECTED_CP, loss).otherwise(draw)
     label = F.col("pred_score")
-    correct = (F.when(F.abs(cp) > 400, F.greatest(F.lit(0.5), s))
-               .when(F.abs(cp) > 200, F.greatest(F.lit(0.3), s * 0.8))
-               .when(F.abs(cp) > 100, F.greatest(F.lit(0.1), s * 0.5))
-               .otherwise(F.greatest(F.lit(-0.1), s * 0.3)))
-    wrong = F.when((label == "1/2-1/2") | (expected == "1/2-1/2"), F.lit(-0.15)) \
-        .otherwise(F.greatest(F.lit(-0.5), -F.abs(s)))
-    return (F.when(F.col("json_state") == "non_object", F.lit(-1.0))
-            .when(label == expected, correct).otherwise(wrong))
+    wrong = F.when((label == draw) | (expected == draw), F.lit(FINAL_SCORE_DRAW_PARTIAL)) \
+        .otherwise(F.greatest(F.lit(FINAL_SCORE_WRONG_FLOOR), -F.abs(s)))
+    return (F.when(F.col("json_state") == "non_object", F.lit(PARSE_FAILURE))
+            .when(label == expected, _tiered(cp, s, FINAL_SCORE_TIERS)).otherwise(wrong))
 
 
 def rule_missing_moves() -> Column:
     """Share of predicted moves (repeats count) that are the best move or
     among the top five, mapped to [0.5, 1]."""
-    pred, top5, best = F.col("pred_missing"), top_n(F.col("top_moves"), 5), F.col("best_move")
+    pred, top5, best = F.col("pred_missing"), top_n(F.col("top_moves"), TOP_N_MOVES), F.col("best_move")
     good = F.size(F.filter(pred, lambda m: F.array_contains(top5, m) | (m == best)))
-    return (F.when((F.col("json_state") != "object") | pred.isNull() | (F.size(pred) == 0), F.lit(-1.0))
-            .otherwise(F.lit(0.5) + F.lit(0.5) * good / F.size(pred)))
+    return (F.when((F.col("json_state") != "object") | pred.isNull() | (F.size(pred) == 0), F.lit(PARSE_FAILURE))
+            .otherwise(F.lit(LIST_BASE) + F.lit(LIST_SPAN) * good / F.size(pred)))
 
 
 def rule_last_move() -> Column:
     """G5."""
-    mv, top5 = F.col("pred_move"), top_n(F.col("top_moves"), 5)
-    return (F.when(F.col("json_state") == "non_object", F.lit(-1.0))
-            .when(F.coalesce(mv, F.lit("")) == "", F.lit(-0.5))
-            .when(mv == F.col("best_move"), F.lit(1.0))
-            .when(F.array_contains(top5, mv), F.lit(0.5))
-            .otherwise(F.lit(-0.25)))
+    mv, top5 = F.col("pred_move"), top_n(F.col("top_moves"), TOP_N_MOVES)
+    return (F.when(F.col("json_state") == "non_object", F.lit(PARSE_FAILURE))
+            .when(F.coalesce(mv, F.lit("")) == "", F.lit(LAST_MOVE_NONE))
+            .when(mv == F.col("best_move"), F.lit(LAST_MOVE_BEST))
+            .when(F.array_contains(top5, mv), F.lit(LAST_MOVE_TOP))
+            .otherwise(F.lit(LAST_MOVE_OTHER)))
 
 
 def rule_sort_fens() -> Column:
     """G6, given ``n_fens`` (list size, null when unparsed) and
     ``valid_count`` from ``sort_fen_counts``."""
     n = F.col("n_fens")
-    return (F.when((F.col("json_state") != "object") | n.isNull() | (n < 2), F.lit(-1.0))
-            .otherwise(F.lit(0.5) + F.lit(0.5) * F.coalesce(F.col("valid_count"), F.lit(0)) / n))
+    return (F.when((F.col("json_state") != "object") | n.isNull() | (n < 2), F.lit(PARSE_FAILURE))
+            .otherwise(F.lit(LIST_BASE) + F.lit(LIST_SPAN) * F.coalesce(F.col("valid_count"), F.lit(0)) / n))
 
 
 def reasoning_penalty(tokens: Column) -> Column:
