@@ -238,14 +238,13 @@ resolved AS (
   SELECT p.record_id, p.category, p.moves, p.fens, array_to_string(p.moves, ' ') AS position_key,
          e.position_key IS NOT NULL AS position_found,
          CASE WHEN e.position_key IS NOT NULL THEN e.position_key ELSE '' END AS resolved_key,
-         CASE WHEN e.position_key IS NOT NULL THEN e.fen ELSE s.fen END AS fen,
-         CASE WHEN e.position_key IS NOT NULL THEN e.eval_type ELSE s.eval_type END AS eval_type,
-         CASE WHEN e.position_key IS NOT NULL THEN e.eval_value ELSE s.eval_value END AS eval_value,
-         CASE WHEN e.position_key IS NOT NULL THEN e.best_move ELSE s.best_move END AS best_move,
-         CASE WHEN e.position_key IS NOT NULL THEN e.top_moves ELSE s.top_moves END AS top_moves
+         CASE WHEN e.position_key IS NOT NULL THEN e.fen ELSE (SELECT fen FROM evals WHERE position_key = '') END AS fen,
+         CASE WHEN e.position_key IS NOT NULL THEN e.eval_type ELSE (SELECT eval_type FROM evals WHERE position_key = '') END AS eval_type,
+         CASE WHEN e.position_key IS NOT NULL THEN e.eval_value ELSE (SELECT eval_value FROM evals WHERE position_key = '') END AS eval_value,
+         CASE WHEN e.position_key IS NOT NULL THEN e.best_move ELSE (SELECT best_move FROM evals WHERE position_key = '') END AS best_move,
+         CASE WHEN e.position_key IS NOT NULL THEN e.top_moves ELSE (SELECT top_moves FROM evals WHERE position_key = '') END AS top_moves
   FROM prompts p
-  LEFT JOIN evals e ON e.position_key = array_to_string(p.moves, ' ')
-  CROSS JOIN (SELECT * FROM evals WHERE position_key = '') s)"""
+  LEFT JOIN evals e ON e.position_key = array_to_string(p.moves, ' '))"""
 
 
 def scaled(cp: str, white: str = "TRUE") -> str:

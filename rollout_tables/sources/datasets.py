@@ -23,12 +23,19 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", train_onl
     return df
 
 
+MAX_SPLITS = 1000
+
+
 def split_names(df: DataFrame, split_col: str = "split") -> list[str]:
-    """Names of the splits present (a handful of values; on a table
-    partitioned by ``split`` this reads partition values, not rows)."""
+    """Names of the splits present: a handful of values, brought to the
+    driver with an explicit bound (more than ``MAX_SPLITS`` distinct values
+    means the column is not a split column)."""
     if split_col not in df.columns:
         return []
-    return sorted(r[0] for r in df.select(split_col).distinct().collect() if r[0] is not None)
+    names = [r[0] for r in df.select(split_col).distinct().limit(MAX_SPLITS + 1).collect()]
+    if len(names) > MAX_SPLITS:
+        raise ValueError(f"column {split_col!r} has more than {MAX_SPLITS} values; not a split column")
+    return sorted(n for n in names if n is not None)
 
 
 def _pick(df: DataFrame, name: str, split_col: str) -> DataFrame:
