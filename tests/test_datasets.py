@@ -38,3 +38,9 @@ def test_train_part_is_taken(spark, tmp_dir):
     df = spark.createDataFrame([(1, "train"), (2, "other")], "x long, split string")
     write_splits(df, f"{tmp_dir}/d")
     assert [r["x"] for r in read_dataset(spark, f"{tmp_dir}/d").collect()] == [1]
+
+
+def test_other_source_format(spark, tmp_dir):
+    spark.createDataFrame([(1, "a"), (2, "b")], "record_id long, task string").write.json(f"{tmp_dir}/j")
+    df = read_dataset(spark, f"{tmp_dir}/j", fmt="json")
+    assert sorted(r["record_id"] for r in df.collect()) == [1, 2]
