@@ -92,7 +92,8 @@ def _parse_stage_columns(c: str) -> list[dict[str, Column]]:
     s3 = {"json_state": F.when(F.col("_obj").isNotNull(), F.lit("object"))
           .when(non_object, F.lit("non_object")).otherwise(F.lit("text")),
           "_keys": F.map_keys("_obj"),
-          "_dups": F.size(F.array_distinct(F.map_keys("_obj"))) < F.size("_obj")}
+          "_dups": F.when(F.size("_obj") > 1, F.size(F.array_distinct(F.map_keys("_obj"))) < F.size("_obj"))
+          .otherwise(F.lit(False))}
     s4 = {"_lkeys": F.split(F.lower(F.array_join("_keys", SEP)), SEP, -1)}
     # one key search per rule, without higher-order functions: a regex over
     # the joined lower-cased keys finds the first key matching the rule,
