@@ -106,14 +106,6 @@ def after_move(df: DataFrame, evals: DataFrame, key: Column, row_id: str, prefix
     return keyed.join(ev, "_after_key", "left").drop("_after_key")
 
 
-def evaluate_fens(items: DataFrame, evals: DataFrame, id_col: str, list_col: str) -> DataFrame:
-    """one row per (row, position in list, fen) with that FEN's
-    evaluation (null when the FEN is unknown)."""
-    ex = items.select(id_col, F.posexplode(list_col).alias("pos", "fen"))
-    ev = evals.select("fen", F.col("eval_value").alias("fen_cp"))
-    return ex.join(ev, "fen", "left")
-
-
 def positions_to_evaluate(prompts: DataFrame, rollouts: DataFrame, evals: DataFrame) -> DataFrame:
     """the distinct positions and FENs a rollout batch needs that the
     evaluation table does not have yet: prompt positions, positions after a

@@ -21,8 +21,7 @@ from rollout_tables.fixed_values import (
     PENALTY_FREE_TOKENS, PENALTY_SCALE, SCORE_LABELS, TOP_N_MOVES,
 )
 from rollout_tables.functions import scores
-from rollout_tables.operators.evals import after_move, child_key, evaluate_fens, resolve_positions, top_n, \
-    white_to_move
+from rollout_tables.operators.evals import after_move, child_key, resolve_positions, top_n, white_to_move
 from rollout_tables.operators.parse import parse_completions
 
 NEXT, ADV, FINAL, MLM, LAST, SORT = ("FIND_NEXT_BEST_MOVE", "FIND_ADVANTAGED_PLAYER", "FIND_FINAL_SCORE",
