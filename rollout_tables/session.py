@@ -67,10 +67,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialise(df, name: str = "table"):
     """Writes ``df`` as parquet under the shared checkpoint folder and reads
     it back: cuts lineage (nothing is recomputed when an executor is lost or
-    when the result is consumed twice) and keeps columnar scans."""
+    when the result is consumed twice) and keeps columnar scans. The folder is
+    deleted when the driver's JVM ends."""
     import uuid
 
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "materialised", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.parquet(path)
