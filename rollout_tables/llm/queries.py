@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rollout_tables.llm import oracle, simhash
+from rollout_tables.llm import oracle, simhash, substring
 
 QUERIES = {
+    "op2_substring_dedup": substring.query,
     "op9_simhash_dedup": simhash.query,
     "pipeline": corpus_pipeline.run,
 }
