@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rollout_tables.llm import decontaminate, oracle, quality, simhash, substring, toxicity
+from rollout_tables.llm import ann, decontaminate, oracle, pieces, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.query,
     "op2_substring_dedup": substring.query,
     "op4_quality_classifier": quality.query,
+    "op5_sentencepiece": pieces.query,
+    "op6_ann_permutation": ann.query,
     "op9_simhash_dedup": simhash.query,
     "op10_toxicity": toxicity.query,
     "pipeline": corpus_pipeline.run,
