@@ -37,7 +37,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-KEEP_WORDS = 200_000
+KEEP_WORDS = 500_000
 KEEP_CHARS = 64
 
 
@@ -106,13 +106,30 @@ class Machine:
         self.bytes = [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else None
         self.longest = max(map(len, self.ids), default=1)
         self.worst = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
-        inner = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "".join(c for c in "\n\t\r" if c not in inner)
-        whole = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.words = re.compile(".+" if whole else f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
-        self.joins: dict[tuple[str, str], bool] = {}
+        # P for BPE as a trie in one table: characters -> piece number, or -1 within a piece
+        self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | {p: n for n, p in enumerate(self.ids, 1)}
+        self.names = ["", *self.ids]
+        self.emitted = [b"", *(np.int32(k).tobytes() for k in self.ids.values())]
+        self.words = self._segments()
+        self.joins: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
+    def _segments(self) -> re.Pattern:
+        """Where texts may be cut: between characters that no piece holds side
+        by side. Before a space, around lone control characters, and between
+        letters or digits and a mark that follows none of them."""
+        pairs = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        if any(x[1] == SPACE and x[0] != SPACE for x in pairs):
+            return re.compile(".+", re.S)
+        inner = {c for x in pairs for c in x}
+        alone = {c for c in "\n\t\r" if c not in inner}
+        after_word = {x[1] for x in pairs if x[0].isalnum()}
+        marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") - after_word
+        own, mark = (re.escape("".join(sorted(s))) for s in (alone, marks))
+        other = f"[^{SPACE}{own}{mark}]+" + (f"|(?<![^\\W_])[{mark}]" if marks else "")
+        parts = [f"[{own}]"] * bool(alone) + [f"{SPACE}*[^{SPACE}{own}](?:{other})*", f"{SPACE}+"]
+        return re.compile("|".join(parts))
+
     def normalise(self, text: str) -> str:
         if self.trim:
             text = re.sub(" +", " ", text).strip(" ")
@@ -127,6 +144,13 @@ class Machine:
             return [k]
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
+    def _fallback(self, char: str) -> int:
+        """Number of a character that is no piece by itself, from now on in P."""
+        self.names.append(char)
+        self.emitted.append(np.array(self.emit(char), np.int32).tobytes())
+        self.trie[char] = len(self.names) - 1
+        return len(self.names) - 1
+
     def _merged(self, text: str) -> list[str]:
         """Characters merged by best score, leftmost first."""
         parts, score = list(text), self.score
@@ -141,36 +165,48 @@ class Machine:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def joined(self, left: str, right: str) -> bool:
-        """Is the junction's weight finite? The left piece is empty at a start."""
-        key = (left, right)
-        found = self.joins.get(key)
-        if found is None:
-            if len(self.joins) >= KEEP_WORDS:
-                self.joins.clear()
-            found = self.joins[key] = self._merged(left + right) == ([left, right] if left else [right])
+    def _join(self, left: int, right: int) -> bool:
+        """Is the junction's weight finite? Number 0 stands for a start."""
+        if len(self.joins) >= KEEP_WORDS:
+            self.joins.clear()
+        a, b = self.names[left], self.names[right]
+        found = self.joins[left << 32 | right] = self._merged(a + b) == ([a, b] if left else [b])
         return found
 
-    def path(self, word: str) -> list[str]:
-        """Pieces of the shortest path through the composition with ``word``."""
-        return self._path_bpe(word) if self.bpe else self._path_unigram(word)
-
-    def _path_bpe(self, word: str) -> list[str]:
-        ids, joined, longest = self.ids, self.joined, self.longest
-        last = [""]
-        for j in range(1, len(word) + 1):
-            for i in range(max(0, j - longest), j):
-                piece = word[i:j]
-                if (piece in ids or j - i == 1) and joined(last[i], piece):
-                    last.append(piece)
+    def _path_bpe(self, word: str) -> bytes:
+        """Depth-first, longest arcs first: all finite paths weigh nought and
+        a place has one path at most, so the first that arrives is shortest
+        and a place that failed once is closed."""
+        trie, joins, n = self.trie, self.joins, len(word)
+        closed, path = bytearray(n + 1), []
+        i = left = 0
+        while i < n:
+            arcs = []
+            j, piece = i + 1, trie.get(word[i], -1)
+            if piece < 0:  # no piece by itself
+                piece = self._fallback(word[i])
+            while piece is not None:
+                if piece > 0:
+                    arcs.append((j, piece))
+                j += 1
+                if j > n:
                     break
-        pieces, j = [], len(word)
-        while j:
-            pieces.append(last[j])
-            j -= len(last[j])
-        return pieces[::-1]
-
-    def _path_unigram(self, word: str) -> list[str]:
+                piece = trie.get(word[i:j])
+            while True:
+                if not arcs:
+                    closed[i] = 1
+                    i, left, arcs, _ = path.pop()
+                    continue
+                j, piece = arcs.pop()
+                if not closed[j]:
+                    ok = joins.get(left << 32 | piece)
+                    if self._join(left, piece) if ok is None else ok:
+                        break
+            path.append((i, left, arcs, piece))
+            i, left = j, piece
+        return b"".join([self.emitted[p[3]] for p in path])
+
+    def _path_unigram(self, word: str) -> bytes:
         distance, last = [0.0] + [np.inf] * len(word), [""] * (len(word) + 1)
         for i in range(len(word)):
             for j in range(i + 1, min(len(word), i + self.longest) + 1):
@@ -183,10 +219,11 @@ class Machine:
         while j:
             pieces.append(last[j])
             j -= len(last[j])
-        return pieces[::-1]
+        return np.array([k for p in pieces[::-1] for k in self.emit(p)], np.int32).tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = np.array([k for p in self.path(word) for k in self.emit(p)], np.int32).tobytes()
+        """Ids on the shortest path through the composition with ``word``."""
+        ids = self._path_bpe(word) if self.bpe else self._path_unigram(word)
         if len(word) <= KEEP_CHARS:
             if len(self.known) >= KEEP_WORDS:
                 self.known.clear()
