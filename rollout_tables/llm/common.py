@@ -38,7 +38,7 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """mapInArrow with batches of bounded row count."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:

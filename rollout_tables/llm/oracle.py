@@ -47,7 +47,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN kept USING (rid) LEFT JOIN removed USING (rid)
 """
 
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+       CAST(sum(length('<s></s>') + 2 + length(role) + length(text) + len(regexp_extract_all(text, '[<\[]\\*(s>|/s>|INST\]|/INST\])'))
+                + CASE WHEN role = 'user' THEN length('[INST] ') + length(' [/INST]') ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+""".replace("\\", "\")
+
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": DECONTAMINATION,
     "op2_substring_dedup": SUBSTRING,
+    "op7_chat_template": CHAT,
 }

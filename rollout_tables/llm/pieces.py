@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from rollout_tables.llm.common import arrow_map, chunks, table
 
@@ -271,8 +272,8 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = True) -> DataFrame:
                     arrays.append(pa.array([machine.decode(f.tolist()) for f in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = docs.schema.add("n_tokens", "long").add("token_ids", "array<int>")
-    return arrow_map(docs, run, schema.add("decoded", "string") if decoded else schema)
+    schema = StructType(list(docs.schema.fields)).add("n_tokens", LongType()).add("token_ids", ArrayType(IntegerType()))
+    return arrow_map(docs, run, schema.add("decoded", StringType()) if decoded else schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

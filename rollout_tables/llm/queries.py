@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rollout_tables.llm import ann, decontaminate, oracle, pieces, quality, simhash, substring, toxicity
+from rollout_tables.llm import ann, chat, decontaminate, oracle, pieces, pii, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.query,
     "op2_substring_dedup": substring.query,
+    "op3_pii_surrogates": pii.query,
     "op4_quality_classifier": quality.query,
     "op5_sentencepiece": pieces.query,
     "op6_ann_permutation": ann.query,
+    "op7_chat_template": chat.query,
     "op9_simhash_dedup": simhash.query,
     "op10_toxicity": toxicity.query,
     "pipeline": corpus_pipeline.run,
