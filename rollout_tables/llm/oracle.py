@@ -60,7 +60,7 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('<s></s>') + 2 + length(role) + length(text) + len(regexp_extract_all(text, '[<\[]\\*(s>|/s>|INST\]|/INST\])'))
                 + CASE WHEN role = 'user' THEN length('[INST] ') + length(' [/INST]') ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
-""".replace("\\", "\")
+"""
 
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": DECONTAMINATION,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rollout_tables.llm import ann, chat, decontaminate, oracle, pieces, pii, quality, simhash, substring, toxicity
+from rollout_tables.llm import ann, chat, decontaminate, lm, oracle, pieces, pii, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_sentencepiece": pieces.query,
     "op6_ann_permutation": ann.query,
     "op7_chat_template": chat.query,
+    "op8_lm_pseudo_likelihood": lm.query,
     "op9_simhash_dedup": simhash.query,
     "op10_toxicity": toxicity.query,
     "pipeline": corpus_pipeline.run,

@@ -86,13 +86,14 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> bytes:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit number)."""
+    """doc_id, fp (the fingerprint as a signed 64-bit number), mark (a hash of
+    the text)."""
     def run(batches):
         for batch in batches:
             raw = b"".join(fingerprint(t, k) for t in batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64)), batch.column(2)], ["doc_id", "fp", "mark"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark")), run, "doc_id long, fp long, mark long")
 
 
 def _star_edges(fps: np.ndarray, own: np.ndarray, max_bits: int):
@@ -205,14 +206,30 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) for every row."""
+    """doc_id, mark, fp, root (a fingerprint that names the component) and
+    component_id (smallest doc_id reachable) for every row."""
     rows = scratch(fingerprints(docs, k), "simhash-fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), max_bits), "simhash-links")
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.select(F.col("fp").alias("own_fp"), "root").join(smallest, "root").select("own_fp", "component_id")
-    return rows.join(by_fp, F.col("fp") == F.col("own_fp")).select("doc_id", "fp", "component_id")
+    by_fp = rooted.select(F.col("fp").alias("own_fp"), "root").join(smallest, "root")
+    return rows.join(by_fp, F.col("fp") == F.col("own_fp")).select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component with all its columns: the one of the smallest
+    doc_id (null last; ties: by a hash of the text), once if it is repeated."""
+    rows = scratch(near_duplicates(docs, k, max_bits).groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n")), "simhash-rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "n")).alias("r")).select(F.col("r.doc_id").alias("__kept_id"), F.col("r.mark").alias("__kept_mark"), F.col("r.n").alias("__kept_n"))
+    first = scratch(first, "simhash-kept")
+    keyed = docs.withColumn("__mark", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
+    same = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__mark") == F.col("__kept_mark"))
+    kept = keyed.join(first.filter("__kept_n = 1"), same, "left_semi")
+    repeated = first.filter("__kept_n > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["__id", "__mark"]))
+    return kept.drop("__mark", "__id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
