@@ -49,9 +49,9 @@ def usable(vectors: DataFrame) -> DataFrame:
     return scratch(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v")), "ann-vectors")
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, size: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), size)
 
 
 def _ranks(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -109,7 +109,7 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> Dat
     def lift(x):
         return np.c_[x, np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))]
 
-    pivots = choose_pivots(lift(_matrix(distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow().column("v")).reshape(-1, size or 1)))
+    pivots = choose_pivots(lift(_matrix(distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow().column("v"), size)))
     asked = members.filter(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q"))
     questions = scratch(distinct.join(asked.select(F.col("q").alias("rep")).distinct(), "rep"), "ann-queries")
     blocks = max(1, -(-questions.count() // BLOCK_QUERIES))
@@ -119,12 +119,12 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> Dat
     def search(block):
         held = questions.filter(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == block).toArrow()
         query_ids = held.column("rep").to_numpy()
-        queries = _matrix(held.column("v")).reshape(len(query_ids), -1)
+        queries = _matrix(held.column("v"), size)
         shared = spark.sparkContext.broadcast((query_ids, queries, pivots))
 
         def run(batches):
             query_ids, queries, pivots = shared.value
-            held = [(b.column("rep").to_numpy(zero_copy_only=False), _matrix(b.column("v"))) for b in batches if b.num_rows]
+            held = [(b.column("rep").to_numpy(zero_copy_only=False), _matrix(b.column("v"), size)) for b in batches if b.num_rows]
             if not held or not len(query_ids):
                 return
             ids, x = np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held])

@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> gbt
     """Trees fitted on a bounded sample outside the held-out fold."""
     rows = features_of(training_texts(docs, labels, "quality", FOLDS, HELD, train_rows)).toArrow()
     y = rows.column("y").to_numpy().astype(float)
-    x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), -1)
+    x = np.array(rows.column("x").to_pylist(), float) if len(y) else np.zeros((0, 1))
     order = np.lexsort((*x.T[::-1], y)) if len(y) else np.zeros(0, np.int64)  # the same fit for any order of rows
     return gbt.fit(x[order], y[order])
 

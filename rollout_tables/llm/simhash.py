@@ -113,7 +113,7 @@ def _star_edges(fps: np.ndarray, own: np.ndarray, max_bits: int):
     step = max(1, (1 << 20) // len(probing))
     for a in range(0, len(posted), step):
         block = posted[a:a + step]
-        near = np.bitwise_count(block[:, None] ^ probing[None, :]) <= max_bits
+        near = np.bitwise_count((block[:, None] ^ probing[None, :]).view(np.uint64)) <= max_bits  # of signed numbers it counts the absolute value's bits
         at = np.searchsorted(probing, block)
         # every probing value joins the first posted one it matches in this
         # block; posted ones that share a probing value are joined through it
