@@ -25,10 +25,11 @@ from rollout_tables.fixed_values import (
 from rollout_tables.functions.text import py_strip, strip_chars, variant_as_py_str, variant_type
 
 # a whole text that Python's json.loads reads as an array or a scalar
-NON_OBJECT_JSON = (r"(?s)^[ \t\n\r]*(\[.*\]|\".*\"|-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?"
+NON_OBJECT_JSON = (r"(?s)^[ \t\n\r]*(\[.*\]|\"([^\"\\]|\\.)*\"|-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?"
                    r"|true|false|null|NaN|-?Infinity)[ \t\n\r]*$")
 
 
+NON_NUMBER = r"^[ \t\n\r]*(NaN|-?Infinity)[ \t\n\r]*$"
 SEP = "\u0001"  # joins the lower-cased keys of one object into one string
 _ITEM = f"[^{SEP}]*"
 
@@ -88,7 +89,9 @@ def _parse_stage_columns(c: str) -> list[dict[str, Column]]:
     s2 = {"_obj": F.when(F.col("_found") != "", F.from_json(repaired(F.col("_found")), "MAP<STRING,VARIANT>")),
           "_no_braces": F.col("_found") == ""}
     whole = repaired(F.col(c))
-    non_object = F.col("_no_braces") & whole.rlike(NON_OBJECT_JSON) & F.try_parse_json(whole).isNotNull()
+    # as the only item of an array a value can have nothing after it
+    alone = F.size(F.from_json(F.concat(F.lit("["), whole, F.lit("]")), "ARRAY<VARIANT>")) == 1
+    non_object = F.col("_no_braces") & whole.rlike(NON_OBJECT_JSON) & (whole.rlike(NON_NUMBER) | F.coalesce(alone, F.lit(False)))
     s3 = {"json_state": F.when(F.col("_obj").isNotNull(), F.lit("object"))
           .when(non_object, F.lit("non_object")).otherwise(F.lit("text")),
           "_keys": F.map_keys("_obj"),
@@ -179,8 +182,9 @@ def missing_column() -> Column:
     """Predicted missing moves; null when the value cannot be read (the
     rule then scores -1.0). A JSON list keeps '?', a string drops it."""
     t, v = F.col("_t_missing"), F.col("_v_missing")
-    as_list = F.transform(F.filter(F.try_variant_get(v, "$", "array<string>"), lambda m: py_strip(m) != ""),
-                          lambda m: strip_chars(py_strip(m), "[]\"'"))
+    items = F.try_variant_get(v, "$", "array<string>")
+    as_list = F.when(~F.exists(items, lambda m: m.isNull()),  # a null item cannot be read
+                     F.transform(F.filter(items, lambda m: py_strip(m) != ""), lambda m: strip_chars(py_strip(m), "[]\"'")))
     text = F.coalesce(F.col("_s_missing"), F.lit(""))
     parts = F.split(F.replace(F.replace(text, F.lit("["), F.lit("")), F.lit("]"), F.lit("")), ",", -1)
     as_text = F.filter(F.transform(parts, lambda p: strip_chars(py_strip(p), "\"'")),

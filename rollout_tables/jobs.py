@@ -36,8 +36,8 @@ def split(spark, a):
     ratios = SPLITS_4WAY if a.with_validation else SPLITS_3WAY
     if "record_id" not in df.columns:
         raise SystemExit("the input needs a record_id column to order the split by")
-    assigned = S.assign_splits(df.drop("split") if "split" in df.columns else df, "record_id", ratios, a.seed)
-    DS.write_splits(assigned.drop("split_rank"), a.output)
+    assigned = S.assign_splits(df.drop("split") if "split" in df.columns else df, "record_id", ratios, a.seed, with_rank=False)
+    DS.write_splits(assigned, a.output)
     S.size_report(_read(spark, a.output, "parquet"), ratios).write.mode("overwrite").parquet(a.output + "_report")
 
 
@@ -66,7 +66,9 @@ def score(spark, a):
 def report(spark, a):
     """REPORT: advantages and the metric tables, each its own folder."""
     scored = _read(spark, a.rewards, a.format)
-    R.group_advantage(scored).write.mode("overwrite").parquet(os.path.join(a.output, "advantages"))
+    stats = os.path.join(a.output, "group_stats")
+    R.group_stats(scored).write.mode("overwrite").parquet(stats)
+    R.group_advantage(scored, stats=_read(spark, stats, "parquet")).write.mode("overwrite").parquet(os.path.join(a.output, "advantages"))
     R.reward_by_category(scored).write.mode("overwrite").parquet(os.path.join(a.output, "by_category"))
     R.reward_by_interval(scored).write.mode("overwrite").parquet(os.path.join(a.output, "by_interval"))
     R.reward_trend(scored).write.mode("overwrite").parquet(os.path.join(a.output, "trend"))

@@ -86,7 +86,11 @@ def with_prompt_inputs(records: DataFrame) -> DataFrame:
     top_fens = F.coalesce(F.col("FENs").cast("array<string>"), empty) if "FENs" in records.columns else empty
     inp = _text(records, "input")
     df = records.withColumns({"_top_moves": top_moves, "_top_fens": top_fens,
-                              "_obj": F.from_json(inp, "MAP<STRING,VARIANT>"), "_var": F.try_parse_json(inp)})
+                              "_objs": F.from_json(F.concat(F.lit("["), inp, F.lit("]")), "ARRAY<MAP<STRING,VARIANT>>",
+                                                   {"allowSingleQuotes": "false"}),
+                              "_var": F.try_parse_json(inp)})
+    # as the only item of an array an object can have nothing after it
+    df = df.withColumn("_obj", F.when(F.size("_objs") == 1, F.col("_objs")[0])).drop("_objs")
     obj, v = F.col("_obj"), F.col("_var")
     # exact (case-sensitive) keys; a repeated key reads its last value
     entries = F.map_entries(obj)
@@ -102,13 +106,15 @@ def with_prompt_inputs(records: DataFrame) -> DataFrame:
     t = F.col("_t")
     obj_moves = F.when(F.col("_has_moves"), F.coalesce(F.try_variant_get(F.col("_moves_val"), "$", "array<string>"),
                                                        empty)).otherwise(empty)
-    obj_fens = F.when(F.col("_has_fen"), F.array(variant_as_py_str(F.col("_fen_val")))).otherwise(empty)
+    fen_val = F.when(variant_type(F.col("_fen_val")) != "VOID", variant_as_py_str(F.col("_fen_val")))
+    obj_fens = F.when(F.col("_has_fen"), F.array(fen_val)).otherwise(empty)
     # a JSON string or array answers `"moves" in x` by membership, then fails
     # on x["moves"]; numbers, booleans and null fail at once
     sv, av = F.col("_str_val"), F.col("_arr_val")
     str_fails = (F.instr(sv, "moves") > 0) | (F.instr(sv, "FEN") > 0)
     arr_fails = F.coalesce(F.array_contains(av, "moves") | F.array_contains(av, "FEN"), F.lit(False))
     falls_back = ((v.isNull() & obj.isNull()) | ((t == "STRING") & str_fails) | (t.startswith("ARRAY") & arr_fails)
+                  | (obj.isNull() & t.startswith("OBJECT"))
                   | t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "BOOLEAN", "VOID")
                   | t.startswith("DECIMAL"))
     df = df.withColumn("_falls_back", falls_back)

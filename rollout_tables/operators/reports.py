@@ -16,18 +16,26 @@ from rollout_tables.fixed_values import (
 )
 
 
-def group_advantage(scored: DataFrame, group_col: str = "prompt_id", reward_col: str = "reward",
-                    eps: float = 1e-4) -> DataFrame:
-    """``(r - mean) / (std + eps)`` within each prompt's group of
-    completions (sample standard deviation); a group of one gets 0.0.
-
-    Group statistics come from a partial aggregation joined back on the
-    group key; the statistics side has one row per group, so a hot group is
-    split by AQE's skew join instead of landing in one window task."""
-    stats = scored.groupBy(group_col).agg(
+def group_stats(scored: DataFrame, group_col: str = "prompt_id", reward_col: str = "reward") -> DataFrame:
+    """I1, first step: mean, sample standard deviation and size per group."""
+    return scored.groupBy(group_col).agg(
         F.avg(reward_col).alias("group_mean"), F.stddev_samp(reward_col).alias("group_std"),
         F.count(F.lit(1)).alias("group_size"))
-    out = scored.join(stats, group_col, "inner")
+
+
+def group_advantage(scored: DataFrame, group_col: str = "prompt_id", reward_col: str = "reward",
+                    eps: float = 1e-4, stats: DataFrame | None = None) -> DataFrame:
+    """``(r - mean) / (std + eps)`` within each prompt's group of
+    completions (sample standard deviation); a group of one gets 0.0. Rows
+    without a prompt are a group of their own.
+
+    The statistics are joined back on the group key. AQE splits a hot group
+    only if both sides of that join read an exchange directly, so at scale
+    write ``group_stats`` to a table first and pass it as ``stats`` (the
+    report job does)."""
+    stats = group_stats(scored, group_col, reward_col) if stats is None else stats
+    stats = stats.withColumnRenamed(group_col, "_group")
+    out = scored.join(stats, F.col(group_col).eqNullSafe(F.col("_group")), "inner").drop("_group")
     adv = F.when(F.col("group_size") > 1,
                  (F.col(reward_col) - F.col("group_mean")) / (F.col("group_std") + F.lit(eps))).otherwise(F.lit(0.0))
     return out.withColumn("advantage", adv)

@@ -50,7 +50,8 @@ def rule_next_best_move(scaling: str = "tanh") -> Column:
     """G1: the evaluation after the predicted move, from the side then to
     move; -0.1 when the move cannot be played or the text is a JSON scalar."""
     ok = (F.col("json_state") != "non_object") & F.col("after_cp").isNotNull()
-    return F.when(ok, scores.to_reward(F.col("after_cp"), white_to_move(F.col("after_fen")), scaling)) \
+    n_moves = F.when(F.col("resolved_key") == "", 1).otherwise(F.size(F.split("resolved_key", " ")) + 1)
+    return F.when(ok, scores.to_reward(F.col("after_cp"), white_to_move(F.col("after_fen"), n_moves), scaling)) \
         .otherwise(F.lit(NEXT_MOVE_FAILURE))
 
 
@@ -127,7 +128,8 @@ def sort_fen_counts(rows: DataFrame, evals: DataFrame, id_col: str = "rollout_id
     made unique so they do not gather in one shuffle partition."""
     carry = [c for c in (carry or []) if c != id_col]
     ex = rows.select(id_col, *carry, F.posexplode_outer("pred_fens").alias("pos", "fen"))
-    ev = evals.select(F.col("fen").alias("_fen_key"), F.col("eval_value").alias("fen_cp"))
+    # several move orders can reach one position: one row per FEN
+    ev = evals.groupBy(F.col("fen").alias("_fen_key")).agg(F.min_by("eval_value", "position_key").alias("fen_cp"))
     ex = ex.withColumn("_fen_key", F.coalesce(F.col("fen"), F.concat(F.lit("\u0000"), F.col(id_col))))
     ex = ex.join(ev, "_fen_key", "left").drop("_fen_key")
     w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,12 +141,14 @@ def sort_fen_counts(rows: DataFrame, evals: DataFrame, id_col: str = "rollout_id
 
 def join_prompts(parsed: DataFrame, resolved_prompts: DataFrame) -> DataFrame:
     """Every rollout meets its prompt's category and resolved position
-    (the original code aligns them by list position)."""
+    (the original code aligns them by list position). A rollout whose prompt
+    is missing or null stays, with category ``''`` (reward 0.0)."""
     pr = resolved_prompts
     if "record_id" in pr.columns and "prompt_id" not in pr.columns:
         pr = pr.withColumnRenamed("record_id", "prompt_id")
-    pr = pr.drop("prompt").withColumn("category", F.coalesce(F.col("category"), F.lit("")))
-    return parsed.join(pr, "prompt_id", "inner")
+    joined = parsed.join(pr.drop("prompt"), "prompt_id", "left")
+    return joined.withColumns({"category": F.coalesce(F.col("category"), F.lit("")),
+                               "position_found": F.coalesce(F.col("position_found"), F.lit(False))})
 
 
 def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, scaling: str = "tanh",
@@ -224,7 +228,8 @@ def _sort_branch(x: DataFrame, evals: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def weighted_rewards(scored: DataFrame, weights: DataFrame, default_weight: float = 1.0) -> DataFrame:
-    """Attaches the category weight (a small fixed dimension, broadcast)."""
-    w = F.broadcast(weights.select("category", F.col("weight").cast("double").alias("weight")))
+    """Attaches the category weight; of a category listed more than once
+    the largest weight holds."""
+    w = weights.groupBy("category").agg(F.max(F.col("weight").cast("double")).alias("weight"))
     return scored.join(w, "category", "left").withColumn(
         "weight", F.coalesce(F.col("weight"), F.lit(default_weight)))

@@ -26,12 +26,17 @@ def split_sizes_expr(total: F.Column, ratios: list[tuple[str, float]]) -> list[F
 
 
 def assign_splits(df: DataFrame, id_col: str, ratios: list[tuple[str, float]] = SPLITS_3WAY,
-                  seed: int = SPLIT_SEED, bucket_chars: int = 3) -> DataFrame:
+                  seed: int = SPLIT_SEED, bucket_chars: int = 3, with_rank: bool = True) -> DataFrame:
     """Adds ``split_rank`` (1-based position in the seeded
     order) and ``split`` (contiguous rank ranges in the order of ``ratios``).
     ``bucket_chars`` sets 16^n buckets: 3 (4,096) keeps buckets of about
     250,000 rows per billion records; use 4 above about 10^10 records.
-    Record ids must be unique: the hash spreads them evenly over the buckets."""
+    Record ids must be unique: the hash spreads them evenly over the buckets.
+    Without ``with_rank`` a record is shuffled only if its bucket holds the
+    border of two splits (one bucket a border); the others take their split
+    from the bucket table."""
+    if not 1 <= bucket_chars <= 5:
+        raise ValueError("bucket_chars must be 1 to 5: the bucket table (16 ** 5 rows at most) is broadcast")
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
     keyed = df.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, bucket_chars))
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -39,22 +44,28 @@ def assign_splits(df: DataFrame, id_col: str, ratios: list[tuple[str, float]] =
     offsets = (counts.withColumn("_offset", F.coalesce(
         F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_total", F.sum("_cnt").over(Window.partitionBy())))
-    offsets = offsets.select("_bucket", "_offset", "_total")
-    # at most 16^bucket_chars rows: broadcast explicitly up to 65,536 buckets,
-    # beyond that leave it to AQE's runtime size check
-    ranked = keyed.join(F.broadcast(offsets) if bucket_chars <= 4 else offsets, "_bucket")
+    offsets = offsets.select("_bucket", "_offset", "_total", *([] if with_rank else ["_cnt"]))
+
+    def split_at(rank):
+        chain, upper = None, F.lit(0)
+        for (name, _), size in zip(ratios, split_sizes_expr(F.col("_total"), ratios)):
+            upper = upper + size
+            cond = rank <= upper
+            chain = F.when(cond, F.lit(name)) if chain is None else chain.when(cond, F.lit(name))
+        return chain
+
     in_bucket = Window.partitionBy("_bucket").orderBy("_h", id_col)
-    ranked = ranked.withColumn("split_rank", (F.col("_offset") + F.row_number().over(in_bucket)).cast("long"))
-    sizes = split_sizes_expr(F.col("_total"), ratios)
-    bounds, acc = [], F.lit(0)
-    for size in sizes:
-        acc = acc + size
-        bounds.append(acc)
-    chain = None
-    for (name, _), upper in zip(ratios, bounds):
-        cond = F.col("split_rank") <= upper
-        chain = F.when(cond, F.lit(name)) if chain is None else chain.when(cond, F.lit(name))
-    return ranked.withColumn("split", chain).drop("_h", "_bucket", "_offset", "_total")
+    rank = (F.col("_offset") + F.row_number().over(in_bucket)).cast("long")
+    helpers = ["_h", "_bucket", "_offset", "_total"]
+    if with_rank:
+        ranked = keyed.join(F.broadcast(offsets), "_bucket").withColumn("split_rank", rank)
+        return ranked.withColumn("split", split_at(F.col("split_rank"))).drop(*helpers)
+    offsets = offsets.withColumns({"_first": split_at(F.col("_offset") + 1), "_last": split_at(F.col("_offset") + F.col("_cnt"))})
+    placed = keyed.join(F.broadcast(offsets), "_bucket")
+    inner = placed.filter(F.col("_first") == F.col("_last")).withColumn("split", F.col("_first"))
+    border = (placed.filter(F.col("_first") != F.col("_last")).withColumn("_rank", rank)
+              .withColumn("split", split_at(F.col("_rank"))).drop("_rank"))
+    return inner.unionByName(border).drop(*helpers, "_first", "_last", "_cnt")
 
 
 def split_3way(df: DataFrame, id_col: str, **kw) -> DataFrame:

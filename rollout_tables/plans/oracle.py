@@ -131,7 +131,7 @@ o1 AS (
   SELECT concat_ws('-', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR,
                    CAST(round(l_quantity * 100) AS BIGINT)::VARCHAR, CAST(round(l_extendedprice * 100) AS BIGINT)::VARCHAR)
            AS rollout_id,
-         l_orderkey AS prompt_id, l_orderkey % 2000 AS step, {KINDS}[(l_orderkey % 7) + 1] AS kind,
+         CASE WHEN l_partkey % 97 = 0 THEN -l_orderkey WHEN l_partkey % 97 <> 1 THEN l_orderkey END AS prompt_id, l_orderkey % 2000 AS step, {KINDS}[(l_orderkey % 7) + 1] AS kind,
          {_ANSWER_KEYS}[(l_orderkey % 7) + 1] AS akey, l_suppkey + l_partkey // 10 AS h, l_partkey % 10 AS n
   FROM lineitem),
 o2 AS (
@@ -267,8 +267,8 @@ def _scored(scaling: str = "tanh", draw_credit: bool = False) -> str:
     top5 = "list_transform(top_moves[1:5], lambda m: m.move)"
     return f"""
 xj AS (SELECT r.rollout_id, r.prompt_id, r.step, r.completion, coalesce(p.category, '') AS category,
-              p.position_found, p.resolved_key, p.fen, p.eval_type, p.eval_value, p.best_move, p.top_moves
-       FROM rollouts r JOIN resolved p ON r.prompt_id = p.record_id),
+              coalesce(p.position_found, false) AS position_found, p.resolved_key, p.fen, p.eval_type, p.eval_value, p.best_move, p.top_moves
+       FROM rollouts r LEFT JOIN resolved p ON r.prompt_id = p.record_id),
 {parsed('xj')},
 nx AS (
   SELECT x.*, a.eval_value AS after_cp, a.fen AS after_fen FROM parsed x
@@ -280,7 +280,7 @@ fe AS (
   FROM (SELECT rollout_id, unnest(pred_fens) AS f, generate_subscripts(pred_fens, 1) AS pos FROM parsed
         WHERE category = 'SORT_FENS' AND json_state = 'object' AND len(pred_fens) >= 2) u
   JOIN parsed x ON x.rollout_id = u.rollout_id
-  LEFT JOIN evals e ON e.fen = u.f),
+  LEFT JOIN (SELECT fen, arg_min(eval_value, position_key) AS eval_value FROM evals GROUP BY fen) e ON e.fen = u.f),
 fv AS (
   SELECT rollout_id, sum(CASE WHEN fen_cp IS NOT NULL AND (prev IS NULL OR fen_cp >= prev) THEN 1 ELSE 0 END) AS valid_count
   FROM (SELECT *, last_value(fen_cp IGNORE NULLS) OVER (PARTITION BY rollout_id ORDER BY pos
@@ -295,7 +295,7 @@ scored0 AS (
   SELECT *, CAST(CASE category
     WHEN 'FIND_NEXT_BEST_MOVE' THEN
       CASE WHEN json_state <> 'non_object' AND after_cp IS NOT NULL
-           THEN {to_r('after_cp', "contains(after_fen, ' w ')")} ELSE -0.1 END
+           THEN {to_r('after_cp', "coalesce(contains(after_fen, ' w '), (CASE WHEN resolved_key = '' THEN 1 ELSE len(string_split(resolved_key, ' ')) + 1 END) % 2 = 0)")} ELSE -0.1 END
     WHEN 'FIND_ADVANTAGED_PLAYER' THEN
       CASE WHEN json_state = 'non_object' THEN -1.0
            WHEN pred_advantage = adv_expected THEN
@@ -480,7 +480,7 @@ FROM scored s LEFT JOIN weights w ON w.category = s.category GROUP BY ROLLUP (s.
 SELECT s.rollout_id, s.prompt_id, (round(s.reward, 6) + 0.0) AS reward, (round(g.group_mean, 6) + 0.0) AS group_mean,
        (round(g.group_std, 6) + 0.0) AS group_std, g.group_size,
        (round(CASE WHEN g.group_size > 1 THEN (s.reward - g.group_mean) / (g.group_std + 0.0001) ELSE 0.0 END, 6) + 0.0) AS advantage
-FROM scored s JOIN g ON g.prompt_id = s.prompt_id""",
+FROM scored s JOIN g ON g.prompt_id IS NOT DISTINCT FROM s.prompt_id""",
     "reward_by_interval": ALL + """
 SELECT CAST(floor(step / 10) * 10 AS BIGINT) AS interval_start, count(*) AS n, (round(avg(reward), 6) + 0.0) AS reward,
        (round(stddev_samp(reward), 6) + 0.0) AS reward_std FROM scored GROUP BY 1""",

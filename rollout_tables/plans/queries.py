@@ -268,5 +268,4 @@ QUERIES = {
     "completion_lengths": completion_lengths,
     "reward_by_category": reward_by_category,
     "completion_sample": completion_sample,
-    "evaluate_missing": evaluate_missing,
 }

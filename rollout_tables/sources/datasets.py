@@ -18,24 +18,22 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", train_onl
     """A1/A2: read a saved table (any Spark source format); when it has a
     ``train`` split, take that part, else the whole."""
     df = spark.read.format(fmt).load(path)
-    if train_only and "split" in df.columns and "train" in split_names(df):
+    if train_only and _present(df, ["train"], "split"):
         return df.filter(F.col("split") == "train")
     return df
 
 
-MAX_SPLITS = 1000
+def _present(df: DataFrame, names, split_col: str) -> set[str]:
+    """Which of ``names`` are splits of ``df``: as many rows as names at most
+    come back, whatever the number of splits."""
+    names = [n for n in names if n is not None]
+    if split_col not in df.columns or not names:
+        return set()
+    return {r[0] for r in df.filter(F.col(split_col).isin(*names)).select(split_col).distinct().collect()}
 
 
-def split_names(df: DataFrame, split_col: str = "split") -> list[str]:
-    """Names of the splits present: a handful of values, brought to the
-    driver with an explicit bound (more than ``MAX_SPLITS`` distinct values
-    means the column is not a split column)."""
-    if split_col not in df.columns:
-        return []
-    names = [r[0] for r in df.select(split_col).distinct().limit(MAX_SPLITS + 1).collect()]
-    if len(names) > MAX_SPLITS:
-        raise ValueError(f"column {split_col!r} has more than {MAX_SPLITS} values; not a split column")
-    return sorted(n for n in names if n is not None)
+def _has_splits(df: DataFrame, split_col: str) -> bool:
+    return split_col in df.columns and not df.filter(F.col(split_col).isNotNull()).limit(1).isEmpty()
 
 
 def _pick(df: DataFrame, name: str, split_col: str) -> DataFrame:
@@ -46,32 +44,31 @@ def sft_train_split(df: DataFrame, requested: str, split_col: str = "split") ->
     """A3: the requested split, else the whole dataset when it has no
     splits. A requested name that is missing while several splits exist is
     an error here (the original silently trained on all splits)."""
-    names = split_names(df, split_col)
-    if requested in names:
+    if _present(df, [requested], split_col):
         return _pick(df, requested, split_col)
-    if not names:
+    if not _has_splits(df, split_col):
         return df
-    raise ValueError(f"split {requested!r} not found; present: {names}")
+    raise ValueError(f"split {requested!r} not found")
 
 
 def rl_train_split(df: DataFrame, requested: str, split_col: str = "split") -> tuple[DataFrame, bool]:
     """A4: requested -> ``train`` -> the whole dataset (then there is no
     evaluation split). Returns the frame and whether an evaluation split may
     be looked up."""
-    names = split_names(df, split_col)
+    names = _present(df, [requested, "train"], split_col)
     for name in (requested, "train"):
         if name in names:
             return _pick(df, name, split_col), True
-    if not names:
+    if not _has_splits(df, split_col):
         return df, False
-    raise ValueError(f"split {requested!r} not found; present: {names}")
+    raise ValueError(f"split {requested!r} not found")
 
 
 def val_split(df: DataFrame, requested: str | None, fallbacks: tuple[str, ...] = (),
               split_col: str = "split") -> DataFrame | None:
     """A5: the requested validation split, else the first fallback present
     (RL: ``validation``), else None with a warning."""
-    names = split_names(df, split_col)
+    names = _present(df, [requested, *fallbacks], split_col)
     for name in ((requested,) if requested else ()) + tuple(fallbacks):
         if name in names:
             return _pick(df, name, split_col)

@@ -93,7 +93,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rollouts, one per line item: ``prompt_id`` is the order, so groups have
+    """Rollouts, one per line item (a few with a prompt that does not exist,
+    or none): ``prompt_id`` is the order, so groups have
     1 to 17 completions. The completion shape cycles through the parse cases
     by ``l_partkey % 10``."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -103,7 +104,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
                              part.cast("string"), supp.cast("string"),
                              F.round(F.col("l_quantity") * 100).cast("bigint").cast("string"),
                              F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
-    s1 = li.select(rollout_id.alias("rollout_id"), okey.alias("prompt_id"), (okey % 2000).alias("step"),
+    s1 = li.select(rollout_id.alias("rollout_id"), F.when(part % 97 == 0, -okey).when(part % 97 != 1, okey).alias("prompt_id"), (okey % 2000).alias("step"),
                    _pick(KINDS, okey % 7).alias("_kind"), _pick([ANSWER_KEYS[k] for k in KINDS], okey % 7).alias("_key"),
                    (supp + F.floor(part / 10)).alias("_h"), (part % 10).alias("_n"))
     h, kind, key = F.col("_h"), F.col("_kind"), F.col("_key")

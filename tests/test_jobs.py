@@ -23,6 +23,7 @@ def test_split_prep_score_report(spark, tmp_dir):
                "--evals", f"{tmp_dir}/evals", "--output", f"{tmp_dir}/rewards"])
     rewards = spark.read.parquet(f"{tmp_dir}/rewards")
     rl_ids = {r["record_id"] for r in prompts.select("record_id").collect()}
-    assert rewards.count() == fx.rollouts(spark, SF001).filter(F.col("prompt_id").isin(list(rl_ids))).count()
+    assert rewards.count() == fx.rollouts(spark, SF001).count()
+    assert rewards.filter(~F.col("prompt_id").isin(list(rl_ids)) & (F.col("reward_raw") != 0)).count() == 0
     jobs.main(["report", "--rewards", f"{tmp_dir}/rewards", "--output", f"{tmp_dir}/reports"])
     assert spark.read.parquet(f"{tmp_dir}/reports/by_category").count() >= 2
