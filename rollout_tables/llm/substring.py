@@ -101,9 +101,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> tu
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), signed(gram), signed(around), pa.array(left.astype(np.int32)), pa.array(count.astype(np.int32))], ["doc_id", "mark", "anchor", "around", "left", "count"])
 
     anchors = scratch(arrow_map(rows, seeds, "doc_id long, mark long, anchor long, around long, left int, count int"), "substring-anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select(F.col("anchor").alias("shared"))
+    # both sides of the joins on a hot anchor are tables, so that their large partitions can be split
+    shared = scratch(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select(F.col("anchor").alias("shared")), "substring-shared")
     met = scratch(anchors.join(shared, F.col("anchor") == F.col("shared")).drop("shared"), "substring-met")
-    least = met.groupBy("anchor", "around").agg(F.min("doc_id").alias("least"))
+    least = scratch(met.groupBy("anchor", "around").agg(F.min("doc_id").alias("least")), "substring-least")
     judged = scratch(met.join(least, ["anchor", "around"]), "substring-judged")
     full = judged.filter("doc_id > least").select("doc_id", "mark", F.col("left").alias("first"), (F.col("left") + F.col("count") + F.lit(window - 1)).alias("end"))
     # anchors with several neighbourhoods: the first document of each gives its windows
