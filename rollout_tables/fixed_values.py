@@ -45,7 +45,6 @@ SIDE_TO_MOVE_KINDS = [
 JSON_OBJECT_PATTERN = r"\{[^{}]*\}"
 UCI_MOVE_PATTERN = r"[a-h][1-8][a-h][1-8]"
 MOVE_KEYS = ["next best move", "missing move", "move", "best move"]
-THINK_PATTERN = r"(?s)<\|im_start\|>assistant\n<think>\n(.*?)\n</think>"
 THINK_OPEN = "<|im_start|>assistant\n<think>\n"
 THINK_CLOSE = "\n</think>"
 CHARS_PER_TOKEN = 4.0
@@ -88,7 +87,6 @@ CATEGORY_WEIGHTS = [
 ]
 
 # --- fixed values: RL run settings used by reports ---
-SAMPLES_PER_PROMPT = 4
 LOGGING_STEPS = 10
 MAX_NEW_TOKENS = 256
 TARGET_TOKENS = (20, 60)

@@ -62,7 +62,7 @@ def repaired(text: Column) -> Column:
 def think_tokens(completion: Column) -> Column:
     """Approximate token count of the reasoning block (characters / 4):
     the text between the first ``<|im_start|>assistant\n<think>\n`` and the
-    next ``\n</think>`` (what the lazy pattern ``THINK_PATTERN`` captures),
+    next ``\n</think>`` (what a lazy pattern would capture),
     found with ``locate`` instead of a regex scan."""
     start = F.locate(THINK_OPEN, completion)
     body = start + F.lit(len(THINK_OPEN))
