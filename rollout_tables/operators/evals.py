@@ -95,42 +95,72 @@ def child_key(resolved_key: Column, move: Column) -> Column:
                   F.concat_ws(" ", F.nullif(resolved_key, F.lit("")), move))
 
 
-def after_move(df: DataFrame, evals: DataFrame, key: Column, row_id: str, prefix: str = "after_") -> DataFrame:
-    """F5 + F2 + F6: left-joins the evaluation of the position reached by
-    ``key``. Rows without a key get a unique non-matching key, so null keys
-    do not pile up in one shuffle partition."""
-    ev = evals.select(F.col("position_key").alias("_after_key"),
-                      F.col("fen").alias(prefix + "fen"), F.col("eval_value").alias(prefix + "cp"),
-                      F.col("eval_type").alias(prefix + "type"))
-    keyed = df.withColumn("_after_key", F.coalesce(key, F.concat(F.lit("\u0000"), F.col(row_id))))
-    return keyed.join(ev, "_after_key", "left").drop("_after_key")
+def position_children(evals: DataFrame) -> DataFrame:
+    """one row per position with its evaluated successors as parallel
+    arrays (``child_moves``, ``child_cps``, ``child_white``). A group holds the
+    legal moves of one position, at most a few hundred by the rules of the
+    game. At scale write it to a table once: a join to a scan lets AQE split a
+    hot position, a join to this aggregate does not."""
+    key = F.col("position_key")
+    move = F.substring_index(key, " ", -1)
+    parent = F.substring(key, F.lit(1), F.length(key) - F.length(move) - 1)
+    white = white_to_move(F.col("fen"), F.size(F.split(key, " ")))
+    found = evals.filter(key != "").groupBy(parent.alias("parent_key")).agg(F.sort_array(F.collect_list(
+        F.struct(move.alias("move"), F.col("eval_value").alias("cp"), white.alias("white")))).alias("c"))
+    return found.select("parent_key", F.col("c.move").alias("child_moves"), F.col("c.cp").alias("child_cps"),
+                        F.col("c.white").alias("child_white"))
+
+
+def fen_values(evals: DataFrame) -> DataFrame:
+    """one row per FEN (several move orders can reach one position). At
+    scale write it to a table once, as ``position_children``."""
+    return evals.filter(F.col("fen").isNotNull()).groupBy(F.col("fen").alias("fen_key")).agg(
+        F.min_by("eval_value", "position_key").alias("fen_cp"))
+
+
+def with_children(resolved: DataFrame, children: DataFrame, wanted: Column, row_id: str) -> DataFrame:
+    """Attaches the successors of the resolved position to the ``wanted``
+    rows. The start position is read by a scalar subquery; all other rows get
+    a unique non-matching key, so they do not pile up in one partition."""
+    names = ["child_moves", "child_cps", "child_white"]
+    start = children.filter(F.col("parent_key") == "").select(F.struct(*names).alias("s")).scalar()
+    at_start = wanted & (F.col("resolved_key") == "")
+    key = F.when(wanted & (F.col("resolved_key") != ""), F.col("resolved_key")).otherwise(
+        F.concat(F.lit("\u0000"), F.col(row_id).cast("string")))
+    joined = resolved.withColumn("parent_key", key).join(children, "parent_key", "left").drop("parent_key")
+    return joined.withColumns({n: F.when(at_start, start[n]).otherwise(F.col(n)) for n in names})
+
+
+def after_move(values: str, move: Column) -> Column:
+    """F5 + F2 + F6: the entry of ``values`` (a ``with_children`` column) for
+    the position after ``move``; null when there is no such position."""
+    place = F.array_position(F.col("child_moves"), F.nullif(move, F.lit("")))
+    return F.get(F.col(values), F.nullif(place, F.lit(0)).cast("int") - 1)
 
 
 def positions_to_evaluate(prompts: DataFrame, rollouts: DataFrame, evals: DataFrame) -> DataFrame:
     """the distinct positions and FENs a rollout batch needs that the
     evaluation table does not have yet: prompt positions, positions after a
     predicted next move, and predicted FENs. Placeholder keys ('?') are not
-    positions and are left out. Each need is reduced to distinct keys before
-    the anti join, so a hot position costs one row, not one per rollout."""
-    from rollout_tables.operators.parse import parse_completions
-    from rollout_tables.operators.rewards import join_prompts
-    x = join_prompts(rollouts, resolve_positions(prompts, evals))
-    need_pos = prompts.select(position_key(F.col("moves")).alias("key"))
-    nxt = parse_completions(x.filter(F.col("category") == "FIND_NEXT_BEST_MOVE"))
+    positions and are left out. Rollouts are scanned and parsed once and meet
+    their prompt once; the needs are reduced to distinct keys before the anti
+    join, so a hot position costs one row, not one per rollout."""
+    from rollout_tables.operators.rewards import join_prompts, parsed_rollouts
+    x = join_prompts(parsed_rollouts(rollouts), resolve_positions(prompts, evals))
+
+    def need(kind, key):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
     move = F.when(F.col("json_state") != "non_object", F.col("pred_move"))
-    # keep non-null keys with an explode, not a filter: a filter here would be
-    # pushed down through the parse projections with every parse expression
-    # inlined into its condition
-    need_child = nxt.select(F.explode(F.array_compact(F.array(child_key(F.col("resolved_key"), move)))).alias("key"))
-    positions = (need_pos.unionByName(need_child).filter(~F.col("key").contains("?")).distinct()
-                 .join(evals.select(F.col("position_key").alias("key")), "key", "left_anti")
-                 .select(F.lit("position").alias("kind"), "key"))
-    srt = parse_completions(x.filter(F.col("category") == "SORT_FENS"))
-    usable = F.when(F.size("pred_fens") >= 2, F.col("pred_fens"))
-    fens = (srt.select(F.explode(usable).alias("key")).distinct()
-            .join(evals.select(F.col("fen").alias("key")), "key", "left_anti")
-            .select(F.lit("fen").alias("kind"), "key"))
-    return positions.unionByName(fens)
+    needs = F.when(F.col("category") == "FIND_NEXT_BEST_MOVE",
+                   F.array(need("position", child_key(F.col("resolved_key"), move)))).when(
+        (F.col("category") == "SORT_FENS") & (F.size("pred_fens") >= 2),
+        F.transform("pred_fens", lambda f: need("fen", f)))
+    wanted = x.select(F.explode(needs).alias("n")).select("n.kind", "n.key").unionByName(
+        prompts.select(F.lit("position").alias("kind"), position_key(F.col("moves")).alias("key")))
+    wanted = wanted.filter(F.col("key").isNotNull() & ((F.col("kind") == "fen") | ~F.col("key").contains("?")))
+    known = evals.select(F.explode(F.array(need("position", F.col("position_key")), need("fen", F.col("fen")))).alias("n"))
+    return wanted.distinct().join(known.select("n.kind", "n.key"), ["kind", "key"], "left_anti")
 
 
 def evaluate_missing(work: DataFrame, evaluator: Callable[[pd.DataFrame], pd.DataFrame],
@@ -146,6 +176,11 @@ def evaluate_missing(work: DataFrame, evaluator: Callable[[pd.DataFrame], pd.Dat
     return work.mapInPandas(run, schema)
 
 
+def scored_evals(evals: DataFrame, mate: str = "as_cp") -> DataFrame:
+    """F8: the evaluations as the reward rules read them."""
+    return evals.withColumn("eval_value", scores.centipawns(F.col("eval_type"), F.col("eval_value"), mate))
+
+
 def mate_scaled(df: DataFrame) -> DataFrame:
     """F8 as a column on resolved rows."""
     return df.withColumn("cp_scaled", scores.centipawns(F.col("eval_type"), F.col("eval_value"), mate="scaled"))

@@ -1,12 +1,12 @@
 """REWARD job: parsed rollouts + resolved positions -> one reward per
 rollout (G1-G10, with H1/H2 scaling).
 
-The rules are ``when`` chains over columns that were materialised once
-(parse state, labels, the resolved evaluation), so nothing is parsed or
-looked up twice. Only two categories need another join: FIND_NEXT_BEST_MOVE
-looks up the position after the predicted move, SORT_FENS explodes its
-predicted FEN list and walks it with a window. Each category's rows go
-through only the joins they need, and the branches are unioned at the end.
+One pass over the rollouts: every completion is parsed where it is scanned
+and only its labels travel on; the rows meet their resolved prompt once, and
+one projection dispatches on the category. The position after a predicted
+move is looked up in the successor arrays that the prompt brings along, so
+only SORT_FENS needs another lookup: its FEN lists are exploded and walked
+with a window.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from rollout_tables.fixed_values import (
     PENALTY_FREE_TOKENS, PENALTY_SCALE, SCORE_LABELS, TOP_N_MOVES,
 )
 from rollout_tables.functions import scores
-from rollout_tables.operators.evals import after_move, child_key, resolve_positions, top_n, white_to_move
+from rollout_tables.operators.evals import (
+    after_move, fen_values, position_children, resolve_positions, scored_evals, top_n, with_children,
+)
 from rollout_tables.operators.parse import parse_completions
 
 NEXT, ADV, FINAL, MLM, LAST, SORT = ("FIND_NEXT_BEST_MOVE", "FIND_ADVANTAGED_PLAYER", "FIND_FINAL_SCORE",
@@ -49,10 +51,10 @@ def _tiered(cp: Column, s: Column, tiers) -> Column:
 def rule_next_best_move(scaling: str = "tanh") -> Column:
     """G1: the evaluation after the predicted move, from the side then to
     move; -0.1 when the move cannot be played or the text is a JSON scalar."""
-    ok = (F.col("json_state") != "non_object") & F.col("after_cp").isNotNull()
-    n_moves = F.when(F.col("resolved_key") == "", 1).otherwise(F.size(F.split("resolved_key", " ")) + 1)
-    return F.when(ok, scores.to_reward(F.col("after_cp"), white_to_move(F.col("after_fen"), n_moves), scaling)) \
-        .otherwise(F.lit(NEXT_MOVE_FAILURE))
+    move = F.col("pred_move")
+    cp = after_move("child_cps", move)
+    return F.when((F.col("json_state") != "non_object") & cp.isNotNull(),
+                  scores.to_reward(cp, after_move("child_white", move), scaling)).otherwise(F.lit(NEXT_MOVE_FAILURE))
 
 
 def rule_advantaged_player(draw_partial_credit: bool = False) -> Column:
@@ -117,26 +119,36 @@ def reasoning_penalty(tokens: Column) -> Column:
         .otherwise(F.lit(0.0))
 
 
-def sort_fen_counts(rows: DataFrame, evals: DataFrame, id_col: str = "rollout_id",
-                    carry: list[str] | None = None) -> DataFrame:
-    """G6 + F7: per rollout, how many predicted FENs evaluate at least as
-    high as the previous FEN that could be evaluated (the first always
-    counts; unknown FENs are skipped but stay in the denominator).
-
-    Rows without a list are kept (``valid_count`` 0). ``carry`` columns ride
-    along, so the caller needs no join back; the FEN join key of such rows is
-    made unique so they do not gather in one shuffle partition."""
-    carry = [c for c in (carry or []) if c != id_col]
-    ex = rows.select(id_col, *carry, F.posexplode_outer("pred_fens").alias("pos", "fen"))
-    # several move orders can reach one position: one row per FEN
-    ev = evals.groupBy(F.col("fen").alias("_fen_key")).agg(F.min_by("eval_value", "position_key").alias("fen_cp"))
-    ex = ex.withColumn("_fen_key", F.coalesce(F.col("fen"), F.concat(F.lit("\u0000"), F.col(id_col))))
-    ex = ex.join(ev, "_fen_key", "left").drop("_fen_key")
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+def sort_fen_counts(rows: DataFrame, fens: DataFrame, id_col: str, carry: list[str]) -> DataFrame:
+    """G6 + F7: per row, how many of its ``pred_fens`` evaluate at least as
+    high as the previous FEN that could be evaluated (the first always counts;
+    unknown FENs are skipped but stay in the denominator).
+
+    Rows without a list are kept (``valid_count`` 0), and repeated rows stay
+    repeated. ``carry`` columns ride along, so the caller needs no join back;
+    the FEN key of rows without a list is made unique so that they do not
+    gather in one shuffle partition."""
+    row = [id_col, "_list"]
+    ex = rows.withColumn("_list", F.xxhash64("pred_fens")).select(*row, *carry, F.posexplode_outer("pred_fens").alias("pos", "fen"))
+    key = F.coalesce(F.col("fen"), F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
+    ex = ex.withColumn("fen_key", key).join(fens, "fen_key", "left")
+    # a range frame leaves out the same place of a repeated row
+    w = Window.partitionBy(*row).orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
     prev = F.last("fen_cp", ignorenulls=True).over(w)
     valid = F.col("fen_cp").isNotNull() & (prev.isNull() | (F.col("fen_cp") >= prev))
-    return (ex.withColumn("_v", valid.cast("int")).groupBy(id_col, *carry)
-            .agg(F.coalesce(F.sum("_v"), F.lit(0)).cast("long").alias("valid_count")))
+    out = ex.withColumn("_v", valid.cast("int")).groupBy(*row, *carry).agg(
+        F.sum("_v").alias("_valid"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("_copies"))
+    out = out.withColumn("valid_count", (F.col("_valid") / F.col("_copies")).cast("long"))
+    return out.select(id_col, *carry, "valid_count", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+
+
+def parsed_rollouts(rollouts: DataFrame) -> DataFrame:
+    """The narrow step at the scan: labels instead of the completion. Of a
+    score label only the known ones matter to the rules; any other text
+    (possibly the whole completion) becomes ``''``."""
+    score = F.col("pred_score")
+    parsed = parse_completions(rollouts.select("rollout_id", "prompt_id", "step", "completion")).drop("completion")
+    return parsed.withColumn("pred_score", F.when(score.isin(*SCORE_LABELS), score).otherwise(F.lit("")))
 
 
 def join_prompts(parsed: DataFrame, resolved_prompts: DataFrame) -> DataFrame:
@@ -153,80 +165,63 @@ def join_prompts(parsed: DataFrame, resolved_prompts: DataFrame) -> DataFrame:
 
 def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, scaling: str = "tanh",
                    draw_partial_credit: bool = False, extra_rules: dict[str, Column] | None = None,
-                   categories: list[str] | None = None) -> DataFrame:
+                   categories: list[str] | None = None, mate: str = "as_cp", children: DataFrame | None = None,
+                   fens: DataFrame | None = None) -> DataFrame:
     """G7 + G8 + G9: one row per rollout with the category reward
     (``reward_raw``), the reasoning penalty and the final ``reward``.
 
     ``rollouts`` has ``rollout_id``, ``prompt_id``, ``step``, ``completion``;
     ``prompts`` is the output of ``rl_prompts`` (``record_id`` = prompt id);
     ``extra_rules`` maps further categories to reward columns (K3);
-    ``categories`` restricts the job to those categories (only their
-    branches are built).
-
-    Plan: rollouts meet their resolved prompt first; the rows then split by
-    category and each branch parses only its own rows, so every completion
-    is parsed once and only FIND_NEXT_BEST_MOVE rows (after-move lookup) and
-    SORT_FENS rows (explode, FEN lookup, window) take a further shuffle.
+    ``categories`` restricts the job to those categories; ``mate="scaled"``
+    puts mate scores on the centipawn scale (F8). ``children`` and ``fens``
+    are the written tables of ``position_children`` and ``fen_values`` of the
+    evaluations as scored (after ``scored_evals`` if mates are scaled); they
+    are derived here when not given.
+
+    Plan: one scan of the rollouts, parsed where it is read; one join to the
+    resolved prompts with the labels only; one projection. Only where
+    SORT_FENS is wanted do the rows, by then without labels, also go through
+    the FEN lookup and its window.
     """
-    x = join_prompts(rollouts, resolve_positions(prompts, evals))
+    evals = scored_evals(evals, mate)
     cat = F.col("category")
-    keep = [c for c in OUTPUT_COLUMNS if c not in ("penalty", "reward")]
-    if categories is not None:
-        x = x.filter(cat.isin(*categories))
 
     def wanted(name):
         return categories is None or name in categories
 
-    branches = []
+    pr = resolve_positions(prompts, evals)
+    if "record_id" in pr.columns and "prompt_id" not in pr.columns:
+        pr = pr.withColumnRenamed("record_id", "prompt_id")
+    if wanted(NEXT):
+        pr = with_children(pr, position_children(evals) if children is None else children,
+                           F.coalesce(cat == NEXT, F.lit(False)), "prompt_id")
+    x = join_prompts(parsed_rollouts(rollouts), pr)
+    if categories is not None:
+        x = x.filter(cat.isin(*categories))
+    rules = {ADV: rule_advantaged_player(draw_partial_credit), FINAL: rule_final_score(),
+             MLM: rule_missing_moves(), LAST: rule_last_move()}
     if wanted(NEXT):
-        branches.append(_next_branch(x, evals, scaling))
+        rules[NEXT] = rule_next_best_move(scaling)
+    rules = {name: rule for name, rule in rules.items() if wanted(name)}
+    known = {NEXT, SORT, ADV, FINAL, MLM, LAST}
+    rules.update({name: rule for name, rule in (extra_rules or {}).items() if name not in known and wanted(name)})
+    reward = F.lit(0.0)
+    for name, rule in rules.items():
+        reward = F.when(cat == name, rule.cast("double")).otherwise(reward)
+    keep = [c for c in OUTPUT_COLUMNS if c not in ("penalty", "reward")]
+    x = x.withColumn("reward_raw", reward)
     if wanted(SORT):
-        branches.append(_sort_branch(x, evals, keep))
-    # one branch per remaining category: each parses only its rows, and
-    # column pruning leaves only the label its rule reads
-    simple = {ADV: rule_advantaged_player(draw_partial_credit), FINAL: rule_final_score(),
-              MLM: rule_missing_moves(), LAST: rule_last_move()}
-    for name, rule in simple.items():
-        if wanted(name):
-            branches.append(parse_completions(x.filter(cat == name)).withColumn("reward_raw", rule))
-    known = [NEXT, SORT, *simple]
-    if categories is None or any(c not in known for c in categories):
-        chain = F.lit(0.0)
-        if extra_rules:
-            chain = None
-            for name, rule in extra_rules.items():
-                chain = F.when(cat == name, rule) if chain is None else chain.when(cat == name, rule)
-            chain = chain.otherwise(F.lit(0.0))
-        branches.append(parse_completions(x.filter(~cat.isin(*known))).withColumn("reward_raw", chain))
-
-    out = branches[0].select(*keep)
-    for b in branches[1:]:
-        out = out.unionByName(b.select(*keep))
-    out = out.withColumn("reward_raw", F.col("reward_raw").cast("double"))
-    out = out.withColumn("penalty", reasoning_penalty(F.col("think_tokens")))
+        usable = (cat == SORT) & (F.col("json_state") == "object") & (F.size("pred_fens") >= 2)
+        x = x.withColumn("pred_fens", F.when(usable, F.col("pred_fens")))
+        x = x.withColumn("n_fens", F.when(F.col("pred_fens").isNotNull(), F.size("pred_fens")))
+        x = sort_fen_counts(x, fen_values(evals) if fens is None else fens, "rollout_id",
+                            [*(c for c in keep if c != "rollout_id"), "n_fens"])
+        x = x.withColumn("reward_raw", F.when(cat == SORT, rule_sort_fens()).otherwise(F.col("reward_raw")))
+    out = x.select(*keep).withColumn("penalty", reasoning_penalty(F.col("think_tokens")))
     return out.withColumn("reward", F.col("reward_raw") - F.col("penalty"))
 
 
-def _next_branch(x: DataFrame, evals: DataFrame, scaling: str) -> DataFrame:
-    """FIND_NEXT_BEST_MOVE rows: parse, then the after-move lookup."""
-    nxt = parse_completions(x.filter(F.col("category") == NEXT))
-    move = F.when(F.col("json_state") != "non_object", F.col("pred_move"))
-    nxt = after_move(nxt, evals, child_key(F.col("resolved_key"), move), "rollout_id") \
-        .withColumn("reward_raw", rule_next_best_move(scaling))
-    return nxt
-
-
-def _sort_branch(x: DataFrame, evals: DataFrame, keep: list[str]) -> DataFrame:
-    """SORT_FENS rows: parse, explode the FEN list, FEN lookup, window."""
-    srt = parse_completions(x.filter(F.col("category") == SORT))
-    carried = [c for c in keep if c not in ("rollout_id", "reward_raw")] + ["n_fens"]
-    usable = F.when((F.col("json_state") == "object") & (F.size("pred_fens") >= 2), F.col("pred_fens"))
-    srt = srt.withColumn("pred_fens", usable).withColumn("n_fens", F.size("pred_fens"))
-    srt = srt.withColumn("n_fens", F.when(F.col("pred_fens").isNotNull(), F.col("n_fens")))
-    srt = sort_fen_counts(srt, evals, "rollout_id", carried)
-    return srt.withColumn("reward_raw", rule_sort_fens())
-
-
 def weighted_rewards(scored: DataFrame, weights: DataFrame, default_weight: float = 1.0) -> DataFrame:
     """Attaches the category weight; of a category listed more than once
     the largest weight holds."""
