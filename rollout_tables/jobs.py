@@ -20,8 +20,9 @@ from rollout_tables.fixed_values import SPLIT_SEED, SPLITS_3WAY, SPLITS_4WAY
 from rollout_tables.operators import messages as M
 from rollout_tables.operators import reports as R
 from rollout_tables.operators import splits as S
+from rollout_tables.operators.evals import fen_values, position_children, scored_evals
 from rollout_tables.operators.rewards import score_rollouts
-from rollout_tables.session import build_session
+from rollout_tables.session import build_session, materialise
 from rollout_tables.sources import datasets as DS
 
 
@@ -57,9 +58,14 @@ def prep_rl(spark, a):
 
 
 def score(spark, a):
-    """REWARD: one reward per rollout."""
-    out = score_rollouts(_read(spark, a.rollouts, a.format), _read(spark, a.prompts, a.format),
-                         _read(spark, a.evals, a.format), scaling=a.scaling)
+    """REWARD: one reward per rollout. The lookup tables are written first,
+    so that the joins read scans and AQE can split a hot position."""
+    evals = _read(spark, a.evals, a.format)
+    as_scored = scored_evals(evals, a.mate)
+    children = materialise(position_children(as_scored), "children")
+    fens = materialise(fen_values(as_scored), "fens")
+    out = score_rollouts(_read(spark, a.rollouts, a.format), _read(spark, a.prompts, a.format), evals,
+                         scaling=a.scaling, mate=a.mate, children=children, fens=fens)
     out.write.mode("overwrite").parquet(a.output)
 
 
@@ -92,6 +98,7 @@ def main(argv=None):
     for arg in ("--rollouts", "--prompts", "--evals", "--output"):
         r.add_argument(arg, required=True)
     r.add_argument("--scaling", default="tanh", choices=["tanh", "linear"])
+    r.add_argument("--mate", default="as_cp", choices=["as_cp", "scaled"])
     t = sub.add_parser("report")
     t.add_argument("--rewards", required=True)
     t.add_argument("--output", required=True)

@@ -15,6 +15,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollout_tables.operators.evals import fen_values, position_children
 from rollout_tables.operators.messages import rl_prompts
 from rollout_tables.session import checkpoint_dir
 from rollout_tables.sources import fixtures as fx
@@ -49,6 +50,14 @@ def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _materialise(spark, sf_dir, "evals", lambda: fx.evals(spark, sf_dir, prompts(spark, sf_dir)))
 
 
+def children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _materialise(spark, sf_dir, "children", lambda: position_children(evals(spark, sf_dir)))
+
+
+def fens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _materialise(spark, sf_dir, "fens", lambda: fen_values(evals(spark, sf_dir)))
+
+
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _materialise(spark, sf_dir, "rollouts", lambda: fx.rollouts(spark, sf_dir))
 
@@ -59,5 +68,5 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepare(spark: SparkSession, sf_dir: str) -> None:
     """Writes every derived input (used by bench.py to time it apart)."""
-    for f in (records, prompts, evals, rollouts, token_rows):
+    for f in (records, prompts, evals, children, fens, rollouts, token_rows):
         f(spark, sf_dir)

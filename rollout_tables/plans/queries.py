@@ -174,7 +174,8 @@ def _scored(spark, sf, **kw):
     construction costs seconds of analysis, and every run re-executes it."""
     key = (spark.sparkContext.applicationId, sf, tuple(sorted((k, repr(v)) for k, v in kw.items())))
     if key not in _SCORED:
-        _SCORED[key] = G.score_rollouts(I.rollouts(spark, sf), I.prompts(spark, sf), I.evals(spark, sf), **kw)
+        _SCORED[key] = G.score_rollouts(I.rollouts(spark, sf), I.prompts(spark, sf), I.evals(spark, sf),
+                                          children=I.children(spark, sf), fens=I.fens(spark, sf), **kw)
     return _SCORED[key]
 
 

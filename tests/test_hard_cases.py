@@ -91,3 +91,16 @@ def test_many_split_names_are_no_error(spark):
     assert val_split(df, "zz", ("s8",)).count() == 1 and val_split(df, "zz") is None
     with pytest.raises(ValueError):
         rl_train_split(df, "zz")
+
+
+def test_repeated_rows_stay_and_mates_can_be_scaled(spark):
+    prompts = prompts_df(spark, [(1, "SORT_FENS", []), (2, "FIND_NEXT_BEST_MOVE", []), (3, "FIND_NEXT_BEST_MOVE", ["e2e4"])])
+    answer = json.dumps({"sorted FENs": [EVAL_ROWS[2][1], EVAL_ROWS[1][1], "unknown"]})
+    rollouts = rollouts_df(spark, [("a", 1, answer)] * 3 + [("b", 2, '{"move": "e2e4"}')] * 2 + [("c", 3, '{"move": "e7e5"}')])
+    scored = score_rollouts(rollouts, prompts, evals_df(spark)).collect()
+    assert sorted(r.rollout_id for r in scored) == ["a", "a", "a", "b", "b", "c"]
+    assert {r.reward_raw for r in scored if r.rollout_id == "a"} == {0.5 + 0.5 * 2 / 3}
+    mates = spark.createDataFrame([(k, f, "mate" if k else t, 3 if k else v, *rest) for k, f, t, v, *rest in EVAL_ROWS], EVAL_SCHEMA)
+    plain = by_id(score_rollouts(rollouts, prompts, mates))
+    scaled = by_id(score_rollouts(rollouts, prompts, mates, mate="scaled"))
+    assert abs(plain["c"].reward_raw) < 0.1 and scaled["c"].reward_raw > 0.99 and scaled["b"].reward_raw < -0.99

@@ -34,3 +34,23 @@ def test_scans_are_pruned(spark):
     plan = QUERIES["completion_lengths"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<completion:string>" in plan or "struct<completion:string>" in plan
     I.prepare(spark, SF001)
+
+
+def test_rewards_scan_rollouts_once_and_shuffle_no_completion(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("reward_all", "reward_by_category", "positions_to_evaluate"):
+            plan = _plan(QUERIES[name](spark, SF001))
+            lines = plan.splitlines()
+            scans = [i for i, x in enumerate(lines) if "FileScan" in x and "completion" in x]
+            assert len(scans) == 1, name
+
+            def depth(x):
+                return len(x) - len(x.lstrip(" :+-"))
+
+            exchange = max(i for i in range(scans[0]) if "Exchange" in lines[i] and depth(lines[i]) < depth(lines[scans[0]]))
+            project = next(x for x in lines[exchange + 1:] if "Project [" in x)
+            assert "pred_" in project and "completion#" not in project and "_c#" not in project.replace("(_c#", ""), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
