@@ -363,6 +363,8 @@ CONVERSATIONS = """
 conv AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS messages
          FROM conversations GROUP BY conv_id)"""
 
+# a real token must follow the header (dropped for the rule as written)
+LAST_WITH_ANSWER = "\n  AND (i - 1) + list_position(ids[i + 1:i + 9], 198) + 1 < n_real"
 TOKENS = f"""
 tr AS (
   SELECT conv_id,
@@ -377,8 +379,7 @@ t3 AS (SELECT conv_id, n_ids, len(tids) AS n_real,
               tids || list_transform(range(greatest({fx.TOKEN_ROW_LENGTH} - len(tids), 0)), lambda z: {fx.PAD_ID}) AS ids
        FROM t2),
 t4 AS (SELECT *, list_max(list_transform(ids, lambda x, i:
-          CASE WHEN x = 248045 AND list_contains(ids[i + 1:i + 9], 198)
-                    AND (i - 1) + list_position(ids[i + 1:i + 9], 198) + 1 < n_real THEN i - 1 END)) AS hdr
+          CASE WHEN x = 248045 AND list_contains(ids[i + 1:i + 9], 198){LAST_WITH_ANSWER} THEN i - 1 END)) AS hdr
        FROM t3),
 t5 AS (SELECT *, CASE WHEN hdr IS NOT NULL THEN hdr + list_position(ids[hdr + 2:hdr + 10], 198) + 1 END AS answer_start
        FROM t4),
@@ -393,6 +394,8 @@ def _reward_of(category: str, **kw) -> str:
 
 
 ALL = with_(RECORDS, PROMPTS, EVALS, ROLLOUTS, RESOLVED, _scored())
+# a mate in n counts as 10,000 + n centipawns
+EVALS_MATE_SCALED = EVALS.replace("v AS eval_value", "(CASE WHEN substr(h, 32, 1) = '0' THEN 10000 + v ELSE v END)::INT AS eval_value")
 
 ORACLE = {
     "split_3way_assign": with_(_split_sql("documents", SPLITS_3WAY)) + "SELECT doc_id, split_rank, split FROM assigned",
@@ -403,6 +406,10 @@ SELECT split, {_split_order(SPLITS_3WAY)} AS split_order, count(*) AS n,
     "split_resolve": with_(_split_sql("documents", SPLITS_4WAY)) + """
 SELECT doc_id, split, CASE split WHEN 'sft_train' THEN 'train' ELSE 'eval' END AS use
 FROM assigned WHERE split IN ('sft_train', 'sft_val')""",
+    "split_resolve_rl": with_(_split_sql("documents", SPLITS_4WAY)) + """
+SELECT doc_id, 'requested' AS arm, true AS has_eval FROM assigned WHERE split = 'rl'
+UNION ALL SELECT doc_id, 'train', true FROM assigned WHERE split = 'sft_train'
+UNION ALL SELECT doc_id, 'whole', false FROM documents""",
     "sft_messages": with_(RECORDS, f"""
 sm AS (SELECT record_id, CASE WHEN coalesce(input, '') <> '' THEN
          [{_msg('system', lit(SYSTEM_PREFIX + SYSTEM_TASK) + " || coalesce(task, '') || " + lit(SYSTEM_KIND) + " || coalesce(KIND, '')")},
@@ -429,6 +436,10 @@ SELECT conv_id, coalesce(array_to_string(list_transform(messages, lambda m, i: {
     "token_rows_masked": with_(CONVERSATIONS, TOKENS) + """
 SELECT conv_id, n_ids::BIGINT AS n_ids, n_real::BIGINT AS n_real, answer_start::BIGINT AS answer_start,
        array_to_string(ids, ',') AS input_ids, CAST(n_real AS BIGINT) AS n_attended, array_to_string(labels, ',') AS labels
+FROM masked""",
+    "token_rows_last_header": with_(CONVERSATIONS, TOKENS.replace(LAST_WITH_ANSWER, "")) + """
+SELECT conv_id, n_ids::BIGINT AS n_ids, n_real::BIGINT AS n_real, answer_start::BIGINT AS answer_start,
+       array_to_string(ids, ',') AS input_ids, CAST(n_real AS BIGINT) AS n_attended, array_to_string(labels, ',') AS labels
 FROM masked""",
     "token_audit": with_(CONVERSATIONS, TOKENS) + f"""
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE n_ids > {fx.TOKEN_ROW_LENGTH}) AS n_truncated,
@@ -469,6 +480,8 @@ WHERE f NOT IN (SELECT fen FROM evals)""",
     "reward_all": ALL + """
 SELECT rollout_id, category, json_state, (round(reward_raw, 6) + 0.0) AS reward_raw, (round(think_tokens, 6) + 0.0) AS think_tokens,
        (round(penalty, 6) + 0.0) AS penalty, (round(reward, 6) + 0.0) AS reward FROM scored""",
+    "reward_all_mate_scaled": with_(RECORDS, PROMPTS, EVALS_MATE_SCALED, ROLLOUTS, RESOLVED, _scored()) + """
+SELECT rollout_id, category, (round(reward_raw, 6) + 0.0) AS reward_raw, (round(reward, 6) + 0.0) AS reward FROM scored""",
     "reward_weighted": ALL.rstrip() + ",\nweights(category, weight) AS (VALUES " + ", ".join(
         f"({lit(c)}, {w})" for c, w in CATEGORY_WEIGHTS) + """)
 SELECT s.category, count(*) AS n, (round(avg(reward), 6) + 0.0) AS mean_reward,

@@ -65,6 +65,18 @@ def split_resolve(spark, sf):
     return train.unionByName(val).select("doc_id", "split", "use")
 
 
+def split_resolve_rl(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id")
+    named = S.split_4way(docs, "doc_id").select("doc_id", "split")
+    plain = named.replace({"sft_train": "train"}, subset=["split"])
+    out = None
+    for arm, df, name in (("requested", named, "rl"), ("train", plain, "absent"), ("whole", docs, "rl")):
+        picked, has_eval = DS.rl_train_split(df, name)
+        part = picked.select("doc_id", F.lit(arm).alias("arm"), F.lit(has_eval).alias("has_eval"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- PREP ------------------------------------------------------------------
 
 def sft_messages(spark, sf):
@@ -97,12 +109,16 @@ def conversation_text_llama3(spark, sf):
     return conv.select("conv_id", render_llama3(F.col("messages"), add_generation_prompt=True).alias("text"))
 
 
-def _masked(spark, sf):
-    return mask_token_rows(I.token_rows(spark, sf), TOKEN_LEN, fx.PAD_ID)
+def _masked(spark, sf, rule="answer"):
+    return mask_token_rows(I.token_rows(spark, sf), TOKEN_LEN, fx.PAD_ID, rule)
+
 
+def token_rows_last_header(spark, sf):
+    return token_rows_masked(spark, sf, "last_header")
 
-def token_rows_masked(spark, sf):
-    m = _masked(spark, sf)
+
+def token_rows_masked(spark, sf, rule="answer"):
+    m = _masked(spark, sf, rule)
     return m.select("conv_id", F.col("n_ids").cast("long").alias("n_ids"), F.col("n_real").cast("long").alias("n_real"),
                     F.col("answer_start").cast("long").alias("answer_start"),
                     _join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
@@ -174,8 +190,9 @@ def _scored(spark, sf, **kw):
     construction costs seconds of analysis, and every run re-executes it."""
     key = (spark.sparkContext.applicationId, sf, tuple(sorted((k, repr(v)) for k, v in kw.items())))
     if key not in _SCORED:
-        _SCORED[key] = G.score_rollouts(I.rollouts(spark, sf), I.prompts(spark, sf), I.evals(spark, sf),
-                                          children=I.children(spark, sf), fens=I.fens(spark, sf), **kw)
+        if "mate" not in kw:  # the written tables hold the evaluations as they are
+            kw = dict(kw, children=I.children(spark, sf), fens=I.fens(spark, sf))
+        _SCORED[key] = G.score_rollouts(I.rollouts(spark, sf), I.prompts(spark, sf), I.evals(spark, sf), **kw)
     return _SCORED[key]
 
 
@@ -202,6 +219,10 @@ def reward_all(spark, sf):
                                           "penalty", "reward"))
 
 
+def reward_all_mate_scaled(spark, sf):
+    return flat(_scored(spark, sf, mate="scaled").select("rollout_id", "category", "reward_raw", "reward"))
+
+
 def reward_weighted(spark, sf):
     w = G.weighted_rewards(_scored(spark, sf), fx.weights(spark))
     return flat(R.weighted_report(w))
@@ -242,12 +263,14 @@ QUERIES = {
     "split_4way_assign": split_4way_assign,
     "split_size_report": split_size_report,
     "split_resolve": split_resolve,
+    "split_resolve_rl": split_resolve_rl,
     "sft_messages": sft_messages,
     "rl_prompts": rl_prompts,
     "rl_prompts_with_answer": rl_prompts_with_answer,
     "conversation_text_chatml": conversation_text_chatml,
     "conversation_text_llama3": conversation_text_llama3,
     "token_rows_masked": token_rows_masked,
+    "token_rows_last_header": token_rows_last_header,
     "token_audit": token_audit_q,
     "completion_parse": completion_parse,
     "completion_lists": completion_lists,
@@ -262,6 +285,7 @@ QUERIES = {
     "reward_sort_fens": reward_sort_fens,
     "reward_linear": reward_linear,
     "reward_all": reward_all,
+    "reward_all_mate_scaled": reward_all_mate_scaled,
     "reward_weighted": reward_weighted,
     "group_advantage": group_advantage,
     "reward_by_interval": reward_by_interval,
