@@ -133,7 +133,8 @@ def with_children(resolved: DataFrame, children: DataFrame, wanted: Column, row_
 
 def after_move(values: str, move: Column) -> Column:
     """F5 + F2 + F6: the entry of ``values`` (a ``with_children`` column) for
-    the position after ``move``; null when there is no such position."""
+    the position after ``move``; null when there is no such position (text
+    with a blank in it is not one move, so it is not playable)."""
     place = F.array_position(F.col("child_moves"), F.nullif(move, F.lit("")))
     return F.get(F.col(values), F.nullif(place, F.lit(0)).cast("int") - 1)
 
