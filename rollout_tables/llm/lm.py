@@ -8,12 +8,12 @@ output is a distribution over the vocabulary in two steps (class, then word
 within the class), so it is normalised and cheap. A document's score is the sum
 over all its tokens of log p(token | both sides).
 
-Training reads every document: in each round every task runs its own Adagrad
-over the documents of its partition, with a quarter of the places, chosen by a
-hash, masked and predicted (as masked models are trained); the tasks' weights,
-weighted by tokens, are averaged by a tree reduction, so what is gathered grows
-with the partitions and what reaches the driver does not. Scoring then covers
-every place of every document.
+Training predicts every place of every document once: round ``turn`` masks the
+places whose number in the document is ``turn`` modulo the number of rounds. In
+each round every task runs its own Adagrad over the documents of its partition;
+the tasks' weights, weighted by tokens, are averaged by a tree reduction, so
+what is gathered grows with the partitions and what reaches the driver does not.
+Scoring then covers every place of every document.
 
 Defined cases: null and empty texts have no tokens and score 0; rows with equal
 or null doc_ids are scored one by one; an empty table gives an empty result;
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollout_tables.llm.common import ALNUM, arrow_map, chunks, mix, signed, table, utf8, word_hashes
+from rollout_tables.llm.common import ALNUM, arrow_map, chunks, signed, table, utf8, word_hashes
 
 CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
@@ -35,7 +35,6 @@ SIDE = 2
 WIDTH = 16
 ROUNDS = 2
 RATE = 0.15
-MASKED = 4  # one place in so many is predicted in training
 STEP = 1024
 
 
@@ -128,6 +127,11 @@ def gradient(weights, around, target):
     return [ge, np.einsum("nkd,nd->kd", seen, dt), total.T @ dh, dh.sum(0), hidden.T @ dc, dc.sum(0), hidden.T @ di, gbi]
 
 
+def places_of(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Places that a round predicts: over all rounds, each place once."""
+    return np.flatnonzero((np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))) % rounds == turn)
+
+
 def train(docs: DataFrame, words: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Weights averaged over the tasks, round by round."""
     spark = docs.sparkSession
@@ -148,8 +152,7 @@ def train(docs: DataFrame, words: np.ndarray, rounds: int = ROUNDS) -> list[np.n
                 for part in chunks(batch):
                     found, _, _, first = word_hashes(*utf8(part.column(0)), ALNUM, lower=True)
                     ids = token_ids(found, known, rank)
-                    near = np.r_[found[1:], found[:1]] if len(found) else found
-                    places = np.flatnonzero(mix(found * np.uint64(3) + near) % np.uint64(MASKED) == turn % MASKED)
+                    places = places_of(first, turn, rounds)
                     tokens += len(found)
                     for k in range(0, len(places), STEP):
                         own = places[k:k + STEP]

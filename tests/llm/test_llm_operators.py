@@ -379,6 +379,23 @@ def test_language_model_is_normalised_and_sees_no_target():
     assert around[0].tolist()[:2] == [lm.VOCABULARY] * 2 and around[10].tolist()[2:] == [lm.VOCABULARY] * 2
 
 
+def test_every_place_is_a_training_target_once():
+    first = np.array([0, 5, 5, 12, 13])
+    for rounds in (1, 2, 3):
+        assert sorted(np.concatenate([lm.places_of(first, t, rounds) for t in range(rounds)]).tolist()) == list(range(13))
+
+
+def test_a_fixed_successor_is_learned(spark):
+    # of every pair of a word and its only successor both are predicted, whatever they hash to
+    pairs = [(f"left{k}", f"right{k}") for k in range(12)]
+    docs = docs_of(spark, [(n, " ".join(f"{a} {b}" for a, b in random.Random(n).sample(pairs, 12))) for n in range(4000)])
+    words = lm.vocabulary(docs)
+    weights = lm.train(docs.coalesce(1), words)
+    for a, b in pairs:
+        logs = {r.doc_id: r.log_likelihood for r in lm.score(docs_of(spark, [(0, f"{a} {b}"), (1, f"{b} {a}")]), words, weights).collect()}
+        assert logs[0] > -2 * np.log(lm.CLASSES)
+
+
 # --- 9 SimHash ---------------------------------------------------------------------------
 
 def simple_fingerprint(text, k=3):
