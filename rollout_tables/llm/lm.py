@@ -1,12 +1,21 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
-Tokens are the corpus's most frequent lower-cased words (``VOCABULARY``, counted
-over all documents by Spark) and one token for all others. For every token the
-network sees ``SIDE`` tokens on each side and none of the token itself: their
-embeddings, each weighted by its place, are added and pass a tanh layer. The
-output is a distribution over the vocabulary in two steps (class, then word
-within the class), so it is normalised and cheap. A document's score is the sum
-over all its tokens of log p(token | both sides).
+The vocabulary follows the corpus: Spark counts all lower-cased words, and every
+word met ``LEAST`` times or more is in it. The ``NAMED`` most frequent have a
+token of their own; the others share tokens, dealt by hash into buckets of about
+``BUCKET_WORDS`` words (so their number grows with the corpus), and a word has a
+probability within its bucket: its count less a discount, and the discounts of
+the bucket dealt out by spelling. Words met less often, or never, are one token
+times the probability of their spelling: an interpolated byte trigram model,
+counted over the corpus's words below ``LEAST``. So each word has a probability
+of its own. Over all byte strings they sum to 1 less what the spelling model
+gives to words of the vocabulary.
+
+For every place the network sees ``SIDE`` tokens on each side and none of the
+token itself: their embeddings, each weighted by its place, are added and pass a
+tanh layer. The output is a distribution over the tokens in two steps (class,
+then token within the class), so it is normalised and cheap. A document's score
+is the sum over all its words of log p(word | both sides).
 
 Training predicts every place of every document once: round ``turn`` masks the
 places whose number in the document is ``turn`` modulo the number of rounds. In
@@ -27,65 +36,177 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollout_tables.llm.common import ALNUM, arrow_map, chunks, signed, table, utf8, word_hashes
+from rollout_tables.llm.common import ALNUM, LOWER, arrow_map, chunks, scratch, signed, table, utf8, word_hashes
 
-CLASSES = 64
+CLASSES = 64  # at least; the classes are as many as the tokens of a class
 VOCABULARY = CLASSES * CLASSES
+NAMED = VOCABULARY - 1
+BUCKET_WORDS = 256
+LEAST = 8
+DISCOUNT = 0.5
 SIDE = 2
 WIDTH = 16
 ROUNDS = 2
 RATE = 0.15
 STEP = 1024
-
-
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words, most frequent first (ties: hash)."""
+END, START, SYMBOLS = 256, 257, 258  # of the spelling model; the others are bytes
+BACKOFF = 4.0  # weight of the lower order in the spelling model
+HELD = 1 << 20
+
+
+def _trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Codes of the trigrams of words and their ends, and each word's first."""
+    size = ends - starts + 1
+    first = np.cumsum(size) - size
+    inside = np.arange(size.sum()) - np.repeat(first, size)
+    at = np.repeat(starts, size) + inside
+    sign = data[np.minimum(at, max(len(data) - 1, 0))].astype(np.int64) if len(data) else np.zeros(len(at), np.int64)
+    sign[first + size - 1] = END
+    one, two = np.roll(sign, 1), np.roll(sign, 2)
+    one[inside < 1] = START
+    two[inside < 2] = START
+    return (two * SYMBOLS + one) * SYMBOLS + sign, first
+
+
+def spelling(codes: np.ndarray, n: np.ndarray) -> dict:
+    """Byte trigram model, interpolated with lower orders, from counts by code."""
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order].astype(float)
+    pair, sign = np.divmod(codes, SYMBOLS)
+    after = np.bincount(pair, n, SYMBOLS * SYMBOLS)
+    two = np.bincount(pair % SYMBOLS * SYMBOLS + sign, n, SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS)
+    one = np.bincount(sign, n, SYMBOLS) + 1
+    one[START] = 0
+    two = (two + BACKOFF * one / one.sum()) / (two.sum(axis=1, keepdims=True) + BACKOFF)
+    share = BACKOFF / (after + BACKOFF)
+    seen = n / (after[pair] + BACKOFF) + share[pair] * two.ravel()[codes % (SYMBOLS * SYMBOLS)]
+    two[:, START] = 1  # never asked
+    return {"codes": codes, "seen": np.log(seen), "share": np.log(share), "two": np.log(two).ravel()}
+
+
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: dict) -> np.ndarray:
+    """Log-probability of each word's spelling (lower-case bytes) and its end."""
+    if not len(starts):
+        return np.zeros(0)
+    codes, first = _trigrams(data, starts, ends)
+    logs = model["share"][codes // SYMBOLS] + model["two"][codes % (SYMBOLS * SYMBOLS)]
+    if len(model["codes"]):
+        at = np.searchsorted(model["codes"], codes)
+        at[at == len(model["codes"])] = 0
+        logs = np.where(model["codes"][at] == codes, model["seen"][at], logs)
+    return np.add.reduceat(logs, first)
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column without nulls."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum([len(x) for x in parts], dtype=np.int64)]
+
+
+def vocabulary(docs: DataFrame) -> dict:
+    """Words met LEAST times or more (``known``, sorted hashes) with their token
+    and log-probability within it, the number of classes, and the spelling model."""
     def count(batches):
         for batch in batches:
             for part in chunks(batch):
-                words, n = np.unique(word_hashes(*utf8(part.column(0)), ALNUM, lower=True)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([signed(words), pa.array(n)], ["word", "n"])
+                data, offsets = utf8(part.column(0))
+                found, starts, ends, _ = word_hashes(data, offsets, ALNUM, lower=True)
+                words, at, n = np.unique(found, return_index=True, return_counts=True)
+                raw = LOWER[data].tobytes()
+                spelt = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+                yield pa.RecordBatch.from_arrays([signed(words), pa.array(spelt, pa.binary()), pa.array(n)], ["word", "spelt", "n"])
 
-    counts = arrow_map(docs.select(F.col("text").cast("string").alias("text")), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).toArrow()
-    return top.column("word").to_numpy().view(np.uint64)
+    def rare(batches):
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, held_n, size = [], [], 0
 
+        def merged():
+            every, at = np.unique(np.concatenate([codes, *held]), return_inverse=True)
+            return every, np.bincount(at, np.concatenate([n, *held_n]), len(every)).astype(np.int64)
 
-def start_weights() -> list[np.ndarray]:
+        for batch in batches:
+            data, offsets = _bytes_of(batch.column(0))
+            own, first = _trigrams(data, offsets[:-1], offsets[1:])
+            held.append(own)
+            held_n.append(np.repeat(batch.column(1).to_numpy(), np.diff(np.r_[first, len(own)])))
+            size += len(own)
+            if size >= HELD:
+                codes, n = merged()
+                held, held_n, size = [], [], 0
+        codes, n = merged()
+        for k in range(0, len(codes), HELD):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[k:k + HELD]), pa.array(n[k:k + HELD])], ["code", "n"])
+
+    def rate(batches):
+        for batch in batches:
+            data, offsets = _bytes_of(batch.column(1))
+            logs = spelled(data, offsets[:-1], offsets[1:], shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(logs / np.diff(offsets))], ["word", "n", "spelling"])
+
+    counts = arrow_map(docs.select(F.col("text").cast("string").alias("text")), count, "word long, spelt binary, n long")
+    counts = scratch(counts.groupBy("word", "spelt").agg(F.sum("n").alias("n")), "lm-words")
+    trigrams = arrow_map(counts.filter(F.col("n") < LEAST).select("spelt", "n"), rare, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    model = spelling(trigrams.column("code").to_numpy(), trigrams.column("n").to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = arrow_map(counts.filter(F.col("n") >= LEAST), rate, "word long, n long, spelling double").toArrow()
+    words, n, spelt = (kept.column(c).to_numpy() for c in ("word", "n", "spelling"))
+    words = words.view(np.uint64)
+    order = np.lexsort((words, -n))
+    words, n, spelt = words[order], n[order].astype(float), np.exp(spelt[order])
+    token, within = np.arange(1, len(words) + 1), np.zeros(len(words))
+    buckets = -(-max(len(words) - NAMED, 0) // BUCKET_WORDS)
+    if buckets:
+        bucket, n, spelt = (words[NAMED:] % np.uint64(buckets)).astype(np.int64), n[NAMED:], spelt[NAMED:]
+        token[NAMED:] = 1 + NAMED + bucket
+        held = DISCOUNT * np.bincount(bucket)[bucket] * spelt / np.bincount(bucket, spelt)[bucket]
+        within[NAMED:] = np.log((n - DISCOUNT + held) / np.bincount(bucket, n)[bucket])
+    order = np.argsort(words)
+    classes = max(CLASSES, int(np.ceil(np.sqrt(1 + NAMED + buckets))))
+    return {"known": words[order], "token": token[order], "within": within[order], "classes": classes, "spelling": model}
+
+
+def start_weights(classes: int = CLASSES) -> list[np.ndarray]:
     rng = np.random.default_rng(7)
     f = np.float32
-    return [(rng.normal(0, 0.1, (VOCABULARY + 1, WIDTH))).astype(f),  # embeddings; the last is beyond the ends
+    return [(rng.normal(0, 0.1, (classes * classes + 1, WIDTH))).astype(f),  # embeddings; the last is beyond the ends
             np.ones((2 * SIDE, WIDTH), f) + rng.normal(0, 0.1, (2 * SIDE, WIDTH)).astype(f),  # places
             rng.normal(0, 0.3, (WIDTH, WIDTH)).astype(f), np.zeros(WIDTH, f),
-            np.zeros((WIDTH, CLASSES), f), np.zeros(CLASSES, f),
-            np.zeros((WIDTH, CLASSES), f), np.zeros((CLASSES, CLASSES), f)]
+            np.zeros((WIDTH, classes), f), np.zeros(classes, f),
+            np.zeros((WIDTH, classes), f), np.zeros((classes, classes), f)]
 
 
-def token_ids(words: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """0 for other words, else 1 + the word's place by frequency. The classes of
-    ``id // CLASSES`` hold words of similar frequency."""
+def token_ids(found: np.ndarray, words: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (0 for words outside the vocabulary) and log-probabilities within
+    them. Classes of tokens hold words of similar frequency."""
+    known = words["known"]
     if not len(known):
-        return np.zeros(len(words), np.int64)
-    at = np.searchsorted(known, words)
+        return np.zeros(len(found), np.int64), np.zeros(len(found))
+    at = np.searchsorted(known, found)
     at[at == len(known)] = 0
-    return np.where(known[at] == words, rank[at] + 1, 0)
+    same = known[at] == found
+    return np.where(same, words["token"][at], 0), np.where(same, words["within"][at], 0.0)
 
 
-def contexts(ids: np.ndarray, first: np.ndarray, places: np.ndarray) -> np.ndarray:
+def contexts(ids: np.ndarray, first: np.ndarray, places: np.ndarray, beyond: int = VOCABULARY) -> np.ndarray:
     """Token ids around places (columns -SIDE .. -1, 1 .. SIDE), cut at documents."""
     doc = np.searchsorted(first[1:], places, side="right")
-    out = []
-    for shift in [*range(-SIDE, 0), *range(1, SIDE + 1)]:
+    begin, end = first[doc], first[doc + 1]
+    out = np.empty((len(places), 2 * SIDE), ids.dtype)
+    for k, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         at = places + shift
-        inside = (at >= first[doc]) & (at < first[doc + 1])
-        out.append(np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], VOCABULARY))
-    return np.stack(out, axis=1)
+        inside = at >= begin if shift < 0 else at < end
+        out[:, k] = np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], beyond)
+    return out
 
 
-def _log_softmax(z):
+def _softmax(z, at):
+    """Probabilities of each row (in place), and the logarithm of one of them."""
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    rows = np.arange(len(z))
+    own = z[rows, at]
+    np.exp(z, out=z)
+    total = z.sum(axis=1)
+    return z, total, own - np.log(total)
 
 
 def forward(weights, around, target):
@@ -94,37 +215,34 @@ def forward(weights, around, target):
     seen = e[around]
     total = np.einsum("nkd,kd->nd", seen, place)
     hidden = np.tanh(total @ w + b)
-    of, within = np.divmod(target, CLASSES)
-    by_class = _log_softmax(hidden @ wc + bc)
-    by_word = _log_softmax(hidden @ wi + bi[of])
-    rows = np.arange(len(target))
-    return by_class[rows, of] + by_word[rows, within], (seen, total, hidden, of, within, by_class, by_word)
+    of, within = np.divmod(target, wc.shape[1])
+    by_class, n_class, log_class = _softmax(hidden @ wc + bc, of)
+    by_word, n_word, log_word = _softmax(hidden @ wi + bi[of], within)
+    return log_class + log_word, (seen, total, hidden, of, within, by_class, n_class, by_word, n_word)
 
 
-def _add_rows(out, at, values):
-    """out[at] += values, row by row, repeated rows added up."""
-    order = np.argsort(at, kind="stable")
+def _row_sums(at, values):
+    """Distinct rows, and the sum of the values of each."""
+    order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")
     sorted_at = at[order]
     head = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-    out[sorted_at[head]] += np.add.reduceat(values[order], head, axis=0)
+    return sorted_at[head], np.add.reduceat(values[order], head, axis=0)
 
 
 def gradient(weights, around, target):
-    """Gradient of the mean negative log-probability."""
+    """Gradient of the mean negative log-probability: (rows or all, values)."""
     e, place, w, b, wc, bc, wi, bi = weights
-    _, (seen, total, hidden, of, within, by_class, by_word) = forward(weights, around, target)
+    _, (seen, total, hidden, of, within, dc, n_class, di, n_word) = forward(weights, around, target)
     n, rows = len(target), np.arange(len(target))
-    dc, di = np.exp(by_class), np.exp(by_word)
-    dc[rows, of] -= 1
-    di[rows, within] -= 1
-    dc /= n
-    di /= n
+    dc /= (n * n_class)[:, None]
+    di /= (n * n_word)[:, None]
+    dc[rows, of] -= 1 / n
+    di[rows, within] -= 1 / n
     dh = (dc @ wc.T + di @ wi.T) * (1 - hidden ** 2)
     dt = dh @ w.T
-    ge, gbi = np.zeros_like(e), np.zeros_like(bi)
-    _add_rows(ge, around.ravel(), (dt[:, None, :] * place).reshape(-1, WIDTH))
-    _add_rows(gbi, of, di)
-    return [ge, np.einsum("nkd,nd->kd", seen, dt), total.T @ dh, dh.sum(0), hidden.T @ dc, dc.sum(0), hidden.T @ di, gbi]
+    every = slice(None)
+    return [_row_sums(around.ravel(), (dt[:, None, :] * place).reshape(-1, WIDTH)), (every, np.einsum("nkd,nd->kd", seen, dt)),
+            (every, total.T @ dh), (every, dh.sum(0)), (every, hidden.T @ dc), (every, dc.sum(0)), (every, hidden.T @ di), _row_sums(of, di)]
 
 
 def places_of(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -132,33 +250,31 @@ def places_of(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return np.flatnonzero((np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))) % rounds == turn)
 
 
-def train(docs: DataFrame, words: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
+def train(docs: DataFrame, words: dict, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Weights averaged over the tasks, round by round."""
     spark = docs.sparkSession
-    order = np.argsort(words)
-    known, rank = words[order], order
-    weights = start_weights()
+    weights = start_weights(words["classes"])
     shapes = [w.shape for w in weights]
     texts = docs.select(F.col("text").cast("string").alias("text"))
+    words = spark.sparkContext.broadcast(words)
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((known, rank, weights))
+        shared = spark.sparkContext.broadcast(weights)
 
         def run(batches, turn=turn, shared=shared):
-            known, rank, weights = shared.value
-            weights = [w.copy() for w in weights]
+            weights = [w.copy() for w in shared.value]
             squares = [np.full_like(w, 1e-2) for w in weights]
-            tokens = 0
+            beyond, tokens = len(weights[0]) - 1, 0
             for batch in batches:
                 for part in chunks(batch):
                     found, _, _, first = word_hashes(*utf8(part.column(0)), ALNUM, lower=True)
-                    ids = token_ids(found, known, rank)
+                    ids, _ = token_ids(found, words.value)
                     places = places_of(first, turn, rounds)
                     tokens += len(found)
                     for k in range(0, len(places), STEP):
                         own = places[k:k + STEP]
-                        for w, s, g in zip(weights, squares, gradient(weights, contexts(ids, first, own), ids[own])):
-                            s += g * g
-                            w -= RATE * g / np.sqrt(s)
+                        for w, s, (at, g) in zip(weights, squares, gradient(weights, contexts(ids, first, own, beyond), ids[own])):
+                            s[at] += g * g
+                            w[at] -= RATE * g / np.sqrt(s[at])
             if tokens:
                 flat = np.concatenate([w.ravel() for w in weights]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(flat * tokens).tobytes()], pa.binary())], ["tokens", "weights"])
@@ -175,21 +291,23 @@ def train(docs: DataFrame, words: np.ndarray, rounds: int = ROUNDS) -> list[np.n
     return weights
 
 
-def score(docs: DataFrame, words: np.ndarray, weights: list[np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, words: dict, weights: list[np.ndarray]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over all tokens)."""
-    order = np.argsort(words)
-    shared = docs.sparkSession.sparkContext.broadcast((words[order], order, weights))
+    shared = docs.sparkSession.sparkContext.broadcast((words, weights))
 
     def run(batches):
-        known, rank, weights = shared.value
+        words, weights = shared.value
+        beyond = len(weights[0]) - 1
         for batch in batches:
             for part in chunks(batch):
-                found, _, _, first = word_hashes(*utf8(part.column(1)), ALNUM, lower=True)
-                ids = token_ids(found, known, rank)
-                logs = np.zeros(len(ids))
+                data, offsets = utf8(part.column(1))
+                found, starts, ends, first = word_hashes(data, offsets, ALNUM, lower=True)
+                ids, logs = token_ids(found, words)
+                rare = np.flatnonzero(ids == 0)
+                logs[rare] = spelled(LOWER[data], starts[rare], ends[rare], words["spelling"])
                 for k in range(0, len(ids), STEP):
                     own = np.arange(k, min(k + STEP, len(ids)))
-                    logs[own] = forward(weights, contexts(ids, first, own), ids[own])[0]
+                    logs[own] += forward(weights, contexts(ids, first, own, beyond), ids[own])[0]
                 sums = np.r_[0.0, np.cumsum(logs)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])], ["doc_id", "n_tokens", "log_likelihood"])
 

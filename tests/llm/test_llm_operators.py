@@ -396,6 +396,39 @@ def test_a_fixed_successor_is_learned(spark):
         assert logs[0] > -2 * np.log(lm.CLASSES)
 
 
+def test_vocabulary_follows_the_corpus_and_words_have_scores_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(lm, "NAMED", 20)
+    monkeypatch.setattr(lm, "BUCKET_WORDS", 40)
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 300}" for j in range(60)) + f" once{k}") for k in range(60)]
+    docs = docs_of(spark, rows)
+    words = lm.vocabulary(docs)
+    assert len(words["known"]) == 300 and words["token"].max() <= 20 + 7
+    for token in np.unique(words["token"]):
+        assert abs(np.exp(words["within"][words["token"] == token]).sum() - 1) < 1e-9
+    weights = lm.train(docs, words)
+    tail = ["w5", "w155", "w298", "once3", "unseen", "qzxqj", "été", "x" * 400]
+    got = [r.log_likelihood for r in lm.score(docs_of(spark, [(0, f"w1 {t} w2") for t in tail]), words, weights).collect()]
+    assert len(set(got)) == len(tail) and got[3] > got[5] > got[7]
+    few = lm.vocabulary(docs.filter("doc_id < 10"))
+    assert len(few["known"]) < len(words["known"])
+
+
+def test_spellings_are_a_distribution():
+    data = np.frombuffer(b"abcabdab", np.uint8)
+    codes, _ = lm._trigrams(data, np.array([0, 3, 6]), np.array([3, 6, 8]))
+    model = lm.spelling(*np.unique(codes, return_counts=True))
+    for context in (b"", b"a", b"ab", b"zz"):
+        raw = np.frombuffer(b"".join(context + bytes([c]) for c in range(256)) + context, np.uint8)
+        size = len(context) + 1
+        starts = np.arange(0, 257 * size, size)
+        codes, first = lm._trigrams(raw, starts, np.minimum(starts + size, len(raw)))
+        at = np.r_[first[:-1] + size - 1, first[-1] + size - 1]
+        asked = codes[at]
+        hit = np.searchsorted(model["codes"], asked).clip(0, len(model["codes"]) - 1)
+        logs = np.where(model["codes"][hit] == asked, model["seen"][hit], model["share"][asked // lm.SYMBOLS] + model["two"][asked % lm.SYMBOLS ** 2])
+        assert asked[-1] % lm.SYMBOLS == lm.END and abs(np.exp(logs).sum() - 1) < 1e-9
+
+
 # --- 9 SimHash ---------------------------------------------------------------------------
 
 def simple_fingerprint(text, k=3):
