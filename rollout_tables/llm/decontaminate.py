@@ -10,7 +10,7 @@ ranges are merged into removal spans.
 
 The benchmark is read in blocks of bounded size (``BLOCK_WORDS``); each block
 is broadcast and is one more narrow pass that adds to the spans found so far,
-so documents are never shuffled.
+so documents are never shuffled, and the size of a block changes no result.
 
 Defined cases: null and empty texts have no words and are never contaminated;
 an item without words has no window; items that repeat an item_id count once;
@@ -22,12 +22,14 @@ the documents are handed through by ``remove_spans``, whatever their names.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from rollout_tables.llm.common import ALNUM, arrow_map, chunks, doc_of, refresh_n_chars, table, utf8, word_hashes
 from rollout_tables.llm.fmindex import FMIndex
@@ -117,6 +119,20 @@ def _merged(s: np.ndarray, e: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def _widened(spans: list, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> list:
+    """Each document's merged spans, with some occurrences added."""
+    doc = np.searchsorted(first[1:], s, side="right")
+    spans = [x or [] for x in spans]
+    for d in np.unique(doc).tolist():
+        own = doc == d
+        a, n = int(first[d]), int(first[d + 1] - first[d])
+        before = np.array(spans[d], np.int64).reshape(-1, 2)
+        inside = _merged(np.r_[s[own] - a, before[:, 0]], np.r_[e[own] - a, before[:, 1]], n)
+        edge = np.flatnonzero(np.diff(np.r_[0, inside.astype(np.int8), 0]))
+        spans[d] = edge.reshape(-1, 2).tolist()
+    return spans
+
+
 def _items_of(block, window, doc) -> list[tuple[int, int]]:
     """Distinct (document, item number) of some occurrences."""
     pairs = np.unique(np.c_[doc, window], axis=0) if len(doc) else np.zeros((0, 2), np.int64)
@@ -141,15 +157,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                     items = [set(x) for x in part.column(4).to_pylist()]
                     for d, item in _items_of(block, window_at, doc):
                         items[d].add(names[item])
-                    old = part.column(3).to_pylist()
-                    spans = [x or [] for x in old]
-                    for d in np.unique(doc).tolist() if len(doc) else []:
-                        own = doc == d
-                        a, n = int(first[d]), int(first[d + 1] - first[d])
-                        before = np.array(spans[d], np.int64).reshape(-1, 2)
-                        inside = _merged(np.r_[s[own] - a, before[:, 0]], np.r_[e[own] - a, before[:, 1]], n)
-                        edge = np.flatnonzero(np.diff(np.r_[0, inside.astype(np.int8), 0]))
-                        spans[d] = edge.reshape(-1, 2).tolist()
+                    spans = _widened(part.column(3).to_pylist(), s, e, first)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
 
         return run
@@ -162,26 +170,32 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     return found.drop("text")
 
 
+def _cut(data: np.ndarray, spans: list, starts: np.ndarray, ends: np.ndarray) -> str:
+    """A text without some spans of its words, and what stands inside them."""
+    raw, kept, at = data.tobytes(), [], 0
+    for a, b in spans:
+        kept.append(raw[at:starts[a]])
+        at = ends[b - 1]
+    return b"".join([*kept, raw[at:]]).decode()
+
+
 def _without(text: str, block: dict) -> str:
-    """Text without any window: spans go, with what stands inside them, until
-    none is left (cutting can bring words together)."""
+    """Text without any window: spans go until none is left (cutting can bring
+    words together)."""
     while True:
         data, offsets = utf8(pa.array([text], pa.string()))
-        s, e, _, starts, ends, _ = occurrences(data, offsets, block)
+        s, e, _, starts, ends, first = occurrences(data, offsets, block)
         if not len(s):
             return text
-        edge = np.flatnonzero(np.diff(np.r_[0, _merged(s, e, len(starts)).astype(np.int8), 0])).reshape(-1, 2)
-        raw, kept, at = data.tobytes(), [], 0
-        for a, b in edge.tolist():
-            kept.append(raw[at:starts[a]])
-            at = ends[b - 1]
-        text = b"".join([*kept, raw[at:]]).decode()
+        text = _cut(data, _widened([[]], s, e, first)[0], starts, ends)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with benchmark passages cut out of ``text``; all rows and
-    columns stay, and an ``n_chars`` column follows the new length. Each
-    block of the benchmark is one narrow pass."""
+    columns stay, and an ``n_chars`` column follows the new length. A benchmark
+    of one block is one narrow pass. Of more blocks, the spans of all are found
+    in the same text and cut at once, and the rows that changed are searched
+    for all blocks again until none is found, which gives the same texts."""
     fields = docs.columns
     at = fields.index("text")
 
@@ -204,9 +218,47 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
         return run
 
-    for block in benchmark_blocks(benchmark, window):
-        docs = arrow_map(docs, cut(block), docs.schema)
-    return docs
+    def search(block):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches):
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    s, e, *_, first = occurrences(*utf8(part.column(at)), shared.value)
+                    spans = _widened(part.column(len(fields)).to_pylist(), s, e, first)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(spans, pa.list_(pa.list_(pa.int64())))], part.schema.names)
+
+        return run
+
+    def cut_found(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                spans = part.column(len(fields)).to_pylist()
+                arrays = [*part.columns[:-1]]
+                if any(spans):
+                    texts = arrays[at].to_pylist()
+                    for d in (d for d, own in enumerate(spans) if own):
+                        data, offsets = utf8(pa.array([texts[d]], pa.string()))
+                        _, starts, ends, _ = word_hashes(data, offsets, ALNUM, lower=True)
+                        texts[d] = _cut(data, spans[d], starts, ends)
+                    arrays[at] = pa.array(texts, arrays[at].type)
+                    arrays = refresh_n_chars(fields, arrays, at)
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([bool(x) for x in spans], pa.bool_())], [*fields, "__cut"])
+
+    few = list(islice(benchmark_blocks(benchmark, window), 2))
+    if len(few) < 2:
+        return arrow_map(docs, cut(few[0]), docs.schema) if few else docs
+    clean, schema = None, docs.schema
+    while True:
+        found = docs.withColumn("__spans", F.expr("cast(array() as array<array<bigint>>)"))
+        for block in benchmark_blocks(benchmark, window):
+            found = arrow_map(found, search(block), found.schema)
+        done = arrow_map(found, cut_found, StructType([*schema.fields, StructField("__cut", BooleanType())])).persist(StorageLevel.DISK_ONLY)
+        kept = done.filter(~F.col("__cut")).drop("__cut")
+        clean = kept if clean is None else clean.unionByName(kept)
+        docs = done.filter("__cut").drop("__cut")
+        if docs.isEmpty():
+            return clean
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

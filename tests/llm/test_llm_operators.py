@@ -111,6 +111,22 @@ def test_decontamination(spark, monkeypatch, block_words, tmp_dir):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) or r.text == dict(rows).get(r.doc_id) for r in clean.collect())
 
 
+def test_cutting_does_not_depend_on_the_blocks(spark, monkeypatch):
+    w = [f"w{k}" for k in range(40)]
+    # item 2 overlaps a span of item 1; a cut for item 3 brings item 4's words together
+    items = [(1, " ".join(w[0:12])), (2, " ".join(w[6:20])), (3, " ".join(w[20:30])), (4, " ".join(w[30:40]))]
+    rows = [(1, "lead " + " ".join(w[0:20]) + " tail"), (2, " ".join([*w[30:35], *w[20:30], *w[35:40], "end"])), (3, None), (4, "clean"), (2, " ".join([*w[30:35], *w[20:30], *w[35:40], "end"]))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for block_words in (1_000_000, 5):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+        cleaned = decontaminate.remove_spans(wide(spark, rows), benchmark)
+        assert cleaned.columns == wide(spark, rows).columns
+        got.append(rows_of(cleaned))
+        assert not any(r[2] for r in contamination([(r[0], r[1]) for r in got[-1]], items))
+    assert got[0] == got[1] and [r[1].split() for r in got[0] if r[0] == 1] == [["lead", "tail"]]
+
+
 # --- 2 substring dedup --------------------------------------------------------
 
 def substrings(docs, size=50):
