@@ -1,8 +1,11 @@
 """Detection of personal data in a text, and keyed surrogates for it.
 
-Kinds: email, phone, ipv4, card (16 digits that pass the Luhn check), secret
-(a quoted hexadecimal token after a name such as token or key) and name (after
-an honorific, whose gender it takes, in Latin, Cyrillic or Greek script).
+Kinds: email, ipv4, phone (7 to 15 digits: after + or 00 in any grouping, else
+in groups, with a trunk 0, or as a plain run of 10 or 11; other plain runs,
+dates, spans of years and decimals are no phones), card (13 to 19 digits, plain
+or in groups, that pass the Luhn check), secret (a token after a name such as
+token or key, quoted or not) and name (after an honorific, in Latin, Cyrillic
+or Greek script).
 """
 
 from __future__ import annotations
@@ -38,13 +41,21 @@ ENDINGS = {"latin": "son", "cyrillic": "енко", "greek": "ίδης"}
 _TITLES = "|".join(sorted((t for ts in HONORIFICS.values() for t in ts), key=len, reverse=True))
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я]"
 _NAME = rf"{_CAPITAL}[^\W\d_]+"
-NUMBERS = re.compile(r"[+0-9][0-9 .()\-]{6,}")  # where an address, phone or card can be
+NUMBERS = re.compile(r"[+(0-9][0-9 .()/\-]{6,}")  # where an address, phone or card can be
+_SEP = r"[ ./-]"
+_GROUP = rf"(?:(?<=\))\d{{1,12}}|{_SEP}{{1,2}}\d{{1,12}}|{_SEP}{{0,2}}\(\d{{1,5}}\))"  # one way to read any run
 DIGITS = re.compile(
     r"(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\d]))"
-    r"|(?P<card>(?<![\w.])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{4}(?![\w]|\.\d))")
+    r"|(?P<card>(?<![\w.+])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4,6}(?P=sep)\d{4,5}(?:(?P=sep)\d{1,4}){0,2})(?![\w]|[.-]\d))"
+    # dates, spans of years, and numbers with thousands or decimals
+    r"|(?P<other>(?<![\w.+])(?:(?:1[5-9]|20)\d\d(?P<d1>[-./ ])(?:0?[1-9]|1[0-2])(?P=d1)(?:3[01]|[12]\d|0?[1-9])|(?:3[01]|[12]\d|0?[1-9])(?P<d2>[-./ ])(?:3[01]|[12]\d|0?[1-9])(?P=d2)(?:1[5-9]|20)\d\d"
+    r"|(?:1[5-9]|20)\d\d *[-/] *(?:1[5-9]|20)\d\d|\d{1,3}(?:\.\d{3})+|\d+\.\d+)(?![\w]|[./-]\d))"
+    rf"|(?P<phone>(?<![\w+.])(?:(?:\+|00) ?(?:\(\d{{1,5}}\)|\d+){_GROUP}*|(?:\d{{1,3}}{_SEP})?\(\d{{2,5}}\){_GROUP}+"
+    rf"|0\d{{1,5}}(?:{_SEP}\d{{2,8}})+|\d{{1,4}}(?:{_SEP}\d{{2,4}}){{1,5}}|0\d{{6,14}}|\d{{10,11}})(?![\w]))")
+LAST_GROUP = re.compile(r"[ ./-]*\(?\d+\)?\Z")
 EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
-SECRET = re.compile(r"(?i)\b(?:token|secret|password|api_?key|key)\s*[=:]\s*([\"'])(?P<secret>[0-9a-f]{16,}|[A-Za-z0-9_\-]{24,})\1")
+SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|key)[\"']?\s*[=:]\s*(?:([\"'])(?P<quoted>[0-9a-f]{16,}|[A-Za-z0-9_\-]{24,})\1"
+                    r"|(?P<bare>[0-9a-f]{16,}(?![\w(\[/+=-])|(?=[a-z_+/-]*\d)[a-z0-9_+/-]{24,}={0,2}(?![\w(\[.])))")
 NAME = re.compile(rf"(?P<title>{_TITLES})\.? (?P<name>{_NAME}(?: {_NAME})?)")
 
 
@@ -73,12 +84,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         found += [(m.start(), m.end(), "email", m.group().lower()) for m in EMAIL.finditer(text)]
     for m in (m for n in NUMBERS.finditer(text) for m in DIGITS.finditer(text, n.start(), n.end() + 2)):
-        kind = m.lastgroup if m.lastgroup != "sep" else "card"
-        identity = m.group() if kind == "ipv4" else re.sub(r"\D", "", m.group())
-        if kind != "card" or luhn(identity):
-            found.append((m.start(), m.end(), kind, identity))
+        kind = next(k for k in ("ipv4", "card", "other", "phone") if m.group(k))
+        written = m.group()
+        while kind == "phone" and sum(map(str.isdigit, written)) > 15 and (shorter := LAST_GROUP.sub("", written)):
+            written = shorter  # numbers that stand behind it
+        identity = written if kind == "ipv4" else re.sub(r"\D", "", written)
+        if kind == "card" and not (13 <= len(identity) <= 19 and luhn(identity)) or kind == "phone" and not 7 <= len(identity) <= 15:
+            kind = "other"
+        if kind != "other":
+            found.append((m.start(), m.start() + len(written), kind, identity))
     if "=" in text or ":" in text:
-        found += [(m.start("secret"), m.end("secret"), "secret", m.group("secret")) for m in SECRET.finditer(text)]
+        found += [(*m.span(which), "secret", m.group(which)) for m in SECRET.finditer(text) for which in ("quoted", "bare") if m.group(which)]
     found += [(m.start("name"), m.end("name"), "name", f"{_gender(m.group('title'))}|{script_of(m.group('name'))}|{m.group('name')}") for m in NAME.finditer(text) if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"))]
     out, end = [], 0
     for item in sorted(found, key=lambda f: (f[0], -f[1])):

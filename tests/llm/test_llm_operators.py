@@ -196,6 +196,25 @@ def test_surrogate_collisions_are_drawn_again(spark, monkeypatch):
     assert len({r.surrogate for r in table}) == 5 == len({r.entity for r in table})
 
 
+@pytest.mark.parametrize("written,kind", [(x, "phone") for x in ["+15551234567", "+49 30 1234567", "+33 6 12 34 56 78", "+44 7911 123456", "(555) 123-4567", "555-123-4567", "+1 (017) 555-7713", "0049 30 1234567", "030 1234567", "555.123.4567", "1-800-555-0199", "07911123456", "5551234567", "555-1234", "+49 (0)30 1234567"]]
+                         + [(x, "card") for x in ["4111 1111 1111 1111", "378282246310005", "3782 822463 10005", "4222222222222", "6304-0000-0000-0000-000"]])
+def test_number_shapes_are_detected(written, kind):
+    for text in (f"call {written} now", written, f"({written}), 2024-01-15", f"x: {written}."):
+        assert [text[a:b] for a, b, k, _ in entities.detect(text) if k == kind] == [written]
+        assert len(entities.detect(text)) == 1
+
+
+@pytest.mark.parametrize("text", ["2024-01-15 10:30", "15.01.2024", "1999-2004", "3.14159265", "1.234.567", "v1.2.3.4.5", "1234567890123456", "id 12345678", "monkey: abcdefgh", "key: a plain sentence", "key = some_long_function_name_here(x)"])
+def test_other_numbers_stay(text):
+    assert entities.detect(text) == []
+
+
+@pytest.mark.parametrize("text", ["API_KEY=%s", "key: %s", "AWS_SECRET=%s;", '"api_key": "%s"', "token = '%s'"])
+def test_secrets_need_no_quotes(text):
+    for value in ("04dbebab91ab85687d33eeaaf9ac699e1188f962", "sk_Live_51Habcdefghijklmnopq-xyz"):
+        assert [(k, i) for _, _, k, i in entities.detect(text % value)] == [("secret", value)]
+
+
 # --- 4 quality, 10 toxicity ---------------------------------------------------------
 
 def labelled(spark, n=240):
