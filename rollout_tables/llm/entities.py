@@ -138,42 +138,54 @@ def _like(text: str, draw) -> str:
     return "".join(out)
 
 
+def _letters(n: int, draw) -> str:
+    """Letters that are hexadecimal digits too."""
+    return "".join("abcdef"[draw(6)] for _ in range(n))
+
+
 def surrogate(key: bytes, kind: str, identity: str, attempt: int) -> str:
     """The replacing identity of the same kind. It is a function of the key, the
-    entity and the attempt, so equal entities agree wherever they occur."""
+    entity and the attempt, so equal entities agree wherever they occur. The
+    surrogates to draw from grow with the attempt, so that a shape of which
+    the corpus holds many or all still settles."""
     draw = _Draws(key, kind, identity, attempt).below
     if kind == "email":
         local, domain = identity.rsplit("@", 1)
         host, _, tail = domain.rpartition(".")
-        return f"{_like(local, draw)}@{_like(host, draw)}.{tail}"
+        return f"{_like(local, draw)}{_letters(attempt, draw)}@{_like(host, draw)}.{tail}"
     if kind == "ipv4":
-        head = int(identity.split(".")[0])
-        private = [10, 127, 172, 192] if head in (10, 127, 172, 192) else None
-        first = head if private else 1 + draw(223)
-        second = int(identity.split(".")[1]) if private and head in (172, 192) else draw(256)
+        head, second = map(int, identity.split(".")[:2])
+        if head not in (10, 127, 172, 192):
+            first, second = 1 + draw(223), draw(256)
+        elif attempt < 2:
+            first, second = head, second if head in (172, 192) else draw(256)
+        elif attempt < 8:  # all private ranges
+            first, second = (10, draw(256)) if draw(16) else (172, 16 + draw(16))
+        else:  # reserved, never assigned
+            first, second = 240 + draw(15), draw(256)
         return ".".join(map(str, (first, second, draw(256), 1 + draw(254))))
     if kind == "card":
         body = identity[0] + "".join(str(draw(10)) for _ in identity[1:-1])
         return next(body + str(c) for c in range(10) if luhn(body + str(c)))
     if kind == "phone":
-        keep = max(1, len(identity) - 10)  # the country code stays
-        return identity[:keep] + "".join(str(draw(10)) for _ in identity[keep:])
+        keep = max(1, len(identity) - 10) if attempt < 4 else 1  # the country code stays
+        more = min(max(0, attempt - 3), 15 - len(identity))
+        return identity[:keep] + "".join(str(draw(10)) for _ in range(len(identity) - keep + more))
     if kind == "name":
         gender, script, words = identity.split("|", 2)
         gender = gender if gender != "x" else "fm"[draw(2)]
-        syllables = SYLLABLES[script]
-        family = "".join(syllables[draw(16)] for _ in range(4)).capitalize() + ENDINGS[script]
+        family = "".join(SYLLABLES[script][draw(16)] for _ in range(4 + attempt)).capitalize() + ENDINGS[script]
         given = GIVEN[script, gender][draw(len(GIVEN[script, gender]))]
         name = f"{given} {family}" if " " in words else family
         return f"{identity.split('|', 1)[0]}|{script}|{name}"
-    return _like(identity, draw)
+    return _like(identity, draw) + _letters(attempt, draw)
 
 
 def spell(kind: str, identity: str, written: str) -> str:
     """A surrogate identity in the format of the replaced spelling."""
     if kind in ("phone", "card"):
         digits = iter(identity)
-        return "".join(next(digits) if c.isdigit() else c for c in written)
+        return "".join([*(next(digits) if c.isdigit() else c for c in written), *digits])
     if kind == "name":
         return identity.split("|", 2)[2]
     if kind == "email" and written.isupper():

@@ -5,7 +5,8 @@ Replacements are drawn by a keyed hash of the entity (``entities``). Distinct
 entities must stay distinct and no replacement may be an entity of the corpus,
 so the table of distinct entities is checked as a whole: of those that drew the
 same replacement the first by hash keeps it, the others and those that drew an
-original draw again, until none collides (few remain after each round). Texts
+original draw again, from surrogates that grow with the attempt, until none
+collides (few remain after each round). Texts
 without entities pass through in place; only texts with entities meet the
 table, by a hash of the text, so copies and rows with equal or null doc_ids
 need no key of their own.

@@ -215,6 +215,15 @@ def test_secrets_need_no_quotes(text):
         assert [(k, i) for _, _, k, i in entities.detect(text % value)] == [("secret", value)]
 
 
+def test_shapes_that_fill_their_pool_settle(spark):
+    hexadecimal = [f"email:{a}@{b}.com" for a in "abcdef" for b in "abcdef"]
+    found = hexadecimal + [f"email:{k}@{j}.com" for k in "_-" for j in range(10)] + ["secret:" + "-" * 24]
+    found += [f"ipv4:192.168.{a}.{b}" for a in range(0, 256) for b in range(1, 141)]
+    table = pii.surrogate_table(spark.createDataFrame([(e,) for e in found], "entity string")).collect()
+    new = {r.surrogate for r in table}
+    assert len(table) == len(set(found)) == len(new) and new.isdisjoint(found)
+
+
 # --- 4 quality, 10 toxicity ---------------------------------------------------------
 
 def labelled(spark, n=240):
