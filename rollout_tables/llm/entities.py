@@ -38,6 +38,8 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": "son", "cyrillic": "енко", "greek": "ίδης"}
 
+GIVEN_ENDINGS = {"latin": {"f": "na", "m": "rn", "x": "el"}, "cyrillic": {"f": "на", "m": "рн", "x": "ель"}, "greek": {"f": "να", "m": "ρος", "x": "ελ"}}
+
 _TITLES = "|".join(sorted((t for ts in HONORIFICS.values() for t in ts), key=len, reverse=True))
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я]"
 _NAME = rf"{_CAPITAL}[^\W\d_]+"
@@ -58,6 +60,8 @@ SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?k
                     r"|(?P<bare>[0-9a-f]{16,}(?![\w(\[/+=-])|(?=[a-z_+/-]*\d)[a-z0-9_+/-]{24,}={0,2}(?![\w(\[.])))")
 NAME = re.compile(rf"(?P<title>{_TITLES})\.? (?P<name>{_NAME}(?: {_NAME})?)")
 
+WORD = re.compile(rf"(?<![^\W\d_]){_NAME}")
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -76,10 +80,51 @@ def _gender(title: str) -> str:
     return next(g for g, titles in HONORIFICS.items() if title in titles)
 
 
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Names after honorifics, and bare mentions of the same names in the text.
+
+    The parts of a name are entities of their own: family|script|word, and
+    gender|script|word for a given name, so the full name, title and family
+    name, and bare mentions agree. A title without gender takes the one that
+    the text gives the full name elsewhere, else the family name."""
+    titled = [m for m in NAME.finditer(text) if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"))]
+    if not titled:
+        return []
+    genders: dict[str, set] = {}
+    for m in titled:
+        words = m.group("name").split(" ")
+        for known in {m.group("name"), words[-1]}:
+            genders.setdefault(known, set()).add(_gender(m.group("title")))
+    out, bare = [], {}
+    for m in titled:
+        words, gender, at = m.group("name").split(" "), _gender(m.group("title")), m.start("name")
+        if gender == "x":
+            for known in (m.group("name"), words[-1]):
+                met = genders[known] - {"x"}
+                if len(met) == 1:
+                    gender = next(iter(met))
+                    break
+                if met:
+                    break
+        for role, word in zip(["family"] if len(words) == 1 else [gender, "family"], words):
+            identity = f"{role}|{script_of(word)}|{word}"
+            out.append((at, at + len(word), "name", identity))
+            bare.setdefault(word, identity)
+            at += len(word) + 1
+    taken = {start for start, *_ in out}
+    out += [(m.start(), m.end(), "name", bare[m.group()]) for m in WORD.finditer(text) if m.group() in bare and m.start() not in taken]
+    return out
+
+
+def mentions(found: list[tuple[int, int, str, str]]) -> int:
+    """Places of entities; a given and a family name side by side are one."""
+    return len(found) - sum(a[2] == b[2] == "name" and b[0] == a[1] + 1 and b[3].startswith("family|") and not a[3].startswith("family|") for a, b in zip(found, found[1:]))
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, identity) without overlaps, in order. The identity is
     what all spellings of one entity share: digits of a phone or card, the
-    lower-case address, and gender, script and words of a name."""
+    lower-case address, and of a name each part by itself (``_names``)."""
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m.group().lower()) for m in EMAIL.finditer(text)]
@@ -95,7 +140,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             found.append((m.start(), m.start() + len(written), kind, identity))
     if "=" in text or ":" in text:
         found += [(*m.span(which), "secret", m.group(which)) for m in SECRET.finditer(text) for which in ("quoted", "bare") if m.group(which)]
-    found += [(m.start("name"), m.end("name"), "name", f"{_gender(m.group('title'))}|{script_of(m.group('name'))}|{m.group('name')}") for m in NAME.finditer(text) if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"))]
+    found += _names(text)
     out, end = [], 0
     for item in sorted(found, key=lambda f: (f[0], -f[1])):
         if item[0] >= end:
@@ -172,12 +217,11 @@ def surrogate(key: bytes, kind: str, identity: str, attempt: int) -> str:
         more = min(max(0, attempt - 3), 15 - len(identity))
         return identity[:keep] + "".join(str(draw(10)) for _ in range(len(identity) - keep + more))
     if kind == "name":
-        gender, script, words = identity.split("|", 2)
-        gender = gender if gender != "x" else "fm"[draw(2)]
-        family = "".join(SYLLABLES[script][draw(16)] for _ in range(4 + attempt)).capitalize() + ENDINGS[script]
-        given = GIVEN[script, gender][draw(len(GIVEN[script, gender]))]
-        name = f"{given} {family}" if " " in words else family
-        return f"{identity.split('|', 1)[0]}|{script}|{name}"
+        role, script, _ = identity.split("|", 2)
+        if role in "fm" and not attempt:
+            return f"{role}|{script}|{GIVEN[script, role][draw(len(GIVEN[script, role]))]}"
+        made = "".join(SYLLABLES[script][draw(16)] for _ in range((4 if role == "family" else 2) + attempt)).capitalize()
+        return f"{role}|{script}|{made}{ENDINGS[script] if role == 'family' else GIVEN_ENDINGS[script][role]}"
     return _like(identity, draw) + _letters(attempt, draw)
 
 

@@ -1,5 +1,7 @@
 """PII surrogates: each entity gets one replacement of its own kind, wherever
-it occurs in the corpus.
+it occurs in the corpus. The given and the family name of a person are entities
+each, also where the text names that person again without a title; names that
+no honorific introduces in their text are not found.
 
 Replacements are drawn by a keyed hash of the entity (``entities``). Distinct
 entities must stay distinct and no replacement may be an entity of the corpus,
@@ -102,7 +104,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, counted: bool = False) -
                     parts += [text[end:start], entities.spell(kind, new[f"{kind}:{identity}"].split(":", 1)[1], text[start:stop])]
                     end = stop
                 texts.append("".join([*parts, text[end:]]))
-                counts.append(len(found))
+                counts.append(entities.mentions(found))
             arrays = [*batch.columns[:len(names)]]
             arrays[at] = pa.array(texts, arrays[at].type)
             arrays = refresh_n_chars(names, arrays, at)

@@ -215,10 +215,20 @@ def test_secrets_need_no_quotes(text):
         assert [(k, i) for _, _, k, i in entities.detect(text % value)] == [("secret", value)]
 
 
+def test_mentions_of_a_person_are_linked(spark):
+    rows = [(1, "Mr John Smith came. Mr Smith sat; Smith said so, John Smith too. Smithson stays"), (2, "Dr Anna Kim, later Mrs Anna Kim and Mrs. Kim"), (3, "Mr Smith of another text"), (4, "Smith without a title")]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.replace_entities(docs_of(spark, rows), counted=True).collect()}
+    given, family = got[1][0].split()[1:3]
+    assert got[1] == (f"Mr {given} {family} came. Mr {family} sat; {family} said so, {given} {family} too. Smithson stays", 4) and {given, family}.isdisjoint({"John", "Smith"})
+    assert got[3][0] == f"Mr {family} of another text" and got[4] == (rows[3][1], 0)
+    anna, kim = got[2][0].rstrip().split()[1], got[2][0].split()[-1]
+    assert got[2] == (f"Dr {anna} {kim}, later Mrs {anna} {kim} and Mrs. {kim}", 3) and anna in entities.GIVEN["latin", "f"] + [anna] and anna != "Anna"
+
+
 def test_shapes_that_fill_their_pool_settle(spark):
     hexadecimal = [f"email:{a}@{b}.com" for a in "abcdef" for b in "abcdef"]
-    found = hexadecimal + [f"email:{k}@{j}.com" for k in "_-" for j in range(10)] + ["secret:" + "-" * 24]
-    found += [f"ipv4:192.168.{a}.{b}" for a in range(0, 256) for b in range(1, 141)]
+    found = hexadecimal + [f"email:{k}@{j}.com" for k in "_-" for j in range(10)] + ["secret:" + "-" * 24] + [f"name:f|latin|{n}" for n in entities.GIVEN["latin", "f"]]
+    found += [f"name:f|latin|Nn{chr(97 + k)}" for k in range(20)] + [f"ipv4:192.168.{a}.{b}" for a in range(0, 256) for b in range(1, 141)]
     table = pii.surrogate_table(spark.createDataFrame([(e,) for e in found], "entity string")).collect()
     new = {r.surrogate for r in table}
     assert len(table) == len(set(found)) == len(new) and new.isdisjoint(found)
