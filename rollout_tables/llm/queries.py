@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rollout_tables.llm import ann, chat, decontaminate, lm, oracle, pieces, pii, quality, simhash, substring, toxicity
+from rollout_tables.llm import (
+    ann, chat, decontaminate, divergence, fim, lm, oracle, pieces, pii, quality, sharding, simhash, substring, toxicity,
+)
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.query,
@@ -16,6 +18,9 @@ QUERIES = {
     "op8_lm_pseudo_likelihood": lm.query,
     "op9_simhash_dedup": simhash.query,
     "op10_toxicity": toxicity.query,
+    "op11_hypergeometric_sharding": sharding.query,
+    "op12_fill_in_middle": fim.query,
+    "op13_source_divergence": divergence.query,
     "pipeline": corpus_pipeline.run,
 }
 
