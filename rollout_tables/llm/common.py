@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str):
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` under the shared checkpoint folder and reads it back."""
     return materialise(df, name)

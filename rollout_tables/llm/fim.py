@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rollout_tables.llm.common import arrow_map, chunks, table
+from rollout_tables.llm.common import arrow_map, chunks, named, table
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SEED = 42
@@ -96,9 +97,9 @@ def fill_in_middle(docs: DataFrame, id_column: str = "doc_id", text_column: str
     kept = [c for c in docs.columns if c != text_column and c not in ADDED]
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary"), 256)
     numbers = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long").alias(f"h{i + 1}") for i in range(4)]
-    row = F.struct(*[F.col(c) for c in kept], F.lit(0).alias("_none")).alias("row")
+    row = F.struct(*[named(c) for c in kept] or [F.lit(0)]).alias("row")
     source = docs.select(row, F.col(text_column).cast("string").alias("text"), *numbers)
-    row_type = source.schema["row"].dataType.simpleString()
+    schema = StructType([source.schema["row"], *StructType.fromDDL(ADDED_SCHEMA).fields])
 
     def run(batches):
         for batch in batches:
@@ -108,7 +109,7 @@ def fill_in_middle(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 arrays = [a.cast(pa.string()) if pa.types.is_large_string(a.type) else a for a in arrays]
                 yield pa.RecordBatch.from_arrays([part.column("row"), *arrays], names=["row", *ADDED])
 
-    out = arrow_map(source, run, f"row {row_type}, {ADDED_SCHEMA}")
+    out = arrow_map(source, run, schema)
     return out.select(*[F.col("row").getField(c).alias(c) for c in kept], *ADDED)
 
 

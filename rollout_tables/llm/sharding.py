@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollout_tables.llm.common import scratch, table
+from rollout_tables.llm.common import named, scratch, table
 
 SHARDS = 24
 SEED = 42
@@ -135,7 +135,7 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = SEED, fanout: in
     without gaps in each shard)."""
     kept = [c for c in df.columns if c not in ("shard", "slot")]
     # the partitions and the places in them are fixed by writing them: a lost task gives a new draw of its partition, whole
-    read = df.select(F.struct(*kept).alias("row"), F.spark_partition_id().cast("long").alias("part"), F.rand(seed).alias("key"))
+    read = df.select(F.struct(*[named(c) for c in kept] or [F.lit(0)]).alias("row"), F.spark_partition_id().cast("long").alias("part"), F.rand(seed).alias("key"))
     within = (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("place")
     rows = scratch(read.sortWithinPartitions("key").select("row", "part", within), "sharding-rows")
     counts = scratch(rows.groupBy(F.col("part").alias("id")).agg(F.count(F.lit(1)).alias("n")), "sharding-counts")
@@ -155,7 +155,7 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = SEED, fanout: in
     offsets = scratch(placed().groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", offset).drop("n"), "sharding-offsets")
     inside = Window.partitionBy("shard", "bucket").orderBy("key", "part", "place")
     numbered = placed("row", "part", "place").withColumn("nth", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, ["shard", "bucket"]).select("row.*", "shard", (F.col("offset") + F.col("nth")).cast("long").alias("slot"))
+    return numbered.join(offsets, ["shard", "bucket"]).select(*[F.col("row").getField(c).alias(c) for c in kept], "shard", (F.col("offset") + F.col("nth")).cast("long").alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
