@@ -332,7 +332,7 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip().rstrip(",") for c in ctes) + "\n"
 
 
-def _split_sql(table: str, ratios) -> str:
+def _split_sql(table: str, ratios, id_col: str = "doc_id") -> str:
     sizes = [f"floor(n * CAST({r} AS DOUBLE))" for _, r in ratios]
     first = f"(n - {' - '.join(sizes)} + {sizes[0]})"
     bounds, acc = [], []
@@ -341,9 +341,9 @@ def _split_sql(table: str, ratios) -> str:
         bounds.append(" + ".join(acc))
     case = " ".join(f"WHEN split_rank <= {b} THEN {lit(name)}" for (name, _), b in zip(ratios, bounds))
     return f"""
-ranked AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS split_rank,
+ranked AS (SELECT {id_col}, row_number() OVER (ORDER BY md5('42:' || {id_col}::VARCHAR) NULLS LAST, {id_col}) AS split_rank,
                   count(*) OVER () AS n FROM {table}),
-assigned AS (SELECT doc_id, split_rank, CASE {case} END AS split FROM ranked)"""
+assigned AS (SELECT {id_col}, split_rank, CASE {case} END AS split FROM ranked)"""
 
 
 def _split_order(ratios) -> str:
@@ -400,6 +400,8 @@ EVALS_MATE_SCALED = EVALS.replace("v AS eval_value", "(CASE WHEN substr(h, 32, 1
 ORACLE = {
     "split_3way_assign": with_(_split_sql("documents", SPLITS_3WAY)) + "SELECT doc_id, split_rank, split FROM assigned",
     "split_4way_assign": with_(_split_sql("documents", SPLITS_4WAY)) + "SELECT doc_id, split_rank, split FROM assigned",
+    "split_4way_unranked": with_("li AS (SELECT CASE WHEN l_partkey % 7 <> 0 THEN l_orderkey END AS record_id FROM lineitem)",
+                                 _split_sql("li", SPLITS_4WAY, "record_id")) + "SELECT record_id, split FROM assigned",
     "split_size_report": with_(_split_sql("labels", SPLITS_3WAY)) + f"""
 SELECT split, {_split_order(SPLITS_3WAY)} AS split_order, count(*) AS n,
        (round(count(*) * 100.0 / sum(count(*)) OVER (), 6) + 0.0) AS pct FROM assigned GROUP BY split""",

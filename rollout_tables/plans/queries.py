@@ -53,6 +53,13 @@ def split_4way_assign(spark, sf):
     return S.split_4way(docs, "doc_id").select("doc_id", "split_rank", "split")
 
 
+def split_4way_unranked(spark, sf):
+    """The form the split job runs, over repeated ids; a seventh of the rows
+    has none, so that borders fall within rows of one id."""
+    li = fx.table(spark, sf, "lineitem").select(F.when(F.col("l_partkey") % 7 != 0, F.col("l_orderkey")).alias("record_id"))
+    return S.split_4way(li, "record_id", with_rank=False).select("record_id", "split")
+
+
 def split_size_report(spark, sf):
     labels = fx.table(spark, sf, "labels").select("doc_id")
     return flat(S.size_report(S.split_3way(labels, "doc_id")).select("split", "split_order", "n", "pct"))
@@ -261,6 +268,7 @@ def completion_sample(spark, sf):
 QUERIES = {
     "split_3way_assign": split_3way_assign,
     "split_4way_assign": split_4way_assign,
+    "split_4way_unranked": split_4way_unranked,
     "split_size_report": split_size_report,
     "split_resolve": split_resolve,
     "split_resolve_rl": split_resolve_rl,

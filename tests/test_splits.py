@@ -1,11 +1,14 @@
 """Exact sizes, disjoint and complete, same as a global rank."""
 
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from rollout_tables.operators.splits import size_report, split_3way, split_4way
+from rollout_tables.fixed_values import SPLITS_3WAY, SPLITS_4WAY
+from rollout_tables.operators.ranks import numbered
+from rollout_tables.operators.splits import assign_splits, borders, size_report, split_3way, split_4way
 
 
 def _global_order(ids, seed=42):
@@ -69,3 +72,60 @@ def test_more_buckets_same_ranks(spark):
     a = {r["rid"]: r["split_rank"] for r in split_3way(base, "rid").collect()}
     b = {r["rid"]: r["split_rank"] for r in split_3way(base, "rid", bucket_chars=5).collect()}
     assert a == b
+
+
+def _expected(ids, ratios, seed=42):
+    """How many rows of each id each split holds."""
+    order = sorted(ids, key=lambda i: "g" if i is None else hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
+    floors = [int(len(ids) * r) for _, r in ratios]
+    sizes = [floors[0] + len(ids) - sum(floors), *floors[1:]]
+    names = [n for (n, _), k in zip(ratios, sizes) for _ in range(k)]
+    return Counter(zip(order, names))
+
+
+THIRD_NULL = [None] * 100 + list(range(200))
+ONE_HOT = [7] * 150 + list(range(100)) * 2 + [None]
+
+
+@pytest.mark.parametrize("with_rank", [True, False])
+@pytest.mark.parametrize("ids", [THIRD_NULL, ONE_HOT, [None] * 9, [5] * 10, [1], [], list(range(1000))])
+def test_null_and_repeated_ids_keep_rows_and_sizes(spark, ids, with_rank):
+    df = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "rid long, row int").repartition(5)
+    for ratios in (SPLITS_3WAY, SPLITS_4WAY):
+        got = assign_splits(df, "rid", ratios, with_rank=with_rank).collect()
+        assert Counter((r["rid"], r["split"]) for r in got) == _expected(ids, ratios)
+        assert sorted(r["row"] for r in got) == list(range(len(ids)))
+        if with_rank:
+            assert sorted(r["split_rank"] for r in got) == list(range(1, len(ids) + 1))
+
+
+def test_borders_by_levels_equal_a_sort(spark, monkeypatch):
+    ids = list(range(4000)) + [3] * 50
+    df = spark.createDataFrame([(i,) for i in ids], "rid long")
+    order = sorted(hashlib.md5(f"42:{i}".encode()).hexdigest() for i in ids)
+    ends = [2835, 3645, 4050]
+    for levels in ((4, 8, 32), (1, 2, 32), (1, 3, 32)):
+        monkeypatch.setattr("rollout_tables.operators.splits.RADIX_CHARS", levels)
+        got = borders(df, "rid", SPLITS_3WAY)
+        assert [(b.rank, b.hash, b.before, b.count) for b in got] == [
+            (r, order[r - 1], order.index(order[r - 1]), order.count(order[r - 1])) for r in ends]
+
+
+def test_unranked_rows_pass_no_exchange(spark, tmp_dir):
+    spark.range(5000).withColumnRenamed("id", "rid").write.parquet(f"{tmp_dir}/r")
+    out = assign_splits(spark.read.parquet(f"{tmp_dir}/r"), "rid", with_rank=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_existing_split_column_is_replaced(spark):
+    df = spark.range(50).select(F.col("id").alias("rid"), F.lit("old").alias("split"))
+    for with_rank in (True, False):
+        out = assign_splits(df, "rid", with_rank=with_rank)
+        assert out.columns.count("split") == 1 and out.filter("split = 'old'").isEmpty()
+
+
+def test_numbered_counts_on_over_partitions(spark):
+    df = spark.range(1000).repartition(7).filter("id % 3 = 0")
+    assert sorted(r["nr"] for r in numbered(df, "nr").collect()) == list(range(1, 335))
+    assert numbered(df.limit(0), "nr").count() == 0
