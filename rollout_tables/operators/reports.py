@@ -8,7 +8,7 @@ already-aggregated tables whose size is the number of groups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollout_tables.fixed_values import (
@@ -41,23 +41,54 @@ def group_advantage(scored: DataFrame, group_col: str = "prompt_id", reward_col:
     return out.withColumn("advantage", adv)
 
 
-def reward_by_interval(scored: DataFrame, logging_steps: int = LOGGING_STEPS) -> DataFrame:
-    """Mean and standard deviation of the reward per logging interval."""
-    return (scored.groupBy((F.floor(F.col("step") / logging_steps) * logging_steps).cast("long").alias("interval_start"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("reward"),
-                 F.stddev_samp("reward").alias("reward_std")))
+def _interval(step: Column, steps: int) -> Column:
+    return (F.floor(step / steps) * steps).cast("long")
+
+
+def complete_axis(per: DataFrame, steps: int, axis: str = "interval_start") -> DataFrame:
+    """Every interval from the first to the last one of ``per``, those without
+    rows too (their values are null, a count ``n`` is 0)."""
+    ends = per.agg(F.min(axis).alias("a"), F.max(axis).alias("b")).filter(F.col("a").isNotNull())
+    whole = ends.select(F.explode(F.sequence("a", "b", F.lit(steps).cast("long"))).alias(axis))
+    out = whole.join(per, axis, "left").select(per.columns)
+    return out.fillna(0, ["n"]) if "n" in per.columns else out
+
+
+def reward_by_interval(scored: DataFrame, logging_steps: int = LOGGING_STEPS, complete: bool = False) -> DataFrame:
+    """Mean and standard deviation of the reward per logging interval;
+    with ``complete`` the intervals without rewards are listed too (then rows
+    without a step are left out)."""
+    per = (scored.groupBy(_interval(F.col("step"), logging_steps).alias("interval_start"))
+           .agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("reward"),
+                F.stddev_samp("reward").alias("reward_std")))
+    return complete_axis(per.filter(F.col("interval_start").isNotNull()), logging_steps) if complete else per
 
 
 def reward_trend(scored: DataFrame, interval_steps: int = 100,
-                 target_per_1000: float = TARGET_REWARD_GAIN_PER_1000_STEPS) -> DataFrame:
-    """Mean reward per interval and its change, scaled to 1,000 steps,
-    against the target gain."""
-    per = scored.groupBy((F.floor(F.col("step") / interval_steps) * interval_steps).cast("long")
-                         .alias("interval_start")).agg(F.avg("reward").alias("mean_reward"))
+                 target_per_1000: float = TARGET_REWARD_GAIN_PER_1000_STEPS, complete: bool = False) -> DataFrame:
+    """Mean reward per interval and its change since the last interval
+    that has rewards, scaled from their true distance to 1,000 steps, against
+    the target gain. Rows without a step belong to no interval. With
+    ``complete`` the intervals without rewards are listed too."""
+    per = scored.filter(F.col("step").isNotNull()).groupBy(_interval(F.col("step"), interval_steps).alias("interval_start")).agg(
+        F.avg("reward").alias("mean_reward"))
     w = Window.orderBy("interval_start")  # over the interval table: one row per interval
-    delta = (F.col("mean_reward") - F.lag("mean_reward").over(w)) * F.lit(1000.0 / interval_steps)
-    return (per.withColumn("gain_per_1000_steps", delta)
-            .withColumn("meets_target", F.col("gain_per_1000_steps") >= F.lit(target_per_1000)))
+    steps = F.col("interval_start") - F.lag("interval_start").over(w)
+    delta = (F.col("mean_reward") - F.lag("mean_reward").over(w)) * F.lit(1000.0) / steps
+    out = (per.withColumn("gain_per_1000_steps", delta)
+           .withColumn("meets_target", F.col("gain_per_1000_steps") >= F.lit(target_per_1000)))
+    return complete_axis(out, interval_steps) if complete else out
+
+
+def reward_slope(scored: DataFrame, target_per_1000: float = TARGET_REWARD_GAIN_PER_1000_STEPS) -> DataFrame:
+    """I6 over all steps: the least-squares slope of the reward on the step
+    (of single rollouts, so distances and counts are the true ones) per 1,000
+    steps, by category and overall (category null). Moments are summed in the
+    tasks; null where all rewards are at one step."""
+    known = scored.filter(F.col("step").isNotNull() & F.col("reward").isNotNull())
+    out = known.rollup("category").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("first_step"), F.max("step").alias("last_step"),
+                                       (F.regr_slope("reward", F.col("step").cast("double")) * 1000).alias("slope_per_1000_steps"))
+    return out.withColumn("meets_target", F.col("slope_per_1000_steps") >= F.lit(target_per_1000))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], by: list[str] | None = None) -> DataFrame:

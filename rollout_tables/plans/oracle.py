@@ -397,6 +397,21 @@ ALL = with_(RECORDS, PROMPTS, EVALS, ROLLOUTS, RESOLVED, _scored())
 # a mate in n counts as 10,000 + n centipawns
 EVALS_MATE_SCALED = EVALS.replace("v AS eval_value", "(CASE WHEN substr(h, 32, 1) = '0' THEN 10000 + v ELSE v END)::INT AS eval_value")
 
+SPARSE_STEPS = ",\nsparse AS (SELECT * REPLACE ((step % 50) * (step % 50) AS step) FROM scored)"
+
+
+def _trend(source: str) -> str:
+    """Change of the mean between neighbouring intervals that have rewards,
+    for 1,000 steps of their true distance."""
+    return f"""
+, per AS (SELECT CAST(floor(step / 100) * 100 AS BIGINT) AS interval_start, avg(reward) AS mean_reward FROM {source} GROUP BY 1),
+changes AS (
+  SELECT p.interval_start, p.mean_reward, (p.mean_reward - o.mean_reward) / (p.interval_start - o.interval_start) * 1000 AS gain
+  FROM per p LEFT JOIN per o ON o.interval_start = (SELECT max(x.interval_start) FROM per x WHERE x.interval_start < p.interval_start))"""
+
+
+TREND_COLUMNS = """(round(mean_reward, 6) + 0.0) AS mean_reward, (round(gain, 6) + 0.0) AS gain_per_1000_steps, gain >= 0.1 AS meets_target"""
+
 ORACLE = {
     "split_3way_assign": with_(_split_sql("documents", SPLITS_3WAY)) + "SELECT doc_id, split_rank, split FROM assigned",
     "split_4way_assign": with_(_split_sql("documents", SPLITS_4WAY)) + "SELECT doc_id, split_rank, split FROM assigned",
@@ -499,12 +514,24 @@ FROM scored s JOIN g ON g.prompt_id IS NOT DISTINCT FROM s.prompt_id""",
     "reward_by_interval": ALL + """
 SELECT CAST(floor(step / 10) * 10 AS BIGINT) AS interval_start, count(*) AS n, (round(avg(reward), 6) + 0.0) AS reward,
        (round(stddev_samp(reward), 6) + 0.0) AS reward_std FROM scored GROUP BY 1""",
-    "reward_trend": ALL + """
-, per AS (SELECT CAST(floor(step / 100) * 100 AS BIGINT) AS interval_start, avg(reward) AS mean_reward FROM scored GROUP BY 1)
-SELECT interval_start, (round(mean_reward, 6) + 0.0) AS mean_reward,
-       (round((mean_reward - lag(mean_reward) OVER (ORDER BY interval_start)) * 10.0, 6) + 0.0) AS gain_per_1000_steps,
-       (mean_reward - lag(mean_reward) OVER (ORDER BY interval_start)) * 10.0 >= 0.1 AS meets_target
-FROM per""",
+    "reward_trend": ALL + _trend("scored") + f"""
+SELECT interval_start, {TREND_COLUMNS} FROM changes""",
+    "reward_by_interval_complete": ALL + SPARSE_STEPS + """
+, per AS (SELECT CAST(floor(step / 10) * 10 AS BIGINT) AS interval_start, count(*) AS n, avg(reward) AS m, stddev_samp(reward) AS s
+          FROM sparse GROUP BY 1),
+axis AS (SELECT unnest(range((SELECT min(interval_start) FROM per), (SELECT max(interval_start) FROM per) + 1, 10)) AS interval_start)
+SELECT interval_start, coalesce(n, 0) AS n, (round(m, 6) + 0.0) AS reward, (round(s, 6) + 0.0) AS reward_std
+FROM axis LEFT JOIN per USING (interval_start)""",
+    "reward_trend_complete": ALL + SPARSE_STEPS + _trend("sparse") + f"""
+, axis AS (SELECT unnest(range((SELECT min(interval_start) FROM per), (SELECT max(interval_start) FROM per) + 1, 100)) AS interval_start)
+SELECT interval_start, {TREND_COLUMNS} FROM axis LEFT JOIN changes USING (interval_start)""",
+    "reward_slope": ALL + """
+, sums AS (SELECT category, count(*) AS n, min(step) AS first_step, max(step) AS last_step, avg(step) AS mx, avg(reward) AS my
+           FROM scored GROUP BY ROLLUP (category)),
+slopes AS (SELECT m.category, any_value(n) AS n, any_value(first_step) AS first_step, any_value(last_step) AS last_step,
+                  1000 * sum((s.step - mx) * (s.reward - my)) / sum((s.step - mx) * (s.step - mx)) AS slope
+           FROM sums m JOIN scored s ON m.category IS NULL OR m.category = s.category GROUP BY m.category)
+SELECT category, n, first_step, last_step, (round(slope, 6) + 0.0) AS slope_per_1000_steps, slope >= 0.1 AS meets_target FROM slopes""",
     "completion_lengths": with_(ROLLOUTS) + """
 , c AS (SELECT length(coalesce(completion, '')) AS chars FROM rollouts),
 h AS (SELECT chars, count(*) AS cnt FROM c GROUP BY chars),

@@ -253,6 +253,24 @@ def reward_trend(spark, sf):
     return flat(R.reward_trend(_scored(spark, sf)))
 
 
+def _sparse_steps(spark, sf):
+    """The scored rollouts with steps of growing distance, so that there are
+    intervals without rewards."""
+    return _scored(spark, sf).withColumn("step", (F.col("step") % 50) * (F.col("step") % 50))
+
+
+def reward_by_interval_complete(spark, sf):
+    return flat(R.reward_by_interval(_sparse_steps(spark, sf), complete=True))
+
+
+def reward_trend_complete(spark, sf):
+    return flat(R.reward_trend(_sparse_steps(spark, sf), complete=True))
+
+
+def reward_slope(spark, sf):
+    return flat(R.reward_slope(_scored(spark, sf)))
+
+
 def completion_lengths(spark, sf):
     return flat(R.completion_lengths(I.rollouts(spark, sf)))
 
@@ -298,6 +316,9 @@ QUERIES = {
     "group_advantage": group_advantage,
     "reward_by_interval": reward_by_interval,
     "reward_trend": reward_trend,
+    "reward_by_interval_complete": reward_by_interval_complete,
+    "reward_trend_complete": reward_trend_complete,
+    "reward_slope": reward_slope,
     "completion_lengths": completion_lengths,
     "reward_by_category": reward_by_category,
     "completion_sample": completion_sample,
