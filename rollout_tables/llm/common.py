@@ -117,11 +117,64 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix((sums[ends] - sums[starts]) * powers(inverse, len(values) + 1)[starts])
 
 
-def word_hashes(data, offsets, is_word, lower: bool):
+# one number for each byte at each of the first places of a word
+_PLACES = 256
+_AT_PLACE: dict[int, np.ndarray] = {}
+
+
+def _numbers(at: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit number for each (place, byte), given as place * 256 + byte."""
+    return mix((at.astype(np.uint64) + np.uint64(1)) * np.uint64(MULT) + np.uint64(salt * 0xD1342543DE82EF95 % (1 << 64)))
+
+
+def _sums(letters: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hashes of words whose bytes stand one after another: the sum of
+    the numbers of a word's bytes at their places. Unlike a polynomial, whose
+    differences are products that vanish modulo 2 ** 64 for some pairs of long
+    words, the sum gives any two different words one hash with a chance of
+    2 ** -64; what must be exact still compares the bytes."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    kind = np.int32 if len(letters) < 1 << 22 else np.int64
+    at = (np.arange(len(letters), dtype=kind) - np.repeat(begin.astype(kind), sizes)) * kind(256) + letters
+    if salt not in _AT_PLACE:
+        _AT_PLACE[salt] = _numbers(np.arange(_PLACES * 256), salt)
+    if sizes.max() <= _PLACES:
+        numbers = _AT_PLACE[salt][at]
+    else:
+        numbers = _AT_PLACE[salt][np.minimum(at, _PLACES * 256 - 1)]
+        far = np.flatnonzero(at >= _PLACES * 256)
+        numbers[far] = _numbers(at[far], salt)
+    return mix(np.add.reduceat(numbers, begin) + sizes.astype(np.uint64) * np.uint64(MULT))
+
+
+def word_hashes(data, offsets, is_word, lower: bool, salt: int = 0):
     """(hashes, starts, ends, first) of the words of a chunk."""
     data = LOWER[data] if lower else data
     starts, ends, first = split_words(data, offsets, is_word)
-    return range_hashes(data, starts, ends), starts, ends, first
+    return _sums(data[is_word[data]], ends - starts, salt), starts, ends, first
+
+
+def same_bytes(a, a_starts, b, b_starts, sizes) -> np.ndarray:
+    """Whether a[a_starts:] and b[b_starts:] are equal over ``sizes`` bytes (1
+    at least), pair by pair."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+    return ~np.logical_or.reduceat(a[place + np.repeat(a_starts, sizes)] != b[place + np.repeat(b_starts, sizes)], begin)
+
+
+def joined_words(data, starts, ends):
+    """The words one after another with one space behind each, and where each
+    begins (n + 1): any run of words is a slice."""
+    sizes = ends - starts
+    begin = np.r_[0, np.cumsum(sizes + 1)]
+    out = np.full(int(begin[-1]), 0x20, np.uint8)
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[place + np.repeat(begin[:-1], sizes)] = data[place + np.repeat(starts, sizes)]
+    return out, begin
 
 
 def doc_of(first: np.ndarray) -> np.ndarray:

@@ -26,12 +26,13 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from rollout_tables.llm.common import ALNUM, arrow_map, chunks, doc_of, refresh_n_chars, table, utf8, word_hashes
+from rollout_tables.llm.common import (
+    ALNUM, LOWER, arrow_map, chunks, doc_of, joined_words, refresh_n_chars, same_bytes, scratch, table, utf8, word_hashes,
+)
 from rollout_tables.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -43,8 +44,15 @@ def _block(items: list, window: int) -> dict:
     names = sorted({str(i) for i, _ in items if i is not None})
     number = {name: k for k, name in enumerate(names)}
     data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
-    hashes, _, _, first = word_hashes(data, offsets, ALNUM, lower=True)
-    vocabulary, ids = np.unique(hashes, return_inverse=True)
+    data, salt = LOWER[data], 0
+    hashes, starts, ends, first = word_hashes(data, offsets, ALNUM, lower=False)
+    raw = data.tobytes()
+    words = {raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())}
+    while len(np.unique(hashes)) < len(words):  # two words with one hash: another salt
+        salt += 1
+        hashes = word_hashes(data, offsets, ALNUM, lower=False, salt=salt)[0]
+    vocabulary, named, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    spelled, spelled_at = joined_words(data, starts[named], ends[named])
     owners: dict[tuple, set] = {}
     for (item, _), a, b in zip(items, first[:-1], first[1:]):
         for s in range(a, max(a + (b > a), b - window + 1)):
@@ -54,7 +62,7 @@ def _block(items: list, window: int) -> dict:
     for k, w in enumerate(owners):
         patterns[k, :len(w)] = w
     listed = [sorted(o for o in owner if o >= 0) for owner in owners.values()]
-    return {"names": names, "vocabulary": vocabulary, "patterns": patterns, "lengths": lengths,
+    return {"names": names, "vocabulary": vocabulary, "salt": salt, "spelled": spelled, "spelled_at": spelled_at, "patterns": patterns, "lengths": lengths,
             "owner_at": np.r_[0, np.cumsum([len(o) for o in listed], dtype=np.int64)], "owner": np.array([o for own in listed for o in own], np.int64)}
 
 
@@ -76,7 +84,8 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: in
 def occurrences(data, offsets, block: dict):
     """Occurrences in a shard: (word start, word end, window number) arrays, the
     words' byte starts and ends, and first words of the documents."""
-    hashes, starts, ends, first = word_hashes(data, offsets, ALNUM, lower=True)
+    data = LOWER[data]
+    hashes, starts, ends, first = word_hashes(data, offsets, ALNUM, lower=False, salt=block["salt"])
     none = np.zeros(0, np.int64)
     nothing = (none, none, none, starts, ends, first)
     vocabulary, lengths = block["vocabulary"], block["lengths"]
@@ -98,7 +107,12 @@ def occurrences(data, offsets, block: dict):
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     word = np.repeat(begin, size) + inside
     place = np.repeat(slot, size) + inside
-    text[place] = at[word] + 1
+    # a word counts as known by its bytes, not by its hash
+    spelled, spelled_at = block["spelled"], block["spelled_at"]
+    sizes = (ends - starts)[word]
+    equal = np.diff(spelled_at)[at[word]] - 1 == sizes
+    equal[equal] = same_bytes(data, starts[word[equal]], spelled, spelled_at[at[word[equal]]], sizes[equal])
+    text[place] = np.where(equal, at[word] + 1, 0)
     word_at = np.full(len(text), -1, np.int64)
     word_at[place] = word
     index = FMIndex(text, len(vocabulary))
@@ -253,7 +267,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         found = docs.withColumn("__spans", F.expr("cast(array() as array<array<bigint>>)"))
         for block in benchmark_blocks(benchmark, window):
             found = arrow_map(found, search(block), found.schema)
-        done = arrow_map(found, cut_found, StructType([*schema.fields, StructField("__cut", BooleanType())])).persist(StorageLevel.DISK_ONLY)
+        done = arrow_map(found, cut_found, StructType([*schema.fields, StructField("__cut", BooleanType())]))
+        done = scratch(done, "decontaminate-cut")
         kept = done.filter(~F.col("__cut")).drop("__cut")
         clean = kept if clean is None else clean.unionByName(kept)
         docs = done.filter("__cut").drop("__cut")
