@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollout_tables.fixed_values import (
-    CHARS_PER_TOKEN, JSON_OBJECT_PATTERN, MOVE_KEYS, THINK_CLOSE, THINK_OPEN, UCI_MOVE_PATTERN,
+    CHARS_PER_TOKEN, JSON_OBJECT_PATTERN, MOVE_KEYS, SCORE_LABELS, THINK_CLOSE, THINK_OPEN, UCI_MOVE_PATTERN,
 )
 from rollout_tables.functions.text import py_strip, strip_chars, variant_as_py_str, variant_type
 
@@ -79,51 +79,80 @@ def completion_text(c: Column, data_type=None) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def _parse_stage_columns(c: str) -> list[dict[str, Column]]:
-    """E1 + E2, the parse state, the key lookups and the value conversions,
-    as successive projections (each only reads columns of the previous one)."""
+def without_think(c: Column) -> Column:
+    """Q9 option: the text without its (first, closed) reasoning block, so
+    that braces in it do not hide the answer."""
+    start = F.locate(THINK_OPEN, c)
+    end = F.call_function("locate", F.lit(THINK_CLOSE), c, start + F.lit(len(THINK_OPEN)))
+    return F.when((start > 0) & (end > 0), F.concat(F.substring(c, F.lit(1), start - 1),
+                                                    F.substring(c, end + F.lit(len(THINK_CLOSE)), F.length(c)))).otherwise(c)
+
+
+def found_object(c: Column) -> Column:
+    """The first innermost ``{...}``, '' if there is none."""
     # no '{' at all: no object to find (skip the regex scan)
-    found = F.when(F.instr(F.col(c), "{") > 0, F.regexp_extract(F.col(c), JSON_OBJECT_PATTERN, 0)).otherwise(F.lit(""))
-    s1 = {"_found": found}
-    # without a {...} pair the text cannot decode to an object: parse only the found object
-    s2 = {"_obj": F.when(F.col("_found") != "", F.from_json(repaired(F.col("_found")), "MAP<STRING,VARIANT>")),
-          "_no_braces": F.col("_found") == ""}
-    whole = repaired(F.col(c))
+    return F.when(c.contains("{"), F.regexp_extract(c, JSON_OBJECT_PATTERN, 0)).otherwise(F.lit(""))
+
+
+def is_non_object(c: Column, no_braces: Column) -> Column:
+    """Whether the whole text is a JSON array or scalar."""
+    whole = repaired(c)
     # as the only item of an array a value can have nothing after it
     alone = F.size(F.from_json(F.concat(F.lit("["), whole, F.lit("]")), "ARRAY<VARIANT>")) == 1
-    non_object = F.col("_no_braces") & whole.rlike(NON_OBJECT_JSON) & (whole.rlike(NON_NUMBER) | F.coalesce(alone, F.lit(False)))
-    s3 = {"json_state": F.when(F.col("_obj").isNotNull(), F.lit("object"))
-          .when(non_object, F.lit("non_object")).otherwise(F.lit("text")),
-          "_keys": F.map_keys("_obj"),
-          "_dups": F.when(F.size("_obj") > 1, F.size(F.array_distinct(F.map_keys("_obj"))) < F.size("_obj"))
-          .otherwise(F.lit(False))}
-    s4 = {"_lkeys": F.split(F.lower(F.array_join("_keys", SEP)), SEP, -1)}
-    # one key search per rule, without higher-order functions: a regex over
-    # the joined lower-cased keys finds the first key matching the rule,
-    # array_position gives its place and so the original key. The value is a
-    # variant: SQL null when the key is absent, a variant null for a JSON
-    # null. A repeated key reads its last value, as a Python dict does.
+    return no_braces & whole.rlike(NON_OBJECT_JSON) & (whole.rlike(NON_NUMBER) | F.coalesce(alone, F.lit(False)))
+
+
+def object_stages(found: Column, non_object: Column) -> list[dict[str, Column]]:
+    """E2, the parse state and the keys of the object, as projections."""
+    return [
+        # without a {...} pair the text cannot decode to an object: parse only the found object
+        {"_obj": F.when(found != "", F.from_json(repaired(found), "MAP<STRING,VARIANT>"))},
+        {"json_state": F.when(F.col("_obj").isNotNull(), F.lit("object"))
+         .when(non_object, F.lit("non_object")).otherwise(F.lit("text")),
+         "_keys": F.map_keys("_obj"),
+         "_dups": F.when(F.size("_obj") > 1, F.size(F.array_distinct(F.map_keys("_obj"))) < F.size("_obj"))
+         .otherwise(F.lit(False))},
+        {"_lkeys": F.split(F.lower(F.array_join("_keys", SEP)), SEP, -1)},
+    ]
+
+
+def key_place(name: str) -> Column:
+    """Place (from 1) of the first key that matches a rule, else null. One key
+    search per rule, without higher-order functions: a regex over the joined
+    lower-cased keys finds the first key matching the rule, array_position
+    gives its place and so the original key."""
+    if name in EXACT_KEYS:  # exact key: its first position directly
+        return F.nullif(F.array_position("_lkeys", EXACT_KEYS[name]), F.lit(0))
     joined = F.array_join("_lkeys", SEP)
-    obj = F.col("_obj")
-    s5 = {}
-    for name, pattern in KEY_RULES.items():
-        if name in EXACT_KEYS:  # exact key: its first position directly
-            idx = F.array_position("_lkeys", EXACT_KEYS[name])
-            idx = F.when(idx > 0, idx)
-        else:  # contains-rule: cheap substring guard, then the regex
-            guard = None
-            for w in CONTAINS_WORDS[name]:
-                g = joined.contains(w)
-                guard = g if guard is None else guard & g
-            hit = F.when(guard, F.regexp_extract(joined, pattern, 1)).otherwise(F.lit(""))
-            idx = F.when(hit != "", F.array_position("_lkeys", hit))
-        key = F.get(F.col("_keys"), (idx - 1).cast("int"))
-        last_of_key = F.try_element_at(F.filter(F.map_entries(obj), lambda e: e["key"] == key), F.lit(-1))["value"]
-        s5[f"_v_{name}"] = F.when(F.col("_dups"), last_of_key).otherwise(F.try_element_at(obj, key))
-    s6 = {}
-    for name in KEY_RULES:
-        v = F.col(f"_v_{name}")
-        s6[f"_s_{name}"] = F.when(v.isNotNull(), F.coalesce(variant_as_py_str(v), F.lit("None")))
+    guard = None  # cheap substring guard, then the regex
+    for w in CONTAINS_WORDS[name]:
+        g = joined.contains(w)
+        guard = g if guard is None else guard & g
+    hit = F.when(guard, F.regexp_extract(joined, KEY_RULES[name], 1)).otherwise(F.lit(""))
+    return F.when(hit != "", F.array_position("_lkeys", hit))
+
+
+def value_at(place: Column) -> Column:
+    """The value of the key at a place. It is a variant: SQL null when the key
+    is absent, a variant null for a JSON null. A repeated key reads its last
+    value, as a Python dict does."""
+    key = F.get(F.col("_keys"), (place - 1).cast("int"))
+    last_of_key = F.try_element_at(F.filter(F.map_entries("_obj"), lambda e: e["key"] == key), F.lit(-1))["value"]
+    return F.when(F.col("_dups"), last_of_key).otherwise(F.try_element_at(F.col("_obj"), key))
+
+
+def as_text(v: Column) -> Column:
+    return F.when(v.isNotNull(), F.coalesce(variant_as_py_str(v), F.lit("None")))
+
+
+def _parse_stage_columns(c: str) -> list[dict[str, Column]]:
+    """E1 + E2, the parse state, the key lookups and the value conversions,
+    as successive projections (each only reads columns of the previous one)."""
+    s1 = {"_found": found_object(F.col(c))}
+    s1b = {"_no_braces": F.col("_found") == ""}
+    objects = object_stages(F.col("_found"), is_non_object(F.col(c), F.col("_no_braces")))
+    s5 = {f"_v_{name}": value_at(key_place(name)) for name in KEY_RULES}
+    s6 = {f"_s_{name}": as_text(F.col(f"_v_{name}")) for name in KEY_RULES}
     for name in ("missing", "fens"):
         s6[f"_t_{name}"] = variant_type(F.col(f"_v_{name}"))
     s7 = {
@@ -134,82 +163,166 @@ def _parse_stage_columns(c: str) -> list[dict[str, Column]]:
         "pred_fens": fens_column(),
         "think_tokens": think_tokens(F.col(c)),
     }
-    return [s1, s2, s3, s4, s5, s6, s7]
+    return [s1, s1b, *objects, s5, s6, s7]
+
+
+# which key a category's rule reads, the first present one of several
+CATEGORY_KEYS = {
+    "FIND_NEXT_BEST_MOVE": list(EXACT_KEYS), "FIND_LAST_MOVE": list(EXACT_KEYS), "FIND_ADVANTAGED_PLAYER": ["adv"],
+    "FIND_FINAL_SCORE": ["score"], "MLM_ON_MOVES": ["missing"], "SORT_FENS": ["fens"],
+}
+SCAN_COLUMNS = ["pred_object", "json_state", "pred_text_move", "pred_text_advantage", "pred_text_score", "think_tokens"]
+
+
+def _scan_stage_columns(c: str) -> list[dict[str, Column]]:
+    """What the scan keeps of a completion, before its category is known: the
+    found object as a map and, only where a rule may fall back on it, what the
+    whole text says; all short. A score label matters only if it is a known
+    one."""
+    text, no_object = F.col(c), F.col("_obj").isNull()
+    stripped = py_strip(F.lower(text_score(text)))
+    maybe, move_key = None, None
+    for name in SCORE_LABELS:
+        maybe = text.contains(name) if maybe is None else maybe | text.contains(name)
+    for name in MOVE_KEYS:
+        has = F.array_contains("_lkeys", name)
+        move_key = has if move_key is None else move_key | has
+    return [{"_found": found_object(text)}, {"_no_braces": F.col("_found") == ""},
+            *object_stages(F.col("_found"), is_non_object(text, F.col("_no_braces"))),
+            {"pred_object": F.col("_obj"),
+             "pred_text_move": F.when(no_object | ~move_key, text_move(text)),
+             "pred_text_advantage": F.when(no_object, text_advantage(text)),
+             "pred_text_score": F.when(no_object & maybe, F.when(stripped.isin(*SCORE_LABELS), stripped)),
+             "think_tokens": think_tokens(text)}]
+
+
+def _label_stage_columns(categories: list[str]) -> list[dict[str, Column]]:
+    """The labels that the rule of the row's ``category`` reads, from the kept
+    columns of the scan: one key search and one value a row. Labels of other
+    rules are null."""
+    category = F.col("category")
+
+    def of(*names):
+        return category.isin([c for c in names if c in categories])
+
+    place = None
+    for name, keys in CATEGORY_KEYS.items():
+        if name in categories:
+            at = F.coalesce(*[key_place(k) for k in keys])
+            place = F.when(category == name, at) if place is None else place.when(category == name, at)
+    stages = [{"_obj": F.col("pred_object")}, *object_stages(F.lit(""), F.lit(False))[1:],
+              {"_place": F.lit(None).cast("long") if place is None else place}, {"_v": value_at(F.col("_place"))},
+              {"_s": as_text(F.col("_v")), "_t": variant_type(F.col("_v"))}]
+    del stages[1]["json_state"]
+    is_object, s, t, v = F.col("_obj").isNotNull(), F.col("_s"), F.col("_t"), F.col("_v")
+    by_key = F.coalesce(py_strip(s), F.lit(""))
+    score = py_strip(F.lower(F.when(is_object, by_key).otherwise(F.coalesce(F.col("pred_text_score"), F.lit("")))))
+    labels = {
+        "pred_move": F.when(of("FIND_NEXT_BEST_MOVE", "FIND_LAST_MOVE"),
+                            F.coalesce(F.when(is_object, py_strip(s)), F.col("pred_text_move"))),
+        "pred_advantage": F.when(of("FIND_ADVANTAGED_PLAYER"), F.lower(F.when(is_object, by_key).otherwise(F.col("pred_text_advantage")))),
+        "pred_score": F.when(of("FIND_FINAL_SCORE"), score),
+        "pred_missing": F.when(of("MLM_ON_MOVES"), missing_items(is_object, s, t, v)),
+        "pred_fens": F.when(of("SORT_FENS"), fen_items(is_object, s, t, v)),
+    }
+    return [*stages, labels]
 
 
 _STAGE_CACHE: dict[tuple, list[dict[str, Column]]] = {}
 
 
-def stage_columns(c: str) -> list[dict[str, Column]]:
-    """The parse columns, built once per Spark context and text column name
-    (a Column is an unresolved expression and can be reused by any frame;
-    building it costs thousands of calls into the JVM)."""
+def _kept(build, *args):
+    """Columns built once per Spark context and arguments (a Column is an
+    unresolved expression and can be reused by any frame; building it costs
+    thousands of calls into the JVM)."""
     from pyspark import SparkContext
     sc = SparkContext._active_spark_context
-    key = (id(sc), sc.applicationId if sc else None, c)
+    key = (id(sc), sc.applicationId if sc else None, build.__name__, repr(args))
     if key not in _STAGE_CACHE:
-        _STAGE_CACHE[key] = _parse_stage_columns(c)
+        _STAGE_CACHE[key] = build(*args)
     return _STAGE_CACHE[key]
 
 
+def stage_columns(c: str) -> list[dict[str, Column]]:
+    """The parse columns."""
+    return _kept(_parse_stage_columns, c)
+
+
+def text_move(c: Column) -> Column:
+    """The first UCI-shaped move anywhere in a text, else ''."""
+    return F.regexp_extract(c, UCI_MOVE_PATTERN, 0)
+
+
+def text_advantage(c: Column) -> Column:
+    lc = F.lower(c)
+    w, b = lc.contains("white"), lc.contains("black")
+    return (F.when(w & ~b, F.lit("white")).when(b & ~w, F.lit("black"))
+            .when(lc.contains("draw"), F.lit("draw"))
+            .otherwise(F.regexp_extract(lc, "white|black|draw", 0)))
+
+
+def text_score(c: Column) -> Column:
+    return py_strip(strip_chars(strip_chars(py_strip(c), '"'), "'"))
+
+
 def move_column(c: Column) -> Column:
     """Move by key (priority order, case-insensitive exact key), else the
     first UCI-shaped move anywhere in the text, else ''."""
     by_key = F.coalesce(*[F.col(f"_s_move{i}") for i in range(len(MOVE_KEYS))])
-    by_regex = F.regexp_extract(c, UCI_MOVE_PATTERN, 0)
-    return F.coalesce(F.when(F.col("_obj").isNotNull(), py_strip(by_key)), by_regex)
+    return F.coalesce(F.when(F.col("_obj").isNotNull(), py_strip(by_key)), text_move(c))
 
 
 def advantage_column(c: Column) -> Column:
     """Lower-cased advantage label; from the text when it is no JSON."""
-    lc = F.lower(c)
-    w, b = lc.contains("white"), lc.contains("black")
-    from_text = (F.when(w & ~b, F.lit("white")).when(b & ~w, F.lit("black"))
-                 .when(lc.contains("draw"), F.lit("draw"))
-                 .otherwise(F.regexp_extract(lc, "white|black|draw", 0)))
     by_key = F.coalesce(py_strip(F.col("_s_adv")), F.lit(""))
-    return F.lower(F.when(F.col("_obj").isNotNull(), by_key).otherwise(from_text))
+    return F.lower(F.when(F.col("_obj").isNotNull(), by_key).otherwise(text_advantage(c)))
 
 
 def score_column(c: Column) -> Column:
     """E5: lower-cased, stripped score label; the stripped text when it is no JSON."""
-    from_text = py_strip(strip_chars(strip_chars(py_strip(c), '"'), "'"))
     by_key = F.coalesce(py_strip(F.col("_s_score")), F.lit(""))
-    return py_strip(F.lower(F.when(F.col("_obj").isNotNull(), by_key).otherwise(from_text)))
+    return py_strip(F.lower(F.when(F.col("_obj").isNotNull(), by_key).otherwise(text_score(c))))
 
 
-def missing_column() -> Column:
-    """Predicted missing moves; null when the value cannot be read (the
-    rule then scores -1.0). A JSON list keeps '?', a string drops it."""
-    t, v = F.col("_t_missing"), F.col("_v_missing")
+def missing_items(is_object: Column, s: Column, t: Column, v: Column) -> Column:
+    """Predicted missing moves from a value, its text and its type; null
+    when it cannot be read (the rule then scores -1.0). A JSON list keeps '?',
+    a string drops it."""
     items = F.try_variant_get(v, "$", "array<string>")
     as_list = F.when(~F.exists(items, lambda m: m.isNull()),  # a null item cannot be read
                      F.transform(F.filter(items, lambda m: py_strip(m) != ""), lambda m: strip_chars(py_strip(m), "[]\"'")))
-    text = F.coalesce(F.col("_s_missing"), F.lit(""))
+    text = F.coalesce(s, F.lit(""))
     parts = F.split(F.replace(F.replace(text, F.lit("["), F.lit("")), F.lit("]"), F.lit("")), ",", -1)
-    as_text = F.filter(F.transform(parts, lambda p: strip_chars(py_strip(p), "\"'")),
-                       lambda p: (p != "") & (p != "?"))
-    return (F.when(F.col("_obj").isNull(), F.lit(None))
+    from_text = F.filter(F.transform(parts, lambda p: strip_chars(py_strip(p), "\"'")),
+                         lambda p: (p != "") & (p != "?"))
+    return (F.when(~is_object, F.lit(None))
             .when(v.isNull(), F.array().cast("array<string>"))
-            .when(t == "STRING", as_text)
+            .when(t == "STRING", from_text)
             .when(t == "ARRAY<STRING>", as_list))
 
 
-def fens_column() -> Column:
+def missing_column() -> Column:
+    return missing_items(F.col("_obj").isNotNull(), F.col("_s_missing"), F.col("_t_missing"), F.col("_v_missing"))
+
+
+def fen_items(is_object: Column, s: Column, t: Column, v: Column) -> Column:
     """Predicted FEN order; null when the value is neither text nor a list."""
-    t, v = F.col("_t_fens"), F.col("_v_fens")
-    text = F.coalesce(F.col("_s_fens"), F.lit(""))
-    as_text = F.transform(F.filter(F.split(strip_chars(text, "[]"), ",", -1), lambda f: py_strip(f) != ""),
-                          lambda f: strip_chars(py_strip(f), "\"'"))
+    text = F.coalesce(s, F.lit(""))
+    from_text = F.transform(F.filter(F.split(strip_chars(text, "[]"), ",", -1), lambda f: py_strip(f) != ""),
+                            lambda f: strip_chars(py_strip(f), "\"'"))
     items = F.transform(F.try_variant_get(v, "$", "array<variant>"),
                         lambda e: F.coalesce(variant_as_py_str(e), F.lit("None")))
     as_list = F.transform(F.filter(items, lambda f: py_strip(f) != ""), lambda f: strip_chars(f, "\"'"))
-    return (F.when(F.col("_obj").isNull(), F.lit(None))
+    return (F.when(~is_object, F.lit(None))
             .when(v.isNull(), F.array().cast("array<string>"))
-            .when(t == "STRING", as_text)
+            .when(t == "STRING", from_text)
             .when(t.startswith("ARRAY"), as_list))
 
 
+def fens_column() -> Column:
+    return fen_items(F.col("_obj").isNotNull(), F.col("_s_fens"), F.col("_t_fens"), F.col("_v_fens"))
+
+
 def parse(df: DataFrame, c: str) -> DataFrame:
     """All PARSE columns for the text column ``c``; helper columns are dropped."""
     out = df
@@ -218,3 +331,18 @@ def parse(df: DataFrame, c: str) -> DataFrame:
     helpers = [x for x in out.columns if x.startswith(("_v_", "_s_", "_t_"))] + [
         "_obj", "_found", "_no_braces", "_keys", "_dups", "_lkeys"]
     return out.drop(*helpers)
+
+
+def scan(df: DataFrame, c: str) -> DataFrame:
+    """``SCAN_COLUMNS`` for the text column ``c``."""
+    for stage in _kept(_scan_stage_columns, c):
+        df = df.withColumns(stage)
+    return df.drop("_found", "_no_braces", "_obj", "_keys", "_dups", "_lkeys")
+
+
+def label(df: DataFrame, categories: list[str]) -> DataFrame:
+    """The labels of each row's own category from the ``SCAN_COLUMNS``, of
+    which ``json_state`` and ``think_tokens`` stay."""
+    for stage in _kept(_label_stage_columns, categories):
+        df = df.withColumns(stage)
+    return df.drop(*[x for x in SCAN_COLUMNS if x.startswith("pred_")], "_obj", "_keys", "_dups", "_lkeys", "_place", "_v", "_s", "_t")

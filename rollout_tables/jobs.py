@@ -3,8 +3,12 @@
     python -m rollout_tables.jobs split    --input records --output splits [--with-validation] [--seed 42]
     python -m rollout_tables.jobs prep-sft --input splits --split sft_train --output sft_text
     python -m rollout_tables.jobs prep-rl  --input splits --split rl --output prompts
-    python -m rollout_tables.jobs score    --rollouts r --prompts p --evals e --output rewards
+    python -m rollout_tables.jobs tokens   --input token_rows --output masked --max-len 2048 --pad-id 0
+    python -m rollout_tables.jobs index    --evals e --output index [--mate scaled] [--buckets 2000]
+    python -m rollout_tables.jobs worklist --rollouts r --prompts p --evals e --output positions
+    python -m rollout_tables.jobs score    --rollouts r --prompts p (--evals e | --index index) --output rewards
     python -m rollout_tables.jobs report   --rewards rewards --output reports
+    python -m rollout_tables.jobs completions --rollouts r --output reports
 
 Inputs and outputs are tables in any Spark source format (parquet by
 default). Each job reads, transforms and writes; nothing is collected.
@@ -20,7 +24,9 @@ from rollout_tables.fixed_values import SPLIT_SEED, SPLITS_3WAY, SPLITS_4WAY
 from rollout_tables.operators import messages as M
 from rollout_tables.operators import reports as R
 from rollout_tables.operators import splits as S
-from rollout_tables.operators.evals import fen_values, position_children, scored_evals
+from rollout_tables.operators import tokens as T
+from rollout_tables.operators.evals import fen_values, position_children, positions_to_evaluate, scored_evals
+from rollout_tables.operators.index import open_index, write_index
 from rollout_tables.operators.rewards import score_rollouts
 from rollout_tables.session import build_session, materialise
 from rollout_tables.sources import datasets as DS
@@ -57,15 +63,47 @@ def prep_rl(spark, a):
     M.rl_prompts(df).write.mode("overwrite").parquet(a.output)
 
 
+def tokens(spark, a):
+    """Token rows (C1-C4), and their audit (C5) beside them."""
+    masked = T.mask_token_rows(_read(spark, a.input, a.format), a.max_len, a.pad_id, a.rule)
+    masked.write.mode("overwrite").parquet(a.output)
+    T.token_audit(_read(spark, a.output, "parquet"), a.max_len).write.mode("overwrite").parquet(a.output + "_audit")
+
+
+def index(spark, a):
+    """The evaluations as bucketed tables, for later score jobs."""
+    write_index(_read(spark, a.evals, a.format), a.output, a.mate, a.buckets)
+
+
+def worklist(spark, a):
+    """the positions and FENs that the rollouts need and the evaluations lack."""
+    positions_to_evaluate(_read(spark, a.prompts, a.format), _read(spark, a.rollouts, a.format),
+                          _read(spark, a.evals, a.format)).write.mode("overwrite").parquet(a.output)
+
+
+def completions(spark, a):
+    """Lengths of the completions, and a sample of each step."""
+    rollouts = _read(spark, a.rollouts, a.format)
+    R.completion_lengths(rollouts).write.mode("overwrite").parquet(os.path.join(a.output, "lengths"))
+    R.completion_sample(rollouts).write.mode("overwrite").parquet(os.path.join(a.output, "sample"))
+
+
 def score(spark, a):
-    """REWARD: one reward per rollout. The lookup tables are written first,
-    so that the joins read scans and AQE can split a hot position."""
+    """REWARD: one reward per rollout. Without an index the lookup tables are
+    written first, so that the joins read scans and AQE can split a hot
+    position."""
+    if a.index:
+        ix = open_index(spark, a.index)
+        out = score_rollouts(_read(spark, a.rollouts, a.format), _read(spark, a.prompts, a.format), ix.evals,
+                             scaling=a.scaling, children=ix.children, fens=ix.fens, strip_think=a.strip_think)
+        out.write.mode("overwrite").parquet(a.output)
+        return
     evals = _read(spark, a.evals, a.format)
     as_scored = scored_evals(evals, a.mate)
     children = materialise(position_children(as_scored), "children")
     fens = materialise(fen_values(as_scored), "fens")
     out = score_rollouts(_read(spark, a.rollouts, a.format), _read(spark, a.prompts, a.format), evals,
-                         scaling=a.scaling, mate=a.mate, children=children, fens=fens)
+                         scaling=a.scaling, mate=a.mate, children=children, fens=fens, strip_think=a.strip_think)
     out.write.mode("overwrite").parquet(a.output)
 
 
@@ -94,9 +132,30 @@ def main(argv=None):
         q.add_argument("--input", required=True)
         q.add_argument("--output", required=True)
         q.add_argument("--split", default=None)
-    r = sub.add_parser("score")
+    k = sub.add_parser("tokens")
+    k.add_argument("--input", required=True)
+    k.add_argument("--output", required=True)
+    k.add_argument("--max-len", type=int, required=True)
+    k.add_argument("--pad-id", type=int, required=True)
+    k.add_argument("--rule", default="answer", choices=["answer", "last_header"])
+    x = sub.add_parser("index")
+    x.add_argument("--evals", required=True)
+    x.add_argument("--output", required=True)
+    x.add_argument("--mate", default="as_cp", choices=["as_cp", "scaled"])
+    x.add_argument("--buckets", type=int, default=None)
+    w = sub.add_parser("worklist")
     for arg in ("--rollouts", "--prompts", "--evals", "--output"):
+        w.add_argument(arg, required=True)
+    c = sub.add_parser("completions")
+    for arg in ("--rollouts", "--output"):
+        c.add_argument(arg, required=True)
+    r = sub.add_parser("score")
+    for arg in ("--rollouts", "--prompts", "--output"):
         r.add_argument(arg, required=True)
+    given = r.add_mutually_exclusive_group(required=True)
+    given.add_argument("--evals")
+    given.add_argument("--index", help="written by the index job, which also fixes --mate")
+    r.add_argument("--strip-think", action="store_true")
     r.add_argument("--scaling", default="tanh", choices=["tanh", "linear"])
     r.add_argument("--mate", default="as_cp", choices=["as_cp", "scaled"])
     t = sub.add_parser("report")
@@ -104,7 +163,8 @@ def main(argv=None):
     t.add_argument("--output", required=True)
     a = p.parse_args(argv)
     spark = build_session()
-    {"split": split, "prep-sft": prep_sft, "prep-rl": prep_rl, "score": score, "report": report}[a.job](spark, a)
+    {"split": split, "prep-sft": prep_sft, "prep-rl": prep_rl, "tokens": tokens, "index": index, "worklist": worklist,
+     "score": score, "report": report, "completions": completions}[a.job](spark, a)
 
 
 if __name__ == "__main__":

@@ -146,8 +146,8 @@ def positions_to_evaluate(prompts: DataFrame, rollouts: DataFrame, evals: DataFr
     positions and are left out. Rollouts are scanned and parsed once and meet
     their prompt once; the needs are reduced to distinct keys before the anti
     join, so a hot position costs one row, not one per rollout."""
-    from rollout_tables.operators.rewards import join_prompts, parsed_rollouts
-    x = join_prompts(parsed_rollouts(rollouts), resolve_positions(prompts, evals))
+    from rollout_tables.operators.rewards import label_rollouts
+    x = label_rollouts(rollouts, resolve_positions(prompts, evals), ["FIND_NEXT_BEST_MOVE", "SORT_FENS"])
 
     def need(kind, key):
         return F.struct(F.lit(kind).alias("kind"), key.alias("key"))

@@ -1,17 +1,17 @@
 """REWARD job: parsed rollouts + resolved positions -> one reward per
 rollout (G1-G10, with H1/H2 scaling).
 
-One pass over the rollouts: every completion is parsed where it is scanned
-and only its labels travel on; the rows meet their resolved prompt once, and
-one projection dispatches on the category. The position after a predicted
-move is looked up in the successor arrays that the prompt brings along, so
-only SORT_FENS needs another lookup: its FEN lists are exploded and walked
-with a window.
+One pass over the rollouts: where a completion is scanned, the object in it is
+found and only that travels on with a few short labels; the rows meet their
+resolved prompt once, and behind it the one label that the category's rule
+reads is taken from the object. The position after a predicted move is looked
+up in the successor arrays that the prompt brings along, so only SORT_FENS
+needs another lookup, and only its rows pass it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollout_tables.fixed_values import (
@@ -24,7 +24,8 @@ from rollout_tables.functions import scores
 from rollout_tables.operators.evals import (
     after_move, fen_values, position_children, resolve_positions, scored_evals, top_n, with_children,
 )
-from rollout_tables.operators.parse import parse_completions
+from rollout_tables.operators.parse import label_by_category, parse_completions, scan_completions
+from rollout_tables.session import materialise
 
 NEXT, ADV, FINAL, MLM, LAST, SORT = ("FIND_NEXT_BEST_MOVE", "FIND_ADVANTAGED_PLAYER", "FIND_FINAL_SCORE",
                                     "MLM_ON_MOVES", "FIND_LAST_MOVE", "SORT_FENS")
@@ -104,11 +105,9 @@ def rule_last_move() -> Column:
 
 
 def rule_sort_fens() -> Column:
-    """G6, given ``n_fens`` (list size, null when unparsed) and
-    ``valid_count`` from ``sort_fen_counts``."""
-    n = F.col("n_fens")
-    return (F.when((F.col("json_state") != "object") | n.isNull() | (n < 2), F.lit(PARSE_FAILURE))
-            .otherwise(F.lit(LIST_BASE) + F.lit(LIST_SPAN) * F.coalesce(F.col("valid_count"), F.lit(0)) / n))
+    """G6 for a usable list, given its length ``n_fens`` and ``valid_count``
+    from ``sort_fen_counts``; any other answer scores as a parse failure."""
+    return F.lit(LIST_BASE) + F.lit(LIST_SPAN) * F.col("valid_count") / F.col("n_fens")
 
 
 def reasoning_penalty(tokens: Column) -> Column:
@@ -119,38 +118,59 @@ def reasoning_penalty(tokens: Column) -> Column:
         .otherwise(F.lit(0.0))
 
 
-def sort_fen_counts(rows: DataFrame, fens: DataFrame, id_col: str, carry: list[str]) -> DataFrame:
-    """G6 + F7: per row, how many of its ``pred_fens`` evaluate at least as
-    high as the previous FEN that could be evaluated (the first always counts;
-    unknown FENs are skipped but stay in the denominator).
-
-    Rows without a list are kept (``valid_count`` 0), and repeated rows stay
-    repeated. ``carry`` columns ride along, so the caller needs no join back;
-    the FEN key of rows without a list is made unique so that they do not
-    gather in one shuffle partition."""
-    row = [id_col, "_list"]
-    ex = rows.withColumn("_list", F.xxhash64("pred_fens")).select(*row, *carry, F.posexplode_outer("pred_fens").alias("pos", "fen"))
-    key = F.coalesce(F.col("fen"), F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
-    ex = ex.withColumn("fen_key", key).join(fens, "fen_key", "left")
-    # a range frame leaves out the same place of a repeated row
-    w = Window.partitionBy(*row).orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
-    prev = F.last("fen_cp", ignorenulls=True).over(w)
-    valid = F.col("fen_cp").isNotNull() & (prev.isNull() | (F.col("fen_cp") >= prev))
-    out = ex.withColumn("_v", valid.cast("int")).groupBy(*row, *carry).agg(
-        F.sum("_v").alias("_valid"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("_copies"))
-    out = out.withColumn("valid_count", (F.col("_valid") / F.col("_copies")).cast("long"))
-    return out.select(id_col, *carry, "valid_count", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
-
-
-def parsed_rollouts(rollouts: DataFrame) -> DataFrame:
-    """The narrow step at the scan: labels instead of the completion. Of a
-    score label only the known ones matter to the rules; any other text
-    (possibly the whole completion) becomes ``''``."""
+def non_falling(values: Column) -> Column:
+    """How many of a list's evaluations are at least as high as the one
+    before that could be evaluated (the first always counts, nulls are skipped)."""
+    state = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).cast("long").alias("count"))
+
+    def step(s, v):
+        good = (v.isNotNull() & (s["last"].isNull() | (v >= s["last"]))).cast("long")
+        return F.struct(F.coalesce(v, s["last"]).alias("last"), (s["count"] + good).alias("count"))
+
+    return F.aggregate(values, state, step, lambda s: s["count"])
+
+
+def sort_fen_counts(rows: DataFrame, fens: DataFrame, row_col: str) -> DataFrame:
+    """G6 + F7: every row with ``valid_count`` in place of its ``pred_fens``.
+    ``row_col`` is a unique number of the row in a written table. The FENs meet
+    their evaluations by a join, come back as one list a row (as long as the
+    predicted list) and are walked by a fold; the other columns ride along
+    with the first FEN."""
+    keep = [c for c in rows.columns if c not in ("pred_fens", row_col)]
+    carried = F.struct(*keep)
+    ex = rows.select(row_col, carried.alias("_carried"), F.posexplode("pred_fens").alias("pos", "fen_key"))
+    ex = ex.withColumn("_carried", F.when(F.col("pos") == 0, F.col("_carried"))).join(fens, "fen_key", "left")
+    out = ex.groupBy(row_col).agg(F.any_value("_carried", True).alias("_carried"),
+                                  F.sort_array(F.collect_list(F.struct("pos", "fen_cp"))).alias("_walk"))
+    return out.select("_carried.*", non_falling(F.col("_walk.fen_cp")).alias("valid_count"))
+
+
+def parsed_rollouts(rollouts: DataFrame, strip_think: bool = False) -> DataFrame:
+    """All labels of every rollout instead of the completion (for rules of
+    user categories, which may read any). Of a score label only the known ones
+    matter to the rules; any other text (possibly the whole completion)
+    becomes ``''``."""
     score = F.col("pred_score")
-    parsed = parse_completions(rollouts.select("rollout_id", "prompt_id", "step", "completion")).drop("completion")
+    parsed = parse_completions(_narrow(rollouts), strip_think=strip_think).drop("completion")
     return parsed.withColumn("pred_score", F.when(score.isin(*SCORE_LABELS), score).otherwise(F.lit("")))
 
 
+def _narrow(rollouts: DataFrame) -> DataFrame:
+    return rollouts.select("rollout_id", "prompt_id", "step", "completion")
+
+
+def label_rollouts(rollouts: DataFrame, resolved_prompts: DataFrame, categories: list[str] | None = None,
+                   strip_think: bool = False) -> DataFrame:
+    """E1-E9 + G8: every rollout with its prompt's columns and the labels of
+    its own category. Completions are read once; only the text of the found
+    object and a few short labels pass the join, and one label is read behind
+    it."""
+    x = join_prompts(scan_completions(_narrow(rollouts), strip_think=strip_think), resolved_prompts)
+    if categories is not None:
+        x = x.filter(F.col("category").isin(*categories))
+    return label_by_category(x, categories)
+
+
 def join_prompts(parsed: DataFrame, resolved_prompts: DataFrame) -> DataFrame:
     """Every rollout meets its prompt's category and resolved position
     (the original code aligns them by list position). A rollout whose prompt
@@ -166,7 +186,7 @@ def join_prompts(parsed: DataFrame, resolved_prompts: DataFrame) -> DataFrame:
 def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, scaling: str = "tanh",
                    draw_partial_credit: bool = False, extra_rules: dict[str, Column] | None = None,
                    categories: list[str] | None = None, mate: str = "as_cp", children: DataFrame | None = None,
-                   fens: DataFrame | None = None) -> DataFrame:
+                   fens: DataFrame | None = None, strip_think: bool = False) -> DataFrame:
     """G7 + G8 + G9: one row per rollout with the category reward
     (``reward_raw``), the reasoning penalty and the final ``reward``.
 
@@ -174,15 +194,17 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     ``prompts`` is the output of ``rl_prompts`` (``record_id`` = prompt id);
     ``extra_rules`` maps further categories to reward columns (K3);
     ``categories`` restricts the job to those categories; ``mate="scaled"``
-    puts mate scores on the centipawn scale (F8). ``children`` and ``fens``
+    puts mate scores on the centipawn scale (F8); ``strip_think`` reads the
+    answer outside the reasoning block only (Q9). ``children`` and ``fens``
     are the written tables of ``position_children`` and ``fen_values`` of the
     evaluations as scored (after ``scored_evals`` if mates are scaled); they
     are derived here when not given.
 
-    Plan: one scan of the rollouts, parsed where it is read; one join to the
-    resolved prompts with the labels only; one projection. Only where
-    SORT_FENS is wanted do the rows, by then without labels, also go through
-    the FEN lookup and its window.
+    Plan: one scan of the rollouts; one join to the resolved prompts; one
+    projection. Where SORT_FENS is wanted, the narrow rows are then written
+    once (under ``spark.checkpoint.dir``, while this frame is built), and only
+    those with a usable FEN list pass the FEN lookup; all others are read
+    back as they are.
     """
     evals = scored_evals(evals, mate)
     cat = F.col("category")
@@ -196,11 +218,13 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     if wanted(NEXT):
         pr = with_children(pr, position_children(evals) if children is None else children,
                            F.coalesce(cat == NEXT, F.lit(False)), "prompt_id")
-    x = join_prompts(parsed_rollouts(rollouts), pr)
-    if categories is not None:
-        x = x.filter(cat.isin(*categories))
+    if extra_rules:
+        x = join_prompts(parsed_rollouts(rollouts, strip_think), pr)
+        x = x if categories is None else x.filter(cat.isin(*categories))
+    else:
+        x = label_rollouts(rollouts, pr, categories, strip_think)
     rules = {ADV: rule_advantaged_player(draw_partial_credit), FINAL: rule_final_score(),
-             MLM: rule_missing_moves(), LAST: rule_last_move()}
+             MLM: rule_missing_moves(), LAST: rule_last_move(), SORT: F.lit(PARSE_FAILURE)}
     if wanted(NEXT):
         rules[NEXT] = rule_next_best_move(scaling)
     rules = {name: rule for name, rule in rules.items() if wanted(name)}
@@ -213,11 +237,12 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     x = x.withColumn("reward_raw", reward)
     if wanted(SORT):
         usable = (cat == SORT) & (F.col("json_state") == "object") & (F.size("pred_fens") >= 2)
-        x = x.withColumn("pred_fens", F.when(usable, F.col("pred_fens")))
-        x = x.withColumn("n_fens", F.when(F.col("pred_fens").isNotNull(), F.size("pred_fens")))
-        x = sort_fen_counts(x, fen_values(evals) if fens is None else fens, "rollout_id",
-                            [*(c for c in keep if c != "rollout_id"), "n_fens"])
-        x = x.withColumn("reward_raw", F.when(cat == SORT, rule_sort_fens()).otherwise(F.col("reward_raw")))
+        x = materialise(x.select(*keep, F.when(usable, F.col("pred_fens")).alias("pred_fens"),
+                                 F.monotonically_increasing_id().alias("_row")), "labelled")
+        lists = x.filter(F.col("pred_fens").isNotNull()).withColumn("n_fens", F.size("pred_fens"))
+        walked = sort_fen_counts(lists, fen_values(evals) if fens is None else fens, "_row")
+        x = x.filter(F.col("pred_fens").isNull()).select(*keep).unionByName(
+            walked.withColumn("reward_raw", rule_sort_fens()).select(*keep))
     out = x.select(*keep).withColumn("penalty", reasoning_penalty(F.col("think_tokens")))
     return out.withColumn("reward", F.col("reward_raw") - F.col("penalty"))
 

@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from rollout_tables.operators.evals import fen_values, position_children
+from rollout_tables.operators.index import EvaluationIndex, open_index, write_index
 from rollout_tables.operators.messages import rl_prompts
 from rollout_tables.session import checkpoint_dir
 from rollout_tables.sources import fixtures as fx
@@ -28,42 +30,53 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
     return os.path.join(checkpoint_dir(spark), "derived", spark.sparkContext.applicationId, tag)
 
 
-def _materialise(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def _materialise(spark: SparkSession, sf_dir: str, name: str, build, by: str) -> DataFrame:
+    """Written spread over ``by``: the driver tables are single files of one
+    row group, which one task reads."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
     path = _WRITTEN.get(key)
     if path is None:
         path = os.path.join(_folder(spark, sf_dir), name)
-        build().write.mode("overwrite").parquet(path)
+        build().repartition(2 * spark.sparkContext.defaultParallelism, by).write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "records", lambda: fx.records(spark, sf_dir))
+    return _materialise(spark, sf_dir, "records", lambda: fx.records(spark, sf_dir), "record_id")
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "prompts", lambda: rl_prompts(records(spark, sf_dir)))
+    return _materialise(spark, sf_dir, "prompts", lambda: rl_prompts(records(spark, sf_dir)), "record_id")
 
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "evals", lambda: fx.evals(spark, sf_dir, prompts(spark, sf_dir)))
+    return _materialise(spark, sf_dir, "evals", lambda: fx.evals(spark, sf_dir, prompts(spark, sf_dir)), "position_key")
 
 
 def children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "children", lambda: position_children(evals(spark, sf_dir)))
+    return _materialise(spark, sf_dir, "children", lambda: position_children(evals(spark, sf_dir)), "parent_key")
 
 
 def fens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "fens", lambda: fen_values(evals(spark, sf_dir)))
+    return _materialise(spark, sf_dir, "fens", lambda: fen_values(evals(spark, sf_dir)), "fen_key")
+
+
+def index(spark: SparkSession, sf_dir: str) -> EvaluationIndex:
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), "index")
+    if key not in _WRITTEN:
+        path = os.path.join(_folder(spark, sf_dir), f"index-{uuid.uuid4().hex}")
+        write_index(evals(spark, sf_dir), path)
+        _WRITTEN[key] = path
+    return open_index(spark, _WRITTEN[key])
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "rollouts", lambda: fx.rollouts(spark, sf_dir))
+    return _materialise(spark, sf_dir, "rollouts", lambda: fx.rollouts(spark, sf_dir), "rollout_id")
 
 
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "token_rows", lambda: fx.token_rows(spark, sf_dir))
+    return _materialise(spark, sf_dir, "token_rows", lambda: fx.token_rows(spark, sf_dir), "conv_id")
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> None:

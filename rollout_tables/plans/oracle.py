@@ -11,7 +11,7 @@ from __future__ import annotations
 from rollout_tables.fixed_values import (
     CATEGORY_WEIGHTS, CHATML_CLOSE, CHATML_GENERATION, CHATML_OPEN, LLAMA3_EOT, LLAMA3_HEADER_CLOSE,
     LLAMA3_HEADER_OPEN, RESPOND, RESPOND_FORMAT, RESPONSE_FORMATS, SIDE_TO_MOVE, SIDE_TO_MOVE_KINDS,
-    SPLITS_3WAY, SPLITS_4WAY, START_FEN, SYSTEM_KIND, SYSTEM_PREFIX, SYSTEM_TASK,
+    SPLITS_3WAY, SPLITS_4WAY, START_FEN, SYSTEM_KIND, SYSTEM_PREFIX, SYSTEM_TASK, THINK_CLOSE, THINK_OPEN,
 )
 from rollout_tables.sources import fixtures as fx
 
@@ -156,9 +156,9 @@ rollouts AS (
       WHEN 3 THEN CASE WHEN kind = 'FIND_FINAL_SCORE' THEN ' ' || {lst(fx.SCORE_WORDS)}[h % 3 + 1] || ' '
                        ELSE 'I think ' || mv || ' is strong'
                             || {lst([" for white.", " for white, not black.", ", it is a draw."])}[h % 3 + 1] END
-      WHEN 4 THEN {lit('<|im_start|>assistant' + chr(10) + '<think>' + chr(10))}
+      WHEN 4 THEN {lit(THINK_OPEN)}
                   || CASE WHEN h % 2 = 0 THEN repeat('a', 1200) ELSE repeat('a', 4000) END
-                  || {lit(chr(10) + '</think>' + chr(10))} || obj
+                  || {lit(THINK_CLOSE + chr(10))} || obj
       WHEN 5 THEN '{{"answer": ' || obj || '}}'
       WHEN 6 THEN CASE WHEN h % 2 = 0 THEN '"1-0"' ELSE '[1]' END
       WHEN 7 THEN '{{"note": "' || mv || '"}}'
@@ -178,7 +178,7 @@ def _has(words) -> str:
     return " AND ".join(f"contains(lower(k), {lit(w)})" for w in words)
 
 
-THINK = lit(r"(?s)<\|im_start\|>assistant" + "\n" + "<think>" + "\n" + "(.*?)" + "\n" + "</think>")
+THINK = lit("(?s)" + THINK_OPEN.replace("|", "\\|") + "(.*?)" + THINK_CLOSE)
 
 
 def parsed(source: str) -> str:
@@ -466,6 +466,11 @@ SELECT count(*) AS n_rows, count(*) FILTER (WHERE n_ids > {fx.TOKEN_ROW_LENGTH})
 FROM masked""",
     "completion_parse": with_(ROLLOUTS, parsed("rollouts")) + """
 SELECT rollout_id, json_state, pred_move, pred_advantage, pred_score, (round(think_tokens, 6) + 0.0) AS think_tokens FROM parsed""",
+    "completion_parse_strip_think": with_(ROLLOUTS, f"""
+hidden AS (SELECT * REPLACE (replace(completion, {lit(THINK_CLOSE)}, {lit('{"move": "a1a1", "score": "1-0"}' + THINK_CLOSE)}) AS completion) FROM rollouts),
+outside AS (SELECT rollout_id, length(regexp_extract(completion, {THINK}, 1)) / 4.0 AS thought,
+                   regexp_replace(completion, {THINK}, '') AS completion FROM hidden)""", parsed("outside")) + """
+SELECT rollout_id, json_state, pred_move, pred_advantage, pred_score, (round(thought, 6) + 0.0) AS think_tokens FROM parsed""",
     "completion_lists": with_(ROLLOUTS, parsed("rollouts")) + """
 SELECT rollout_id, json_state, array_to_string(pred_missing, '|') AS pred_missing, len(pred_missing)::BIGINT AS n_missing,
        array_to_string(pred_fens, '|') AS pred_fens, len(pred_fens)::BIGINT AS n_fens FROM parsed""",
@@ -555,3 +560,7 @@ FROM scored GROUP BY ROLLUP (category)""",
 , f AS (SELECT step, min(rollout_id) AS rollout_id, arg_min(completion, rollout_id) AS completion FROM rollouts GROUP BY step)
 SELECT step, rollout_id, substr(completion, 1, 200) AS sample FROM f WHERE length(completion) > 100""",
 }
+# the same rows by another way
+ORACLE["completion_parse_messages"] = ORACLE["completion_parse"]
+ORACLE["position_lookup_indexed"] = ORACLE["position_lookup"]
+ORACLE["reward_all_indexed"] = ORACLE["reward_all"]

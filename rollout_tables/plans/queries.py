@@ -7,13 +7,11 @@ with the SQL oracle in ``plans.oracle``.
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from rollout_tables.fixed_values import THINK_CLOSE
 from rollout_tables.functions.chat import flatten_messages, render_chatml, render_llama3
 from rollout_tables.operators import evals as EV
 from rollout_tables.operators import messages as M
@@ -93,7 +91,7 @@ def sft_messages(spark, sf):
 
 
 def rl_prompts(spark, sf):
-    p = I.prompts(spark, sf)
+    p = M.rl_prompts(I.records(spark, sf))
     return p.select("record_id", "category", _join(F.col("moves"), " ").alias("moves"),
                     _join(F.col("fens"), "|").alias("fens"),
                     F.size("prompt").cast("long").alias("n_messages"),
@@ -144,6 +142,26 @@ def completion_parse(spark, sf):
     return flat(p.select("rollout_id", "json_state", "pred_move", "pred_advantage", "pred_score", "think_tokens"))
 
 
+def completion_parse_messages(spark, sf):
+    """Completions given as chat messages, here cut in two."""
+    c = F.col("completion")
+    half = F.floor(F.length(c) / 2).cast("int")
+
+    def message(content):
+        return F.struct(F.lit("assistant").alias("role"), content.alias("content"))
+
+    cut = F.array(message(F.substring(c, F.lit(1), half)), message(F.substring(c, half + 1, F.length(c))), message(F.lit(None).cast("string")))
+    p = parse_completions(I.rollouts(spark, sf).withColumn("completion", cut))
+    return flat(p.select("rollout_id", "json_state", "pred_move", "pred_advantage", "pred_score", "think_tokens"))
+
+
+def completion_parse_strip_think(spark, sf):
+    """Q9: an object in the reasoning block does not hide the answer."""
+    hidden = F.replace(F.col("completion"), F.lit(THINK_CLOSE), F.lit('{"move": "a1a1", "score": "1-0"}' + THINK_CLOSE))
+    p = parse_completions(I.rollouts(spark, sf).withColumn("completion", hidden), strip_think=True)
+    return flat(p.select("rollout_id", "json_state", "pred_move", "pred_advantage", "pred_score", "think_tokens"))
+
+
 def completion_lists(spark, sf):
     p = parse_completions(I.rollouts(spark, sf))
     return p.select("rollout_id", "json_state", _join(F.col("pred_missing"), "|").alias("pred_missing"),
@@ -158,43 +176,31 @@ def positions_to_evaluate(spark, sf):
     return EV.positions_to_evaluate(I.prompts(spark, sf), I.rollouts(spark, sf), I.evals(spark, sf))
 
 
-def position_lookup(spark, sf):
-    r = EV.mate_scaled(EV.resolve_positions(I.prompts(spark, sf), I.evals(spark, sf)))
+def position_lookup_indexed(spark, sf):
+    return position_lookup(spark, sf, I.index(spark, sf).evals)
+
+
+def position_lookup(spark, sf, evals=None):
+    r = EV.mate_scaled(EV.resolve_positions(I.prompts(spark, sf), I.evals(spark, sf) if evals is None else evals))
     return r.select("record_id", "position_key", "position_found", "resolved_key", "eval_type",
                     F.col("eval_value").cast("long").alias("eval_value"), F.col("cp_scaled").cast("long").alias("cp_scaled"),
                     "best_move", _join(EV.top_n(F.col("top_moves"), 3), " ").alias("top3"),
                     EV.white_to_move(F.col("fen"), F.size("moves")).alias("white_to_move"))
 
 
-def evaluate_missing(spark, sf):
-    """F10 with a stand-in evaluator (pure function of the key); rows-only."""
-    work = positions_to_evaluate(spark, sf)
-    return EV.evaluate_missing(work, digest_evaluator)
-
-
-def digest_evaluator(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A deterministic evaluator for tests: values from the md5 of the key."""
-    rows = []
-    for kind, key in zip(pdf["kind"], pdf["key"]):
-        h = hashlib.md5(key.encode()).hexdigest()
-        value = int(h[:4], 16) % 1601 - 800
-        top = [{"move": fx.OPENING[int(h[4 + i], 16) % 12], "score": value - 15 * i, "mate": None, "depth": 15}
-               for i in range(5)]
-        rows.append({"position_key": key if kind == "position" else None, "fen": key if kind == "fen" else None,
-                     "eval_type": "mate" if h[-1] == "0" else "cp", "eval_value": value,
-                     "best_move": top[0]["move"], "top_moves": top})
-    return pd.DataFrame(rows, columns=["position_key", "fen", "eval_type", "eval_value", "best_move", "top_moves"])
-
-
 # --- REWARD ----------------------------------------------------------------
 
 _SCORED: dict[tuple, DataFrame] = {}
 
 
+def forget() -> None:
+    """The next query labels and scores anew (the benchmark times it whole)."""
+    _SCORED.clear()
+
+
 def _scored(spark, sf, **kw):
-    """The REWARD job over the derived inputs. The DataFrame (an unexecuted
-    plan, not a result) is built once per session, input and options: its
-    construction costs seconds of analysis, and every run re-executes it."""
+    """The REWARD job over the derived inputs, built once per session, input
+    and options; its labelled rows are written once."""
     key = (spark.sparkContext.applicationId, sf, tuple(sorted((k, repr(v)) for k, v in kw.items())))
     if key not in _SCORED:
         if "mate" not in kw:  # the written tables hold the evaluations as they are
@@ -226,6 +232,12 @@ def reward_all(spark, sf):
                                           "penalty", "reward"))
 
 
+def reward_all_indexed(spark, sf):
+    ix = I.index(spark, sf)
+    s = G.score_rollouts(I.rollouts(spark, sf), I.prompts(spark, sf), ix.evals, children=ix.children, fens=ix.fens)
+    return flat(s.select("rollout_id", "category", "json_state", "reward_raw", "think_tokens", "penalty", "reward"))
+
+
 def reward_all_mate_scaled(spark, sf):
     return flat(_scored(spark, sf, mate="scaled").select("rollout_id", "category", "reward_raw", "reward"))
 
@@ -238,9 +250,11 @@ def reward_weighted(spark, sf):
 # --- REPORT ----------------------------------------------------------------
 
 def group_advantage(spark, sf):
-    # the scored rows feed both the group statistics and the join back:
-    # write them once (shared checkpoint folder) instead of scoring twice
-    a = R.group_advantage(materialise(_scored(spark, sf), "scored"))
+    # as the report job does it: the scored rows feed both the statistics and
+    # the join back, and only a written table of statistics lets AQE split a
+    # hot group
+    scored = materialise(_scored(spark, sf), "scored")
+    a = R.group_advantage(scored, stats=materialise(R.group_stats(scored), "group-stats"))
     return flat(a.select("rollout_id", "prompt_id", "reward", "group_mean", "group_std",
                          F.col("group_size").cast("long").alias("group_size"), "advantage"))
 
@@ -299,9 +313,12 @@ QUERIES = {
     "token_rows_last_header": token_rows_last_header,
     "token_audit": token_audit_q,
     "completion_parse": completion_parse,
+    "completion_parse_messages": completion_parse_messages,
+    "completion_parse_strip_think": completion_parse_strip_think,
     "completion_lists": completion_lists,
     "positions_to_evaluate": positions_to_evaluate,
     "position_lookup": position_lookup,
+    "position_lookup_indexed": position_lookup_indexed,
     "reward_next_move": reward_next_move,
     "reward_advantage": reward_advantage,
     "reward_advantage_draw_credit": reward_advantage_draw_credit,
@@ -311,6 +328,7 @@ QUERIES = {
     "reward_sort_fens": reward_sort_fens,
     "reward_linear": reward_linear,
     "reward_all": reward_all,
+    "reward_all_indexed": reward_all_indexed,
     "reward_all_mate_scaled": reward_all_mate_scaled,
     "reward_weighted": reward_weighted,
     "group_advantage": group_advantage,

@@ -27,3 +27,17 @@ def test_split_prep_score_report(spark, tmp_dir):
     assert rewards.filter(~F.col("prompt_id").isin(list(rl_ids)) & (F.col("reward_raw") != 0)).count() == 0
     jobs.main(["report", "--rewards", f"{tmp_dir}/rewards", "--output", f"{tmp_dir}/reports"])
     assert spark.read.parquet(f"{tmp_dir}/reports/by_category").count() >= 2
+    rows = {r["rollout_id"]: r["reward"] for r in rewards.collect()}
+    jobs.main(["index", "--evals", f"{tmp_dir}/evals", "--output", f"{tmp_dir}/index", "--buckets", "3"])
+    jobs.main(["score", "--rollouts", f"{tmp_dir}/rollouts", "--prompts", f"{tmp_dir}/prompts",
+               "--index", f"{tmp_dir}/index", "--output", f"{tmp_dir}/indexed"])
+    assert {r["rollout_id"]: r["reward"] for r in spark.read.parquet(f"{tmp_dir}/indexed").collect()} == rows
+    jobs.main(["worklist", "--rollouts", f"{tmp_dir}/rollouts", "--prompts", f"{tmp_dir}/prompts",
+               "--evals", f"{tmp_dir}/evals", "--output", f"{tmp_dir}/work"])
+    assert set(spark.read.parquet(f"{tmp_dir}/work").columns) == {"kind", "key"}
+    jobs.main(["completions", "--rollouts", f"{tmp_dir}/rollouts", "--output", f"{tmp_dir}/reports"])
+    assert spark.read.parquet(f"{tmp_dir}/reports/lengths").first()["n"] == len(rows)
+    fx.token_rows(spark, SF001).write.parquet(f"{tmp_dir}/tokens")
+    jobs.main(["tokens", "--input", f"{tmp_dir}/tokens", "--output", f"{tmp_dir}/masked", "--max-len", "64", "--pad-id", "0"])
+    assert {r["n"] for r in spark.read.parquet(f"{tmp_dir}/masked").selectExpr("size(labels) AS n").collect()} == {64}
+    assert spark.read.parquet(f"{tmp_dir}/masked_audit").first()["n_rows"] == spark.read.parquet(f"{tmp_dir}/tokens").count()

@@ -1,7 +1,11 @@
 """Driver contract and plan shape."""
 
+import re
+
 from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SF001
+from rollout_tables.operators import evals as EV
+from rollout_tables.operators import rewards as G
 from rollout_tables.plans import inputs as I
 from rollout_tables.plans.queries import QUERIES
 
@@ -37,11 +41,13 @@ def test_scans_are_pruned(spark):
 
 
 def test_rewards_scan_rollouts_once_and_shuffle_no_completion(spark):
+    prompts, evals, rollouts = (f(spark, SF001) for f in (I.prompts, I.evals, I.rollouts))
+    labelled = G.label_rollouts(rollouts, EV.resolve_positions(prompts, evals)).drop("prompt")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for name in ("reward_all", "reward_by_category", "positions_to_evaluate"):
-            plan = _plan(QUERIES[name](spark, SF001))
+        for name, df in (("labels", labelled), ("positions_to_evaluate", QUERIES["positions_to_evaluate"](spark, SF001))):
+            plan = _plan(df)
             lines = plan.splitlines()
             scans = [i for i, x in enumerate(lines) if "FileScan" in x and "completion" in x]
             assert len(scans) == 1, name
@@ -51,6 +57,27 @@ def test_rewards_scan_rollouts_once_and_shuffle_no_completion(spark):
 
             exchange = max(i for i in range(scans[0]) if "Exchange" in lines[i] and depth(lines[i]) < depth(lines[scans[0]]))
             project = next(x for x in lines[exchange + 1:] if "Project [" in x)
-            assert "pred_" in project and "completion#" not in project and "_c#" not in project.replace("(_c#", ""), name
+            names = [re.sub(r".* AS ", "", x) for x in re.split(r", (?![^(]*\))", project.split("Project [", 1)[1].rstrip("]"))]
+            assert any(x.startswith("pred_") for x in names), name
+            assert not any(x.startswith(("completion#", "_c#")) for x in names), name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_only_usable_fen_lists_pass_the_fen_lookup(spark):
+    """The written labels are read twice: rows with a FEN list for the lookup
+    and the fold, all others as they are. No completion, no window."""
+    df = QUERIES["reward_all"](spark, SF001)
+    plan = _plan(df)
+    assert "completion" not in plan and "Window" not in plan and "Union" in plan
+    reads = re.findall(r"PushedFilters: \[([^\]]*)\]", plan)
+    assert any("IsNull(pred_fens)" in r for r in reads) and any("IsNotNull(pred_fens)" in r for r in reads)
+    assert "Exchange" not in plan.split("Union")[1].split("FileScan")[0]
+
+
+def test_category_key_is_searched_once(spark):
+    """Behind the prompt join a row reads one value, whatever its category."""
+    prompts, evals, rollouts = (f(spark, SF001) for f in (I.prompts, I.evals, I.rollouts))
+    labelled = G.label_rollouts(rollouts, EV.resolve_positions(prompts, evals))
+    plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS _v#") == 1 and plan.count("AS _s#") == 1
