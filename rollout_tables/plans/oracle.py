@@ -564,3 +564,4 @@ SELECT step, rollout_id, substr(completion, 1, 200) AS sample FROM f WHERE lengt
 ORACLE["completion_parse_messages"] = ORACLE["completion_parse"]
 ORACLE["position_lookup_indexed"] = ORACLE["position_lookup"]
 ORACLE["reward_all_indexed"] = ORACLE["reward_all"]
+ORACLE["token_rows_by_turn"] = ORACLE["token_rows_masked"]

@@ -18,6 +18,7 @@ from rollout_tables.operators import messages as M
 from rollout_tables.operators import reports as R
 from rollout_tables.operators import rewards as G
 from rollout_tables.operators import splits as S
+from rollout_tables.operators.conversations import masked_conversations
 from rollout_tables.operators.parse import parse_completions
 from rollout_tables.operators.tokens import mask_token_rows, token_audit
 from rollout_tables.plans import inputs as I
@@ -123,7 +124,10 @@ def token_rows_last_header(spark, sf):
 
 
 def token_rows_masked(spark, sf, rule="answer"):
-    m = _masked(spark, sf, rule)
+    return _token_columns(_masked(spark, sf, rule))
+
+
+def _token_columns(m):
     return m.select("conv_id", F.col("n_ids").cast("long").alias("n_ids"), F.col("n_real").cast("long").alias("n_real"),
                     F.col("answer_start").cast("long").alias("answer_start"),
                     _join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
@@ -131,6 +135,12 @@ def token_rows_masked(spark, sf, rule="answer"):
                     _join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
+def token_rows_by_turn(spark, sf):
+    """The masked rows from turns, of which only those that begin before the
+    row's length are gathered."""
+    return _token_columns(masked_conversations(fx.turn_tokens(spark, sf), "ids", TOKEN_LEN, fx.PAD_ID))
+
+
 def token_audit_q(spark, sf):
     return flat(token_audit(_masked(spark, sf), TOKEN_LEN))
 
@@ -311,6 +321,7 @@ QUERIES = {
     "conversation_text_llama3": conversation_text_llama3,
     "token_rows_masked": token_rows_masked,
     "token_rows_last_header": token_rows_last_header,
+    "token_rows_by_turn": token_rows_by_turn,
     "token_audit": token_audit_q,
     "completion_parse": completion_parse,
     "completion_parse_messages": completion_parse_messages,

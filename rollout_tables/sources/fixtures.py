@@ -219,6 +219,19 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.select("conv_id", ids.cast("array<int>").alias("input_ids"))
 
 
+def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token rows turn by turn: (conv_id, turn, ids), with the closing
+    empty header of even conversations as a turn after the last one."""
+    turns = table(spark, sf_dir, "conversations")
+    codes = F.create_map(*[x for r, code in ROLE_CODES.items() for x in (F.lit(r), F.lit(code))])
+    words = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), " ", -1), lambda w: F.length(w))
+    ids = F.concat(F.array(F.lit(248045), F.coalesce(F.try_element_at(codes, F.col("role")), F.lit(0)), F.lit(198)),
+                   words, F.array(F.lit(MESSAGE_END_ID)))
+    closing = turns.filter(F.col("conv_id") % 2 == 0).select("conv_id").distinct().select(
+        "conv_id", F.lit((1 << 62)).alias("turn"), F.array(F.lit(248045), F.lit(3), F.lit(198)).alias("ids"))
+    return turns.select("conv_id", "turn", ids.cast("array<int>").alias("ids")).unionByName(closing)
+
+
 def weights(spark: SparkSession) -> DataFrame:
     """The declared category weights (six rows)."""
     return spark.createDataFrame(CATEGORY_WEIGHTS, "category string, weight double")
