@@ -30,6 +30,7 @@ from rollout_tables.operators.index import open_index, write_index
 from rollout_tables.operators.rewards import score_rollouts
 from rollout_tables.session import build_session, materialise
 from rollout_tables.sources import datasets as DS
+from rollout_tables.sources.footers import footer_counts
 
 
 def _read(spark, path, fmt):
@@ -45,13 +46,13 @@ def split(spark, a):
         raise SystemExit("the input needs a record_id column to order the split by")
     assigned = S.assign_splits(df.drop("split") if "split" in df.columns else df, "record_id", ratios, a.seed, with_rank=False)
     DS.write_splits(assigned, a.output)
-    S.size_report(_read(spark, a.output, "parquet"), ratios).write.mode("overwrite").parquet(a.output + "_report")
+    S.size_report_of(footer_counts(spark, a.output, ["split"]), ratios).write.mode("overwrite").parquet(a.output + "_report")
 
 
 def prep_sft(spark, a):
     """PREP (SFT): messages and rendered text for the requested split."""
     df = _read(spark, a.input, a.format)
-    df = DS.sft_train_split(df, a.split) if a.split else df
+    df = DS.sft_train_split(df, a.split, known=DS.split_names(df)) if a.split else df
     M.sft_messages(df).write.mode("overwrite").parquet(a.output)
 
 
@@ -59,7 +60,7 @@ def prep_rl(spark, a):
     """PREP (RL): prompt, category, moves and fens for the requested split."""
     df = _read(spark, a.input, a.format)
     if a.split:
-        df, _ = DS.rl_train_split(df, a.split)
+        df, _ = DS.rl_train_split(df, a.split, known=DS.split_names(df))
     M.rl_prompts(df).write.mode("overwrite").parquet(a.output)
 
 

@@ -180,7 +180,12 @@ def split_4way(df: DataFrame, id_col: str, **kw) -> DataFrame:
 
 def size_report(assigned: DataFrame, ratios: list[tuple[str, float]] = SPLITS_3WAY) -> DataFrame:
     """Rows and percent of the total per split, in split order."""
+    return size_report_of(assigned.groupBy("split").agg(F.count(F.lit(1)).alias("n")), ratios)
+
+
+def size_report_of(per: DataFrame, ratios: list[tuple[str, float]] = SPLITS_3WAY) -> DataFrame:
+    """D6 from the rows of each split (``split``, ``n``), such as the file
+    footers give (``sources.footers``)."""
     order = F.create_map(*[x for i, (name, _) in enumerate(ratios) for x in (F.lit(name), F.lit(i))])
-    per = assigned.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     return (per.withColumn("pct", F.col("n") * F.lit(100.0) / F.sum("n").over(Window.partitionBy()))
             .withColumn("split_order", F.try_element_at(order, F.col("split")).cast("int")))

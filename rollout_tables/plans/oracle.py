@@ -420,6 +420,9 @@ ORACLE = {
     "split_size_report": with_(_split_sql("labels", SPLITS_3WAY)) + f"""
 SELECT split, {_split_order(SPLITS_3WAY)} AS split_order, count(*) AS n,
        (round(count(*) * 100.0 / sum(count(*)) OVER (), 6) + 0.0) AS pct FROM assigned GROUP BY split""",
+    "split_size_report_footers": with_(_split_sql("documents", SPLITS_4WAY)) + f"""
+SELECT split, {_split_order(SPLITS_4WAY)} AS split_order, count(*) AS n,
+       (round(count(*) * 100.0 / sum(count(*)) OVER (), 6) + 0.0) AS pct FROM assigned GROUP BY split""",
     "split_resolve": with_(_split_sql("documents", SPLITS_4WAY)) + """
 SELECT doc_id, split, CASE split WHEN 'sft_train' THEN 'train' ELSE 'eval' END AS use
 FROM assigned WHERE split IN ('sft_train', 'sft_val')""",
@@ -491,6 +494,11 @@ UNION ALL
 SELECT DISTINCT 'fen' AS kind, f AS key FROM (
   SELECT unnest(pred_fens) AS f FROM parsed WHERE category = 'SORT_FENS' AND len(pred_fens) >= 2) u
 WHERE f NOT IN (SELECT fen FROM evals)""",
+    "evaluation_ledger": with_(RECORDS, PROMPTS, EVALS) + """
+SELECT 'position' AS kind, position_key AS key, (eval_value + CASE WHEN eval_type = 'mate' THEN 1000 ELSE 0 END)::INT AS eval_value, true AS known FROM evals
+UNION ALL SELECT 'fen', fen, max(eval_value), true FROM evals WHERE length(position_key) < 12 GROUP BY fen
+UNION ALL SELECT DISTINCT 'fen', fen, NULL::INT, false FROM evals
+WHERE fen NOT IN (SELECT fen FROM evals WHERE length(position_key) < 12)""",
     "reward_next_move": _reward_of("FIND_NEXT_BEST_MOVE"),
     "reward_advantage": _reward_of("FIND_ADVANTAGED_PLAYER"),
     "reward_advantage_draw_credit": _reward_of("FIND_ADVANTAGED_PLAYER", draw_credit=True),
@@ -565,3 +573,10 @@ ORACLE["completion_parse_messages"] = ORACLE["completion_parse"]
 ORACLE["position_lookup_indexed"] = ORACLE["position_lookup"]
 ORACLE["reward_all_indexed"] = ORACLE["reward_all"]
 ORACLE["token_rows_by_turn"] = ORACLE["token_rows_masked"]
+for _name in ("reward_advantage", "reward_final_score", "reward_last_move"):
+    ORACLE[f"{_name}_sql"] = ORACLE[_name]
+# the error bound is a property of the sketches: within it every time
+ORACLE["length_sketch_quantiles"] = with_(RECORDS, PROMPTS, ROLLOUTS) + """
+SELECT category, n, CAST(p AS DOUBLE) AS p, true AS within_bound FROM (
+  SELECT coalesce(p.category, '') AS category, count(*) AS n FROM rollouts r LEFT JOIN prompts p ON p.record_id = r.prompt_id GROUP BY 1),
+  (SELECT unnest([0.1, 0.5, 0.9, 0.99]) AS p)"""

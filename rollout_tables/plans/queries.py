@@ -7,24 +7,31 @@ with the SQL oracle in ``plans.oracle``.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from rollout_tables.fixed_values import THINK_CLOSE
+from rollout_tables.fixed_values import SPLITS_4WAY, THINK_CLOSE
 from rollout_tables.functions.chat import flatten_messages, render_chatml, render_llama3
+from rollout_tables.functions.sql import register
 from rollout_tables.operators import evals as EV
+from rollout_tables.operators import ledger as L
 from rollout_tables.operators import messages as M
 from rollout_tables.operators import reports as R
 from rollout_tables.operators import rewards as G
+from rollout_tables.operators import sketches as SK
 from rollout_tables.operators import splits as S
 from rollout_tables.operators.conversations import masked_conversations
 from rollout_tables.operators.parse import parse_completions
 from rollout_tables.operators.tokens import mask_token_rows, token_audit
 from rollout_tables.plans import inputs as I
-from rollout_tables.session import materialise
+from rollout_tables.session import checkpoint_dir, materialise
 from rollout_tables.sources import datasets as DS
 from rollout_tables.sources import fixtures as fx
+from rollout_tables.sources.footers import footer_counts
 
 TOKEN_LEN = fx.TOKEN_ROW_LENGTH
 
@@ -64,6 +71,14 @@ def split_size_report(spark, sf):
     return flat(S.size_report(S.split_3way(labels, "doc_id")).select("split", "split_order", "n", "pct"))
 
 
+def split_size_report_footers(spark, sf):
+    """D6 over a table written by split: the counts come from its footers."""
+    path = os.path.join(checkpoint_dir(spark), "derived", spark.sparkContext.applicationId, f"splits-{uuid.uuid4().hex}")
+    docs = fx.table(spark, sf, "documents").select("doc_id")
+    DS.write_splits(S.split_4way(docs, "doc_id", with_rank=False), path)
+    return flat(S.size_report_of(footer_counts(spark, path, ["split"]), SPLITS_4WAY).select("split", "split_order", "n", "pct"))
+
+
 def split_resolve(spark, sf):
     docs = S.split_4way(fx.table(spark, sf, "documents").select("doc_id"), "doc_id")
     train = DS.sft_train_split(docs, "sft_train").withColumn("use", F.lit("train"))
@@ -198,6 +213,21 @@ def position_lookup(spark, sf, evals=None):
                     EV.white_to_move(F.col("fen"), F.size("moves")).alias("white_to_move"))
 
 
+def evaluation_ledger(spark, sf):
+    """Two batches merged one after the other: the second evaluates the mates
+    anew and adds FENs by themselves; then what of a work list is missing."""
+    path = os.path.join(checkpoint_dir(spark), "derived", spark.sparkContext.applicationId, f"ledger-{uuid.uuid4().hex}")
+    evals = I.evals(spark, sf)
+    L.merge(path, evals)
+    again = evals.filter("eval_type = 'mate'").withColumn("eval_value", F.col("eval_value") + 1000)
+    by_fen = evals.filter("length(position_key) < 12").withColumn("position_key", F.lit(None).cast("string"))
+    L.merge(path, again.unionByName(by_fen))
+    work = evals.select(F.lit("fen").alias("kind"), F.col("fen").alias("key")).unionByName(
+        evals.select(F.lit("position").alias("kind"), F.col("position_key").alias("key")))
+    lacking = L.missing(path, work).select("kind", "key", F.lit(None).cast("int").alias("eval_value"), F.lit(False).alias("known"))
+    return L.read(spark, path).select("kind", "key", "eval_value", F.lit(True).alias("known")).unionByName(lacking)
+
+
 # --- REWARD ----------------------------------------------------------------
 
 _SCORED: dict[tuple, DataFrame] = {}
@@ -237,6 +267,23 @@ reward_linear = _reward_of(G.NEXT, scaling="linear")
 reward_advantage_draw_credit = _reward_of(G.ADV, draw_partial_credit=True)
 
 
+def _sql_rule(category, rule):
+    """A rule in plain SQL over the registered functions."""
+    def q(spark, sf):
+        register(spark)
+        parse_completions(I.rollouts(spark, sf)).createOrReplaceTempView("parsed_rollouts")
+        EV.resolve_positions(I.prompts(spark, sf), I.evals(spark, sf)).createOrReplaceTempView("resolved_prompts")
+        return spark.sql(f"""
+            SELECT rollout_id, prompt_id, json_state, position_found, round({rule}, 6) AS reward_raw
+            FROM parsed_rollouts r JOIN resolved_prompts p ON r.prompt_id = p.record_id WHERE category = '{category}'""")
+    return q
+
+
+reward_advantage_sql = _sql_rule(G.ADV, "rule_advantaged_player(json_state, pred_advantage, eval_value, false)")
+reward_final_score_sql = _sql_rule(G.FINAL, "rule_final_score(json_state, pred_score, eval_value)")
+reward_last_move_sql = _sql_rule(G.LAST, "rule_last_move(json_state, pred_move, best_move, transform(slice(top_moves, 1, 5), m -> m.move))")
+
+
 def reward_all(spark, sf):
     return flat(_scored(spark, sf).select("rollout_id", "category", "json_state", "reward_raw", "think_tokens",
                                           "penalty", "reward"))
@@ -299,6 +346,21 @@ def completion_lengths(spark, sf):
     return flat(R.completion_lengths(I.rollouts(spark, sf)))
 
 
+def length_sketch_quantiles(spark, sf):
+    """Quantiles by category from the sketches of every step, and whether the
+    exact rank of each is within the sketch's bound."""
+    named = I.rollouts(spark, sf).join(I.prompts(spark, sf).select(F.col("record_id").alias("prompt_id"), "category"), "prompt_id", "left")
+    named = named.withColumn("category", F.coalesce("category", F.lit("")))
+    steps = materialise(SK.length_sketches(named, ["step", "category"]), "length-sketches")
+    found = SK.sketch_quantiles(SK.merged_sketches(steps, ["category"]), [0.1, 0.5, 0.9, 0.99])
+    chars = F.length(F.coalesce("completion", F.lit("")))
+    ranks = found.join(named.groupBy("category", chars.alias("length")).count(), "category").groupBy("category", "n", "p").agg(
+        (F.sum(F.when(F.col("length") < F.col("chars"), F.col("count")).otherwise(0)) / F.col("n")).alias("below"),
+        (F.sum(F.when(F.col("length") <= F.col("chars"), F.col("count")).otherwise(0)) / F.col("n")).alias("upto"))
+    error = SK.rank_error()
+    return ranks.select("category", "n", "p", ((F.col("below") - error <= F.col("p")) & (F.col("p") <= F.col("upto") + error)).alias("within_bound"))
+
+
 def reward_by_category(spark, sf):
     return flat(R.reward_by_category(_scored(spark, sf)))
 
@@ -312,6 +374,7 @@ QUERIES = {
     "split_4way_assign": split_4way_assign,
     "split_4way_unranked": split_4way_unranked,
     "split_size_report": split_size_report,
+    "split_size_report_footers": split_size_report_footers,
     "split_resolve": split_resolve,
     "split_resolve_rl": split_resolve_rl,
     "sft_messages": sft_messages,
@@ -330,7 +393,11 @@ QUERIES = {
     "positions_to_evaluate": positions_to_evaluate,
     "position_lookup": position_lookup,
     "position_lookup_indexed": position_lookup_indexed,
+    "evaluation_ledger": evaluation_ledger,
     "reward_next_move": reward_next_move,
+    "reward_advantage_sql": reward_advantage_sql,
+    "reward_final_score_sql": reward_final_score_sql,
+    "reward_last_move_sql": reward_last_move_sql,
     "reward_advantage": reward_advantage,
     "reward_advantage_draw_credit": reward_advantage_draw_credit,
     "reward_final_score": reward_final_score,
@@ -349,6 +416,7 @@ QUERIES = {
     "reward_trend_complete": reward_trend_complete,
     "reward_slope": reward_slope,
     "completion_lengths": completion_lengths,
+    "length_sketch_quantiles": length_sketch_quantiles,
     "reward_by_category": reward_by_category,
     "completion_sample": completion_sample,
 }

@@ -7,7 +7,8 @@ the same ``score_rollouts`` job, and written under ``batch_id=<n>``. Writing
 each batch to its own folder with overwrite makes a replayed batch (after a
 failure, from the checkpoint) replace its own output, so the sink is
 idempotent. No state is kept across batches: every reward depends only on
-its own rollout, as in the batch job.
+its own rollout, as in the batch job. The lookup tables are derived and
+written once, when the query starts.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from rollout_tables.operators.evals import fen_values, position_children, scored_evals
 from rollout_tables.operators.rewards import score_rollouts
-from rollout_tables.session import checkpoint_dir
+from rollout_tables.session import checkpoint_dir, materialise
 
 ROLLOUT_SCHEMA = "rollout_id string, prompt_id bigint, step bigint, completion string"
 
@@ -35,8 +37,11 @@ def stream_rewards(spark: SparkSession, rollout_dir: str, prompts: DataFrame, ev
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     source = reader.parquet(rollout_dir)
 
+    as_scored = scored_evals(evals, score_options.get("mate", "as_cp"))
+    lookups = {"children": materialise(position_children(as_scored), "children"), "fens": materialise(fen_values(as_scored), "fens")}
+
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = score_rollouts(batch, prompts, evals, **score_options)
+        scored = score_rollouts(batch, prompts, evals, **{**lookups, **score_options})
         # the folder name carries batch_id as a partition column when read back
         scored.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
 
