@@ -1,12 +1,18 @@
 """Approximate nearest neighbours by a permutation index.
 
-Vectors are represented by the order in which they see the pivots, ``PIVOTS``
-vectors of a bounded sample (``SAMPLE``) no two of which are nearly the same. The index is cut into shards of bounded size by a hash; a shard keeps
-one inverted file per pivot, the rank that each of its vectors gives the pivot.
-A query reads the files of its pivots in its own order and sums the differences
-of ranks (footrule); the nearest ``SHARE`` of a shard is reranked by the exact
-inner product, and shards' best are merged. Queries are broadcast in blocks of
-bounded size, so the query set may grow with the table.
+A vector is represented by the order of its nearest pivots, ``POSTED`` of
+``PIVOTS`` vectors of a bounded sample (``SAMPLE``), no two of which are nearly
+the same; this prefix of its permutation is computed once and written. The
+index is cut into shards of bounded size by a hash of the id. A shard keeps one
+inverted file per pivot, with the vectors that have it in their prefix and the
+place it has there. A query reads the files of its own ``ASKED`` nearest pivots
+only. Candidates are what these hold, ranked by the footrule distance of the
+prefixes (a pivot missing from one counts as just behind its end; up to terms
+that are the same for all, each shared pivot adds the places behind the later
+of its two). The nearest ``SHARE`` of a shard, ``RERANKED`` times k at least,
+is reranked by the exact inner product, and shards' best are merged. Queries
+are broadcast in blocks of bounded size, so the query set may grow with the
+table. Nothing depends on the number of cores.
 
 For inner products of vectors of different length, all are lifted onto one
 sphere by an extra component (nought for queries), which keeps the order.
@@ -31,11 +37,13 @@ from rollout_tables.llm.common import scratch, table
 
 K = 20
 QUERY_STEP = 20
-PIVOTS = 256
+PIVOTS = 1024
 SAMPLE = 4096
 APART = 0.8  # largest cosine between pivots, while others are left
-SHARE = 0.06
-LEAST = 64
+POSTED = 96
+ASKED = 48
+SHARE = 0.05
+RERANKED = 16
 SHARD_ROWS = 25_000
 BLOCK_QUERIES = 16_384
 SALTS = 64
@@ -54,12 +62,13 @@ def _matrix(column, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), size)
 
 
-def _ranks(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """ranks[i, p]: place of pivot p in the order of nearness to row i."""
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
-    ranks = np.empty(order.shape, np.int16)
-    np.put_along_axis(ranks, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.int16), order.shape), axis=1)
-    return ranks
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest pivots of each row, nearest first (ties: the first pivot)."""
+    near = -(x @ pivots.T)
+    n = min(n, len(pivots))
+    some = np.sort(np.argpartition(near, n - 1, axis=1)[:, :n], axis=1) if n < len(pivots) else np.broadcast_to(np.arange(n), near.shape)
+    order = np.argsort(np.take_along_axis(near, some, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(some, order, axis=1)
 
 
 def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -76,17 +85,29 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return sample[np.r_[np.array(chosen, np.int64), rest]]
 
 
-def search_shard(ids, x, lifted, pivots, query_ids, queries, k):
+def inverted_files(prefixes: np.ndarray, n_pivots: int):
+    """(begin, rows, places): the rows with pivot p in their prefix, and its
+    place there, stand at begin[p]:begin[p + 1]."""
+    flat = prefixes.ravel()
+    order = np.argsort(flat, kind="stable")
+    return np.searchsorted(flat[order], np.arange(n_pivots + 1)), order // prefixes.shape[1], order % prefixes.shape[1]
+
+
+def search_shard(ids, x, prefixes, n_pivots, query_ids, queries, asked, k):
     """(query, id, score) of each query's k best among the candidates of a shard."""
-    files = np.ascontiguousarray(_ranks(lifted, pivots).T)  # one inverted file a pivot
-    query_ranks = _ranks(np.c_[queries, np.zeros(len(queries))], pivots)
-    take = min(len(ids), max(LEAST, int(np.ceil(SHARE * len(ids)))))
+    begin, rows, places = inverted_files(prefixes, n_pivots)
+    behind = max(prefixes.shape[1], asked.shape[1])
+    take = min(len(ids), max(RERANKED * k, int(np.ceil(SHARE * len(ids)))))
     found = []
     for q in range(len(queries)):
-        distance = np.zeros(len(ids), np.int32)
-        for pivot in range(len(pivots)):
-            distance += np.abs(files[pivot] - query_ranks[q, pivot])
-        near = np.argpartition(distance, take - 1)[:take] if take < len(ids) else np.arange(len(ids))
+        read = [slice(begin[p], begin[p + 1]) for p in asked[q]]
+        at = np.concatenate([rows[s] for s in read])
+        later = np.concatenate([np.maximum(places[s], place) for place, s in enumerate(read)])
+        shared = np.bincount(at, weights=behind - later, minlength=len(ids))
+        near = np.argpartition(-shared, take - 1)[:take] if take < len(ids) else np.arange(len(ids))
+        met = near[shared[near] > 0]
+        # files that hold too few: any other vectors make up for them
+        near = met if len(met) >= min(k, len(ids)) else near
         score = (x[near] * queries[q]).sum(axis=1)
         best = np.lexsort((ids[near], -score))[:k]
         found.append((np.full(len(best), query_ids[q]), ids[near][best], score[best]))
@@ -113,25 +134,36 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> Dat
     asked = members.filter(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q"))
     questions = scratch(distinct.join(asked.select(F.col("q").alias("rep")).distinct(), "rep"), "ann-queries")
     blocks = max(1, -(-questions.count() // BLOCK_QUERIES))
-    shards = max(spark.sparkContext.defaultParallelism, -(-facts.n // SHARD_ROWS))
-    index = distinct.repartition(shards, "rep")
+    n_pivots = len(pivots)
+    shared_pivots = spark.sparkContext.broadcast(pivots)
+
+    def permute(batches):
+        for batch in batches:
+            x = _matrix(batch.column("v"), size)
+            prefixes = nearest_pivots(lift(x), shared_pivots.value, POSTED).astype(np.int16) if len(x) else np.zeros((0, 1), np.int16)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("v"), pa.array(list(prefixes), pa.list_(pa.int16()))], ["rep", "v", "prefix"])
+
+    posted = scratch(distinct.select("rep", "v").mapInArrow(permute, "rep long, v array<double>, prefix array<short>"), "ann-index")
+    shards = max(1, -(-facts.n // SHARD_ROWS))
+    index = posted.repartition(shards, "rep")
 
     def search(block):
         held = questions.filter(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == block).toArrow()
         query_ids = held.column("rep").to_numpy()
         queries = _matrix(held.column("v"), size)
-        shared = spark.sparkContext.broadcast((query_ids, queries, pivots))
+        asked = nearest_pivots(np.c_[queries, np.zeros(len(queries))], pivots, ASKED) if len(queries) else np.zeros((0, 1), np.int64)
+        shared = spark.sparkContext.broadcast((query_ids, queries, asked))
 
         def run(batches):
-            query_ids, queries, pivots = shared.value
-            held = [(b.column("rep").to_numpy(zero_copy_only=False), _matrix(b.column("v"), size)) for b in batches if b.num_rows]
+            query_ids, queries, asked = shared.value
+            held = [(b.column("rep").to_numpy(zero_copy_only=False), _matrix(b.column("v"), size), _matrix(b.column("prefix"), min(POSTED, n_pivots))) for b in batches if b.num_rows]
             if not held or not len(query_ids):
                 return
-            ids, x = np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held])
-            columns = search_shard(ids, x, lift(x), pivots, query_ids, queries, k + 1)
+            ids, x, prefixes = (np.concatenate(part) for part in zip(*held))
+            columns = search_shard(ids, x, prefixes, n_pivots, query_ids, queries, asked, k + 1)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "rep", "score"])
 
-        return index.select("rep", "v").mapInArrow(run, "q long, rep long, score double")
+        return index.mapInArrow(run, "q long, rep long, score double")
 
     best = search(0)
     for block in range(1, blocks):

@@ -637,3 +637,49 @@ def test_words_of_one_hash_are_told_apart_by_their_bytes(spark, monkeypatch):
     data, offsets = common.utf8(pa.array(texts))
     s, _, _, _, _, first = decontaminate.occurrences(data, offsets, block)
     assert sorted(np.searchsorted(first[1:], s, side="right").tolist()) == [0, 1, 3, 3]
+
+
+# --- 6: inverted files of truncated permutations -----------------------------
+
+def test_files_hold_each_vector_under_its_nearest_pivots_only():
+    rng = np.random.default_rng(4)
+    x, pivots = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
+    prefixes = ann.nearest_pivots(x, pivots, 6)
+    whole = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
+    assert (prefixes == whole[:, :6]).all() and (ann.nearest_pivots(x, pivots, 99) == whole).all()
+    begin, rows, places = ann.inverted_files(prefixes, 40)
+    for p in range(40):
+        got = dict(zip(rows[begin[p]:begin[p + 1]], places[begin[p]:begin[p + 1]]))
+        assert got == {i: prefixes[i].tolist().index(p) for i in range(300) if p in prefixes[i]}
+
+
+def test_shared_places_rank_as_the_footrule_does(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, pivots, q = rng.normal(size=(200, 6)), rng.normal(size=(30, 6)), rng.normal(size=(1, 6))
+    n = 10
+    prefixes, asked = ann.nearest_pivots(x, pivots, n), ann.nearest_pivots(q, pivots, n)
+
+    def footrule(a, b):  # a pivot that one lacks stands just behind its end
+        place = lambda seq, p: list(seq).index(p) if p in seq else n
+        return sum(abs(place(a, p) - place(b, p)) for p in {*a, *b})
+    distance = np.array([footrule(p, asked[0]) for p in prefixes])
+    monkeypatch.setattr(ann, "SHARE", 0.1)
+    monkeypatch.setattr(ann, "RERANKED", 1)
+    _, found, _ = ann.search_shard(np.arange(200), x, prefixes, 30, np.array([7]), q, asked, 20)
+    assert sorted(distance[found])[-1] <= sorted(distance)[19]
+
+
+@pytest.mark.parametrize("shard_rows", [400, 100000])
+def test_recall_by_shard_size_and_not_by_cores(spark, monkeypatch, shard_rows):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(ann, "RERANKED", 8)
+    hits = 0
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    best = {i: set(np.argsort(-score[i])[:20].tolist()) for i in range(0, 4000, 20)}
+    for r in ann.nearest(df).collect():
+        hits += r["vec_id"] in best[r["query_id"]]
+    assert hits / (20 * len(best)) >= 0.9
