@@ -18,11 +18,14 @@ then token within the class), so it is normalised and cheap. A document's score
 is the sum over all its words of log p(word | both sides).
 
 Training predicts every place of every document once: round ``turn`` masks the
-places whose number in the document is ``turn`` modulo the number of rounds. In
-each round every task runs its own Adagrad over the documents of its partition;
-the tasks' weights, weighted by tokens, are averaged by a tree reduction, so
-what is gathered grows with the partitions and what reaches the driver does not.
-Scoring then covers every place of every document.
+places whose number in the document is ``turn`` modulo the number of rounds.
+Texts are split once, into arrays of token ids, which all rounds and the
+scoring read. Documents are dealt to trainers by a digest of id and text, a
+trainer for ``TRAINER_TOKENS`` tokens, so the result does not depend on the
+files. In each round every trainer runs its own Adagrad over its documents; the
+weights, weighted by tokens, are averaged by a tree reduction, so what is
+gathered grows with the corpus and what reaches the driver does not. Scoring
+then covers every place of every document.
 
 Defined cases: null and empty texts have no tokens and score 0; rows with equal
 or null doc_ids are scored one by one; an empty table gives an empty result;
@@ -48,7 +51,9 @@ SIDE = 2
 WIDTH = 16
 ROUNDS = 2
 RATE = 0.15
-STEP = 1024
+STEP = 512
+SCORED = 2048
+TRAINER_TOKENS = 2_500_000
 END, START, SYMBOLS = 256, 257, 258  # of the spelling model; the others are bytes
 BACKOFF = 4.0  # weight of the lower order in the spelling model
 HELD = 1 << 20
@@ -199,25 +204,32 @@ def contexts(ids: np.ndarray, first: np.ndarray, places: np.ndarray, beyond: int
     return out
 
 
-def _softmax(z, at):
-    """Probabilities of each row (in place), and the logarithm of one of them."""
-    z -= z.max(axis=1, keepdims=True)
+def _softmax(z, at, safe):
+    """Exponentials of each row (in place), their sum, and the logarithm of
+    the probability of one of them. ``safe``: no entry can overflow."""
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
     rows = np.arange(len(z))
     own = z[rows, at]
     np.exp(z, out=z)
-    total = z.sum(axis=1)
+    total = z @ np.ones(z.shape[1], z.dtype)
     return z, total, own - np.log(total)
 
 
 def forward(weights, around, target):
     """Log-probabilities of the targets, and what the gradient needs."""
     e, place, w, b, wc, bc, wi, bi = weights
-    seen = e[around]
-    total = np.einsum("nkd,kd->nd", seen, place)
+    seen = [e[around[:, k]] for k in range(2 * SIDE)]
+    total = sum(x * p for x, p in zip(seen, place))
     hidden = np.tanh(total @ w + b)
     of, within = np.divmod(target, wc.shape[1])
-    by_class, n_class, log_class = _softmax(hidden @ wc + bc, of)
-    by_word, n_word, log_word = _softmax(hidden @ wi + bi[of], within)
+    # the hidden units are within -1 and 1
+    safe_class = np.abs(wc).sum(0).max() + np.abs(bc).max() < 60
+    safe_word = np.abs(wi).sum(0).max() + np.abs(bi).max() < 60
+    by_class, n_class, log_class = _softmax(hidden @ wc + bc, of, safe_class)
+    z = hidden @ wi
+    z += bi[of]
+    by_word, n_word, log_word = _softmax(z, within, safe_word)
     return log_class + log_word, (seen, total, hidden, of, within, by_class, n_class, by_word, n_word)
 
 
@@ -234,15 +246,16 @@ def gradient(weights, around, target):
     e, place, w, b, wc, bc, wi, bi = weights
     _, (seen, total, hidden, of, within, dc, n_class, di, n_word) = forward(weights, around, target)
     n, rows = len(target), np.arange(len(target))
-    dc /= (n * n_class)[:, None]
-    di /= (n * n_word)[:, None]
+    dc *= (1 / (n * n_class))[:, None]
+    di *= (1 / (n * n_word))[:, None]
     dc[rows, of] -= 1 / n
     di[rows, within] -= 1 / n
     dh = (dc @ wc.T + di @ wi.T) * (1 - hidden ** 2)
     dt = dh @ w.T
-    every = slice(None)
-    return [_row_sums(around.ravel(), (dt[:, None, :] * place).reshape(-1, WIDTH)), (every, np.einsum("nkd,nd->kd", seen, dt)),
-            (every, total.T @ dh), (every, dh.sum(0)), (every, hidden.T @ dc), (every, dc.sum(0)), (every, hidden.T @ di), _row_sums(of, di)]
+    every, ones = slice(None), np.ones(n, dc.dtype)
+    de = np.concatenate([dt * p for p in place])
+    return [_row_sums(around.T.ravel(), de), (every, np.stack([np.einsum("nd,nd->d", x, dt) for x in seen])),
+            (every, total.T @ dh), (every, ones @ dh), (every, hidden.T @ dc), (every, ones @ dc), (every, hidden.T @ di), _row_sums(of, di)]
 
 
 def places_of(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -250,40 +263,76 @@ def places_of(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return np.flatnonzero((np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))) % rounds == turn)
 
 
+def tokenised(docs: DataFrame, words: dict) -> DataFrame:
+    """(doc_id, mark, ids, fixed) of every row: its token ids, and the part of
+    its score that no context changes (words within their tokens, spellings).
+    ``mark`` deals documents to trainers: a digest of id and text."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("doc_id", "text"))
+
+    def run(batches):
+        words = shared.value
+        for batch in batches:
+            for part in chunks(batch):
+                data, offsets = utf8(part.column(1))
+                found, starts, ends, first = word_hashes(data, offsets, ALNUM, lower=True)
+                ids, logs = token_ids(found, words)
+                rare = np.flatnonzero(ids == 0)
+                logs[rare] = spelled(LOWER[data], starts[rare], ends[rare], words["spelling"])
+                sums = np.r_[0.0, np.cumsum(logs)]
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists, pa.array(sums[first[1:]] - sums[first[:-1]])], ["doc_id", "mark", "ids", "fixed"])
+
+    return arrow_map(rows, run, "doc_id long, mark long, ids array<int>, fixed double")
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All token ids of a batch, and the first of each document (n + 1)."""
+    lists = batch.column(batch.schema.get_field_index("ids"))
+    first = np.asarray(lists.offsets)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), (first - first[0]).astype(np.int64)
+
+
 def train(docs: DataFrame, words: dict, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Weights averaged over the tasks, round by round."""
-    spark = docs.sparkSession
-    weights = start_weights(words["classes"])
+    """The network's weights, trained on ``docs``."""
+    return train_tokens(scratch(tokenised(docs, words), "lm-tokens"), words["classes"], rounds)
+
+
+def train_tokens(tokens: DataFrame, classes: int, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights averaged over the trainers, round by round. Documents are dealt
+    to trainers, and put in order there, by their mark, and the number of
+    trainers follows the number of tokens, so neither the files nor the cores
+    change the result."""
+    spark = tokens.sparkSession
+    weights = start_weights(classes)
     shapes = [w.shape for w in weights]
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    words = spark.sparkContext.broadcast(words)
-    for turn in range(rounds):
+    total = tokens.agg(F.sum(F.size("ids").cast("long"))).first()[0] or 0
+    trainers = max(1, -(-total // TRAINER_TOKENS))
+    dealt = tokens.filter(F.size("ids") > 0).select("mark", "ids").repartition(trainers, "mark").sortWithinPartitions("mark")
+    for turn in range(rounds if total else 0):
         shared = spark.sparkContext.broadcast(weights)
 
         def run(batches, turn=turn, shared=shared):
             weights = [w.copy() for w in shared.value]
             squares = [np.full_like(w, 1e-2) for w in weights]
-            beyond, tokens = len(weights[0]) - 1, 0
+            beyond, seen = len(weights[0]) - 1, 0
             for batch in batches:
-                for part in chunks(batch):
-                    found, _, _, first = word_hashes(*utf8(part.column(0)), ALNUM, lower=True)
-                    ids, _ = token_ids(found, words.value)
-                    places = places_of(first, turn, rounds)
-                    tokens += len(found)
-                    for k in range(0, len(places), STEP):
-                        own = places[k:k + STEP]
-                        for w, s, (at, g) in zip(weights, squares, gradient(weights, contexts(ids, first, own, beyond), ids[own])):
-                            s[at] += g * g
-                            w[at] -= RATE * g / np.sqrt(s[at])
-            if tokens:
+                ids, first = _ids(batch)
+                places = places_of(first, turn, rounds)
+                seen += len(ids)
+                for k in range(0, len(places), STEP):
+                    own = places[k:k + STEP]
+                    for w, s, (at, g) in zip(weights, squares, gradient(weights, contexts(ids, first, own, beyond), ids[own])):
+                        s[at] += g * g
+                        w[at] -= RATE * g / np.sqrt(s[at])
+            if seen:
                 flat = np.concatenate([w.ravel() for w in weights]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(flat * tokens).tobytes()], pa.binary())], ["tokens", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(flat * seen).tobytes()], pa.binary())], ["tokens", "weights"])
 
-        parts = arrow_map(texts, run, "tokens long, weights binary").rdd.map(lambda r: (r.tokens, np.frombuffer(bytes(r.weights))))
-        tokens, flat = parts.treeAggregate((0, 0.0), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
-        if not tokens:
-            break
-        flat, weights, at = flat / tokens, [], 0
+        parts = arrow_map(dealt, run, "tokens long, weights binary").rdd.map(lambda r: (r.tokens, np.frombuffer(bytes(r.weights))))
+        n, flat = parts.treeAggregate((0, 0.0), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
+        flat, weights, at = flat / n, [], 0
         for shape in shapes:
             size = int(np.prod(shape))
             weights.append(flat[at:at + size].reshape(shape).astype(np.float32))
@@ -293,30 +342,30 @@ def train(docs: DataFrame, words: dict, rounds: int = ROUNDS) -> list[np.ndarray
 
 def score(docs: DataFrame, words: dict, weights: list[np.ndarray]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over all tokens)."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, weights))
+    return score_tokens(tokenised(docs, words), weights)
+
+
+def score_tokens(tokens: DataFrame, weights: list[np.ndarray]) -> DataFrame:
+    shared = tokens.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        words, weights = shared.value
+        weights = shared.value
         beyond = len(weights[0]) - 1
         for batch in batches:
-            for part in chunks(batch):
-                data, offsets = utf8(part.column(1))
-                found, starts, ends, first = word_hashes(data, offsets, ALNUM, lower=True)
-                ids, logs = token_ids(found, words)
-                rare = np.flatnonzero(ids == 0)
-                logs[rare] = spelled(LOWER[data], starts[rare], ends[rare], words["spelling"])
-                for k in range(0, len(ids), STEP):
-                    own = np.arange(k, min(k + STEP, len(ids)))
-                    logs[own] += forward(weights, contexts(ids, first, own, beyond), ids[own])[0]
-                sums = np.r_[0.0, np.cumsum(logs)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])], ["doc_id", "n_tokens", "log_likelihood"])
+            ids, first = _ids(batch)
+            logs = np.zeros(len(ids))
+            for k in range(0, len(ids), SCORED):
+                own = np.arange(k, min(k + SCORED, len(ids)))
+                logs[own] = forward(weights, contexts(ids, first, own, beyond), ids[own])[0]
+            sums = np.r_[0.0, np.cumsum(logs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]] + batch.column(2).to_numpy(zero_copy_only=False))], ["doc_id", "n_tokens", "log_likelihood"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(docs, run, "doc_id long, n_tokens long, log_likelihood double")
+    return arrow_map(tokens.select("doc_id", "ids", "fixed"), run, "doc_id long, n_tokens long, log_likelihood double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     words = vocabulary(docs)
-    scored = score(docs, words, train(docs, words))
+    tokens = scratch(tokenised(docs, words), "lm-tokens")
+    scored = score_tokens(tokens, train_tokens(tokens, words["classes"]))
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -683,3 +683,45 @@ def test_recall_by_shard_size_and_not_by_cores(spark, monkeypatch, shard_rows):
     for r in ann.nearest(df).collect():
         hits += r["vec_id"] in best[r["query_id"]]
     assert hits / (20 * len(best)) >= 0.9
+
+
+# --- 8: one result in any layout, and a plain scorer ---------------------------
+
+def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAINER_TOKENS", 4000)  # several trainers
+    rng = random.Random(9)
+    rows = [(k, prose(rng.randrange(60), VOCAB + ["the", "of"], rng)) for k in range(300)] + [(1, "twice"), (1, "twice"), (None, None)]
+    scores = []
+    for parts in (1, 8):
+        docs = docs_of(spark, rows).repartition(parts)
+        words = lm.vocabulary(docs)
+        got = lm.score(docs, words, lm.train(docs, words)).collect()
+        scores.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["log_likelihood"]) for r in got))
+    assert [x[:3] for x in scores[0]] == [x[:3] for x in scores[1]]
+    assert np.allclose([x[3] for x in scores[0]], [x[3] for x in scores[1]], rtol=1e-5)
+
+
+def test_scores_equal_a_plain_loop_over_words(spark):
+    rng = random.Random(10)
+    rows = [(k, prose(rng.randrange(1, 40), VOCAB, rng)) for k in range(80)] + [(900, "never met words"), (901, "ab"), (902, "")]
+    docs = docs_of(spark, rows)
+    words = lm.vocabulary(docs)
+    weights = lm.train(docs, words)
+    e, place, w, b, wc, bc, wi, bi = [x.astype(float) for x in weights]
+    token = dict(zip(words["known"].tolist(), zip(words["token"].tolist(), words["within"].tolist())))
+
+    def log_softmax(z):
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    for r in lm.score(docs, words, weights).collect():
+        text = dict(rows)[r["doc_id"]].encode()
+        hashes, starts, ends, _ = common.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), common.ALNUM, True)
+        ids = [token.get(h, (0, None))[0] for h in hashes.tolist()]
+        total = 0.0
+        for i, h in enumerate(hashes.tolist()):
+            around = [ids[i + d] if 0 <= i + d < len(ids) else len(e) - 1 for d in (-2, -1, 1, 2)]
+            hidden = np.tanh(sum(e[a] * p for a, p in zip(around, place)) @ w + b)
+            of, at = divmod(ids[i], wc.shape[1])
+            total += log_softmax(hidden @ wc + bc)[of] + log_softmax(hidden @ wi + bi[of])[at]
+            total += token[h][1] if h in token else lm.spelled(np.frombuffer(text.lower(), np.uint8), starts[i:i + 1], ends[i:i + 1], words["spelling"])[0]
+        assert r["n_tokens"] == len(ids) and abs(r["log_likelihood"] - total) < 1e-3 * max(1, abs(total))
