@@ -194,8 +194,12 @@ def token_ids(found: np.ndarray, words: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(ids: np.ndarray, first: np.ndarray, places: np.ndarray, beyond: int = VOCABULARY) -> np.ndarray:
     """Token ids around places (columns -SIDE .. -1, 1 .. SIDE), cut at documents."""
-    doc = np.searchsorted(first[1:], places, side="right")
-    begin, end = first[doc], first[doc + 1]
+    if len(places) * 4 > len(ids):
+        sizes = np.diff(first)
+        begin, end = np.repeat(first[:-1], sizes)[places], np.repeat(first[1:], sizes)[places]
+    else:
+        doc = np.searchsorted(first[1:], places, side="right")
+        begin, end = first[doc], first[doc + 1]
     out = np.empty((len(places), 2 * SIDE), ids.dtype)
     for k, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         at = places + shift
@@ -320,12 +324,16 @@ def train_tokens(tokens: DataFrame, classes: int, rounds: int = ROUNDS) -> list[
             for batch in batches:
                 ids, first = _ids(batch)
                 places = places_of(first, turn, rounds)
+                around, targets = contexts(ids, first, places, beyond), ids[places]
                 seen += len(ids)
                 for k in range(0, len(places), STEP):
-                    own = places[k:k + STEP]
-                    for w, s, (at, g) in zip(weights, squares, gradient(weights, contexts(ids, first, own, beyond), ids[own])):
-                        s[at] += g * g
-                        w[at] -= RATE * g / np.sqrt(s[at])
+                    for w, s, (at, g) in zip(weights, squares, gradient(weights, around[k:k + STEP], targets[k:k + STEP])):
+                        own = s[at] + g * g
+                        s[at] = own
+                        np.sqrt(own, out=own)
+                        g /= own
+                        g *= RATE
+                        w[at] -= g
             if seen:
                 flat = np.concatenate([w.ravel() for w in weights]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(flat * seen).tobytes()], pa.binary())], ["tokens", "weights"])
@@ -353,10 +361,9 @@ def score_tokens(tokens: DataFrame, weights: list[np.ndarray]) -> DataFrame:
         beyond = len(weights[0]) - 1
         for batch in batches:
             ids, first = _ids(batch)
-            logs = np.zeros(len(ids))
+            logs, around = np.zeros(len(ids)), contexts(ids, first, np.arange(len(ids)), beyond)
             for k in range(0, len(ids), SCORED):
-                own = np.arange(k, min(k + SCORED, len(ids)))
-                logs[own] = forward(weights, contexts(ids, first, own, beyond), ids[own])[0]
+                logs[k:k + SCORED] = forward(weights, around[k:k + SCORED], ids[k:k + SCORED])[0]
             sums = np.r_[0.0, np.cumsum(logs)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]] + batch.column(2).to_numpy(zero_copy_only=False))], ["doc_id", "n_tokens", "log_likelihood"])
 
