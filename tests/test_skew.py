@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import evals_df, prompts_df, rollouts_df
-from rollout_tables.operators.reports import group_advantage
+from rollout_tables.operators.reports import group_advantage, group_stats
 from rollout_tables.operators.rewards import score_rollouts
+from rollout_tables.session import materialise
 
 SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -51,3 +52,17 @@ def test_hot_prompt_and_position(spark, skew_conf):
     assert "isFinalPlan=true" in plan
     assert "SortMergeJoin(skew=true)" in plan  # the hot prompt partition was split
     assert adv.filter(F.col("prompt_id") == 1).count() == 1500
+
+
+def test_hot_group_is_split_in_the_join_to_its_statistics(spark, skew_conf):
+    """I1 as the report job runs it: the only join of the plan is that to the
+    written statistics."""
+    rows = spark.range(6000).select(F.concat(F.lit("r"), F.col("id")).alias("rollout_id"),
+                                    F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("prompt_id"),
+                                    (F.col("id") % 7 / 7).alias("reward"))
+    scored = materialise(rows.repartition(8), "skew-scored")
+    out = group_advantage(scored, stats=materialise(group_stats(scored), "skew-stats"))
+    got = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(got) == 6000 and sum(r["group_size"] == 2001 for r in got) == 2001
+    assert plan.count("SortMergeJoin") == 1 and "SortMergeJoin(skew=true)" in plan
