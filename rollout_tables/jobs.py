@@ -6,6 +6,7 @@
     python -m rollout_tables.jobs tokens   --input token_rows --output masked --max-len 2048 --pad-id 0
     python -m rollout_tables.jobs index    --evals e --output index [--mate scaled] [--buckets 2000]
     python -m rollout_tables.jobs worklist --rollouts r --prompts p --evals e --output positions
+    python -m rollout_tables.jobs parse    --rollouts r --output answers [--strip-think]
     python -m rollout_tables.jobs score    --rollouts r --prompts p (--evals e | --index index) --output rewards
     python -m rollout_tables.jobs report   --rewards rewards --output reports
     python -m rollout_tables.jobs completions --rollouts r --output reports
@@ -27,6 +28,7 @@ from rollout_tables.operators import splits as S
 from rollout_tables.operators import tokens as T
 from rollout_tables.operators.evals import fen_values, position_children, positions_to_evaluate, scored_evals
 from rollout_tables.operators.index import open_index, write_index
+from rollout_tables.operators.objects import stored_answers
 from rollout_tables.operators.rewards import score_rollouts
 from rollout_tables.session import build_session, materialise
 from rollout_tables.sources import datasets as DS
@@ -89,6 +91,11 @@ def completions(spark, a):
     R.completion_sample(rollouts).write.mode("overwrite").parquet(os.path.join(a.output, "sample"))
 
 
+def parse(spark, a):
+    """PARSE: the answers as shredded variants, which score takes as rollouts."""
+    stored_answers(_read(spark, a.rollouts, a.format), strip_think=a.strip_think).write.mode("overwrite").parquet(a.output)
+
+
 def score(spark, a):
     """REWARD: one reward per rollout. Without an index the lookup tables are
     written first, so that the joins read scans and AQE can split a hot
@@ -150,6 +157,10 @@ def main(argv=None):
     c = sub.add_parser("completions")
     for arg in ("--rollouts", "--output"):
         c.add_argument(arg, required=True)
+    o = sub.add_parser("parse")
+    for arg in ("--rollouts", "--output"):
+        o.add_argument(arg, required=True)
+    o.add_argument("--strip-think", action="store_true")
     r = sub.add_parser("score")
     for arg in ("--rollouts", "--prompts", "--output"):
         r.add_argument(arg, required=True)
@@ -165,7 +176,7 @@ def main(argv=None):
     a = p.parse_args(argv)
     spark = build_session()
     {"split": split, "prep-sft": prep_sft, "prep-rl": prep_rl, "tokens": tokens, "index": index, "worklist": worklist,
-     "score": score, "report": report, "completions": completions}[a.job](spark, a)
+     "parse": parse, "score": score, "report": report, "completions": completions}[a.job](spark, a)
 
 
 if __name__ == "__main__":

@@ -16,8 +16,13 @@ PARSED_COLUMNS = ["json_state", "pred_move", "pred_advantage", "pred_score", "pr
                   "think_tokens"]
 
 
+def completion_of(rollouts: DataFrame, completion_col: str) -> Column:
+    """The completion as text."""
+    return C.completion_text(F.col(completion_col), rollouts.schema[completion_col].dataType)
+
+
 def _text(rollouts: DataFrame, completion_col: str, strip_think: bool) -> Column:
-    text = C.completion_text(F.col(completion_col), rollouts.schema[completion_col].dataType)
+    text = completion_of(rollouts, completion_col)
     return C.without_think(text) if strip_think else text
 
 
@@ -43,8 +48,7 @@ def scan_completions(rollouts: DataFrame, completion_col: str = "completion", st
 
 
 def _whole_think(df: DataFrame, rollouts: DataFrame, completion_col: str) -> DataFrame:
-    text = C.completion_text(F.col(completion_col), rollouts.schema[completion_col].dataType)
-    return df.withColumn("think_tokens", C.think_tokens(text))
+    return df.withColumn("think_tokens", C.think_tokens(completion_of(rollouts, completion_col)))
 
 
 def label_by_category(scanned: DataFrame, categories: list[str] | None = None) -> DataFrame:

@@ -24,7 +24,8 @@ from rollout_tables.functions import scores
 from rollout_tables.operators.evals import (
     after_move, fen_values, position_children, resolve_positions, scored_evals, top_n, with_children,
 )
-from rollout_tables.operators.parse import label_by_category, parse_completions, scan_completions
+from rollout_tables.operators.objects import is_stored, read_labels
+from rollout_tables.operators.parse import PARSED_COLUMNS, label_by_category, parse_completions, scan_completions
 from rollout_tables.session import materialise
 
 NEXT, ADV, FINAL, MLM, LAST, SORT = ("FIND_NEXT_BEST_MOVE", "FIND_ADVANTAGED_PLAYER", "FIND_FINAL_SCORE",
@@ -150,9 +151,13 @@ def parsed_rollouts(rollouts: DataFrame, strip_think: bool = False) -> DataFrame
     user categories, which may read any). Of a score label only the known ones
     matter to the rules; any other text (possibly the whole completion)
     becomes ``''``."""
+    return known_scores(parse_completions(_narrow(rollouts), strip_think=strip_think).drop("completion"))
+
+
+def known_scores(parsed: DataFrame) -> DataFrame:
     score = F.col("pred_score")
-    parsed = parse_completions(_narrow(rollouts), strip_think=strip_think).drop("completion")
-    return parsed.withColumn("pred_score", F.when(score.isin(*SCORE_LABELS), score).otherwise(F.lit("")))
+    return parsed.select("rollout_id", "prompt_id", "step", *[c for c in PARSED_COLUMNS if c != "pred_score"],
+                         F.when(score.isin(*SCORE_LABELS), score).otherwise(F.lit("")).alias("pred_score"))
 
 
 def _narrow(rollouts: DataFrame) -> DataFrame:
@@ -190,7 +195,8 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     """G7 + G8 + G9: one row per rollout with the category reward
     (``reward_raw``), the reasoning penalty and the final ``reward``.
 
-    ``rollouts`` has ``rollout_id``, ``prompt_id``, ``step``, ``completion``;
+    ``rollouts`` has ``rollout_id``, ``prompt_id``, ``step``, ``completion``, or
+    is a written table of ``objects.stored_answers``, which is not parsed again (and fixes ``strip_think``);
     ``prompts`` is the output of ``rl_prompts`` (``record_id`` = prompt id);
     ``extra_rules`` maps further categories to reward columns (K3);
     ``categories`` restricts the job to those categories; ``mate="scaled"``
@@ -218,7 +224,10 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     if wanted(NEXT):
         pr = with_children(pr, position_children(evals) if children is None else children,
                            F.coalesce(cat == NEXT, F.lit(False)), "prompt_id")
-    if extra_rules:
+    if is_stored(rollouts):
+        x = join_prompts(known_scores(read_labels(rollouts, None if extra_rules else categories)), pr)
+        x = x if categories is None else x.filter(cat.isin(*categories))
+    elif extra_rules:
         x = join_prompts(parsed_rollouts(rollouts, strip_think), pr)
         x = x if categories is None else x.filter(cat.isin(*categories))
     else:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rollout_tables.operators.evals import fen_values, position_children
 from rollout_tables.operators.index import EvaluationIndex, open_index, write_index
 from rollout_tables.operators.messages import rl_prompts
+from rollout_tables.operators.objects import stored_answers
 from rollout_tables.session import checkpoint_dir
 from rollout_tables.sources import fixtures as fx
 
@@ -75,6 +76,10 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _materialise(spark, sf_dir, "rollouts", lambda: fx.rollouts(spark, sf_dir), "rollout_id")
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _materialise(spark, sf_dir, "answers", lambda: stored_answers(rollouts(spark, sf_dir)), "rollout_id")
+
+
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _materialise(spark, sf_dir, "token_rows", lambda: fx.token_rows(spark, sf_dir), "conv_id")
 

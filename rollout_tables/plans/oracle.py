@@ -569,7 +569,9 @@ FROM scored GROUP BY ROLLUP (category)""",
 SELECT step, rollout_id, substr(completion, 1, 200) AS sample FROM f WHERE length(completion) > 100""",
 }
 # the same rows by another way
-ORACLE["completion_parse_messages"] = ORACLE["completion_parse"]
+ORACLE["completion_parse_messages"] = ORACLE["completion_parse_stored"] = ORACLE["completion_parse"]
+ORACLE["completion_lists_stored"] = ORACLE["completion_lists"]
+ORACLE["reward_all_stored"] = ORACLE["reward_all"]
 ORACLE["position_lookup_indexed"] = ORACLE["position_lookup"]
 ORACLE["reward_all_indexed"] = ORACLE["reward_all"]
 ORACLE["token_rows_by_turn"] = ORACLE["token_rows_masked"]

@@ -25,6 +25,7 @@ from rollout_tables.operators import rewards as G
 from rollout_tables.operators import sketches as SK
 from rollout_tables.operators import splits as S
 from rollout_tables.operators.conversations import masked_conversations
+from rollout_tables.operators.objects import read_labels
 from rollout_tables.operators.parse import parse_completions
 from rollout_tables.operators.tokens import mask_token_rows, token_audit
 from rollout_tables.plans import inputs as I
@@ -188,13 +189,26 @@ def completion_parse_strip_think(spark, sf):
 
 
 def completion_lists(spark, sf):
-    p = parse_completions(I.rollouts(spark, sf))
+    return _lists(parse_completions(I.rollouts(spark, sf)))
+
+
+def _lists(p):
     return p.select("rollout_id", "json_state", _join(F.col("pred_missing"), "|").alias("pred_missing"),
                     F.size("pred_missing").cast("long").alias("n_missing"),
                     _join(F.col("pred_fens"), "|").alias("pred_fens"),
                     F.size("pred_fens").cast("long").alias("n_fens"))
 
 
+def completion_parse_stored(spark, sf):
+    """The parse from answers stored as shredded variants."""
+    p = read_labels(I.answers(spark, sf))
+    return flat(p.select("rollout_id", "json_state", "pred_move", "pred_advantage", "pred_score", "think_tokens"))
+
+
+def completion_lists_stored(spark, sf):
+    return _lists(read_labels(I.answers(spark, sf), ["MLM_ON_MOVES", "SORT_FENS"]))
+
+
 # --- LOOKUPS ---------------------------------------------------------------
 
 def positions_to_evaluate(spark, sf):
@@ -295,6 +309,12 @@ def reward_all_indexed(spark, sf):
     return flat(s.select("rollout_id", "category", "json_state", "reward_raw", "think_tokens", "penalty", "reward"))
 
 
+def reward_all_stored(spark, sf):
+    """The score of stored answers: completions are not read."""
+    s = G.score_rollouts(I.answers(spark, sf), I.prompts(spark, sf), I.evals(spark, sf), children=I.children(spark, sf), fens=I.fens(spark, sf))
+    return flat(s.select("rollout_id", "category", "json_state", "reward_raw", "think_tokens", "penalty", "reward"))
+
+
 def reward_all_mate_scaled(spark, sf):
     return flat(_scored(spark, sf, mate="scaled").select("rollout_id", "category", "reward_raw", "reward"))
 
@@ -390,6 +410,8 @@ QUERIES = {
     "completion_parse_messages": completion_parse_messages,
     "completion_parse_strip_think": completion_parse_strip_think,
     "completion_lists": completion_lists,
+    "completion_parse_stored": completion_parse_stored,
+    "completion_lists_stored": completion_lists_stored,
     "positions_to_evaluate": positions_to_evaluate,
     "position_lookup": position_lookup,
     "position_lookup_indexed": position_lookup_indexed,
@@ -407,6 +429,7 @@ QUERIES = {
     "reward_linear": reward_linear,
     "reward_all": reward_all,
     "reward_all_indexed": reward_all_indexed,
+    "reward_all_stored": reward_all_stored,
     "reward_all_mate_scaled": reward_all_mate_scaled,
     "reward_weighted": reward_weighted,
     "group_advantage": group_advantage,

@@ -37,6 +37,10 @@ def test_split_prep_score_report(spark, tmp_dir):
     assert set(spark.read.parquet(f"{tmp_dir}/work").columns) == {"kind", "key"}
     jobs.main(["completions", "--rollouts", f"{tmp_dir}/rollouts", "--output", f"{tmp_dir}/reports"])
     assert spark.read.parquet(f"{tmp_dir}/reports/lengths").first()["n"] == len(rows)
+    jobs.main(["parse", "--rollouts", f"{tmp_dir}/rollouts", "--output", f"{tmp_dir}/answers"])
+    jobs.main(["score", "--rollouts", f"{tmp_dir}/answers", "--prompts", f"{tmp_dir}/prompts",
+               "--evals", f"{tmp_dir}/evals", "--output", f"{tmp_dir}/again"])
+    assert {r["rollout_id"]: r["reward"] for r in spark.read.parquet(f"{tmp_dir}/again").collect()} == rows
     fx.token_rows(spark, SF001).write.parquet(f"{tmp_dir}/tokens")
     jobs.main(["tokens", "--input", f"{tmp_dir}/tokens", "--output", f"{tmp_dir}/masked", "--max-len", "64", "--pad-id", "0"])
     assert {r["n"] for r in spark.read.parquet(f"{tmp_dir}/masked").selectExpr("size(labels) AS n").collect()} == {64}
