@@ -1,20 +1,23 @@
 """Detection of personal data in a text, and keyed surrogates for it.
 
-Kinds: email, ipv4, phone (7 to 15 digits: after + or 00 in any grouping, else
+Kinds: email (domains of any script), ipv4, ipv6 (with a digit, and not only
+zeros and ones), iban (with valid check digits, grouped or not), phone (7 to 15 digits: after + or 00 in any grouping, else
 in groups, with a trunk 0, or as a plain run of 10 or 11; other plain runs,
 dates, spans of years and decimals are no phones), card (13 to 19 digits, plain
 or in groups, that pass the Luhn check), secret (a token after a name such as
-token or key, quoted or not) and name (after an honorific, in Latin, Cyrillic
-or Greek script).
+token or key, quoted or not) and name (after an honorific, which may be in
+capitals where the name is, in Latin, Cyrillic or Greek script: up to four
+parts, with initials, hyphens, apostrophes and particles).
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
-KINDS = ["email", "phone", "ipv4", "card", "secret", "name"]
+KINDS = ["email", "phone", "ipv4", "ipv6", "iban", "card", "secret", "name"]
 
 # Honorifics by gender, and given and family names by script and
 # gender from which surrogate names start.
@@ -40,9 +43,19 @@ ENDINGS = {"latin": "son", "cyrillic": "енко", "greek": "ίδης"}
 
 GIVEN_ENDINGS = {"latin": {"f": "na", "m": "rn", "x": "el"}, "cyrillic": {"f": "на", "m": "рн", "x": "ель"}, "greek": {"f": "να", "m": "ρος", "x": "ελ"}}
 
-_TITLES = "|".join(sorted((t for ts in HONORIFICS.values() for t in ts), key=len, reverse=True))
+# Particles of family names, what may follow a name and is no part
+# of it, and honorifics that in capitals are mostly other abbreviations.
+PARTICLES = ["al", "bin", "da", "das", "de", "del", "della", "den", "der", "di", "dos", "du", "el", "ibn", "la", "le", "ten", "ter", "van", "von", "y", "zu"]
+SUFFIXES = ["Jr", "Sr", "II", "III", "IV", "MD", "PhD", "Esq"]
+NOT_IN_CAPITALS = ["MS", "SR"]
+
+_TITLES = sorted((t for ts in HONORIFICS.values() for t in ts), key=len, reverse=True)
+_CAPITALS = [t.upper() for t in _TITLES if t.upper() not in NOT_IN_CAPITALS]
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я]"
-_NAME = rf"{_CAPITAL}[^\W\d_]+"
+_NAME = rf"{_CAPITAL}(?:[^\W\d_]+|['’]{_CAPITAL}[^\W\d_]+)(?:['’-]{_CAPITAL}[^\W\d_]+)*"
+_INITIAL = rf"{_CAPITAL}\."
+_BETWEEN = rf" (?:(?:{'|'.join(PARTICLES)}) )*"
+_WHOLE = rf"(?:(?:{'|'.join(PARTICLES)}) )*(?:{_INITIAL} ?){{0,3}}{_NAME}(?:(?: {_INITIAL}){{0,2}}{_BETWEEN}(?!(?:{'|'.join(SUFFIXES)})\b){_NAME}){{0,3}}"
 NUMBERS = re.compile(r"[+(0-9][0-9 .()/\-]{6,}")  # where an address, phone or card can be
 _SEP = r"[ ./-]"
 _GROUP = rf"(?:(?<=\))\d{{1,12}}|{_SEP}{{1,2}}\d{{1,12}}|{_SEP}{{0,2}}\(\d{{1,5}}\))"  # one way to read any run
@@ -55,12 +68,16 @@ DIGITS = re.compile(
     rf"|(?P<phone>(?<![\w+.])(?:(?:\+|00) ?(?:\(\d{{1,5}}\)|\d+){_GROUP}*|(?:\d{{1,3}}{_SEP})?\(\d{{2,5}}\){_GROUP}+"
     rf"|0\d{{1,5}}(?:{_SEP}\d{{2,8}})+|\d{{1,4}}(?:{_SEP}\d{{2,4}}){{1,5}}|0\d{{6,14}}|\d{{10,11}})(?![\w]))")
 LAST_GROUP = re.compile(r"[ ./-]*\(?\d+\)?\Z")
-EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[^\W_]+(?:-+[^\W_]+)*\.)+(?:xn--[a-z0-9-]*[a-z0-9]|[A-Za-z]{2,}|[^\W\d_]{2,})")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:])")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?!\w)")
 SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|key)[\"']?\s*[=:]\s*(?:([\"'])(?P<quoted>[0-9a-f]{16,}|[A-Za-z0-9_\-]{24,})\1"
                     r"|(?P<bare>[0-9a-f]{16,}(?![\w(\[/+=-])|(?=[a-z_+/-]*\d)[a-z0-9_+/-]{24,}={0,2}(?![\w(\[.])))")
-NAME = re.compile(rf"(?P<title>{_TITLES})\.? (?P<name>{_NAME}(?: {_NAME})?)")
-
+NAME = re.compile(rf"(?P<title>{'|'.join(_TITLES)}|(?:{'|'.join(_CAPITALS)})(?=\.? [^a-zß-öø-ÿα-ωа-я]{{2}}))\.? (?P<name>{_WHOLE})")
+PART = re.compile(rf"{_NAME}|{_INITIAL}")
 WORD = re.compile(rf"(?<![^\W\d_]){_NAME}")
+HYPHENED = re.compile(r"[^-]+")  # the parts of a word
+WITHIN = re.compile(rf"\.?(?: |{_BETWEEN})?")  # between the parts of one name
 
 
 def luhn(digits: str) -> bool:
@@ -77,54 +94,73 @@ def script_of(word: str) -> str:
 
 
 def _gender(title: str) -> str:
-    return next(g for g, titles in HONORIFICS.items() if title in titles)
+    return next(g for g, titles in HONORIFICS.items() for t in titles if title in (t, t.upper()))
+
+
+def _plain(word: str) -> str:
+    """A word in capitals as the name is else written."""
+    return word.title().replace("’", "'") if word.isupper() else word.replace("’", "'")
+
+
+def iban_valid(compact: str) -> bool:
+    return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
 def _names(text: str) -> list[tuple[int, int, str, str]]:
     """Names after honorifics, and bare mentions of the same names in the text.
 
-    The parts of a name are entities of their own: family|script|word, and
-    gender|script|word for a given name, so the full name, title and family
-    name, and bare mentions agree. A title without gender takes the one that
+    The parts of a name are entities of their own: family|script|word for the
+    last (each half of a double name), gender|script|word for given names and
+    initial|script|letter, so the
+    full name, title and family name, and bare mentions agree; particles stay.
+    A title without gender takes the one that
     the text gives the full name elsewhere, else the family name."""
     titled = [m for m in NAME.finditer(text) if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"))]
     if not titled:
         return []
+    parts = [list(PART.finditer(text, *m.span("name"))) for m in titled]
+    known_as = [[_plain(p.group()) for p in ps] for ps in parts]
     genders: dict[str, set] = {}
-    for m in titled:
-        words = m.group("name").split(" ")
-        for known in {m.group("name"), words[-1]}:
+    for m, words in zip(titled, known_as):
+        for known in {" ".join(words), words[-1]}:
             genders.setdefault(known, set()).add(_gender(m.group("title")))
     out, bare = [], {}
-    for m in titled:
-        words, gender, at = m.group("name").split(" "), _gender(m.group("title")), m.start("name")
+    for m, ps, words in zip(titled, parts, known_as):
+        gender = _gender(m.group("title"))
         if gender == "x":
-            for known in (m.group("name"), words[-1]):
+            for known in (" ".join(words), words[-1]):
                 met = genders[known] - {"x"}
                 if len(met) == 1:
                     gender = next(iter(met))
                     break
                 if met:
                     break
-        for role, word in zip(["family"] if len(words) == 1 else [gender, "family"], words):
-            identity = f"{role}|{script_of(word)}|{word}"
-            out.append((at, at + len(word), "name", identity))
-            bare.setdefault(word, identity)
-            at += len(word) + 1
+        for role, p, word in zip([gender] * (len(words) - 1) + ["family"], ps, words):
+            if word.endswith("."):
+                out.append((p.start(), p.end() - 1, "name", f"initial|{script_of(word)}|{word[0]}"))
+                continue
+            for piece in HYPHENED.finditer(text, *p.span()):
+                written = _plain(piece.group())
+                identity = f"{role}|{script_of(written)}|{written}"
+                out.append((*piece.span(), "name", identity))
+                bare.setdefault(written, identity)
     taken = {start for start, *_ in out}
-    out += [(m.start(), m.end(), "name", bare[m.group()]) for m in WORD.finditer(text) if m.group() in bare and m.start() not in taken]
+    out += [(*p.span(), "name", bare[_plain(p.group())]) for m in WORD.finditer(text) for p in HYPHENED.finditer(text, *m.span())
+            if p.start() not in taken and _plain(p.group()) in bare]
     return out
 
 
-def mentions(found: list[tuple[int, int, str, str]]) -> int:
-    """Places of entities; a given and a family name side by side are one."""
-    return len(found) - sum(a[2] == b[2] == "name" and b[0] == a[1] + 1 and b[3].startswith("family|") and not a[3].startswith("family|") for a, b in zip(found, found[1:]))
+def mentions(found: list[tuple[int, int, str, str]], text: str) -> int:
+    """Places of entities; the parts of a name side by side are one."""
+    return len(found) - sum(a[2] == b[2] == "name" and (text[a[1]:b[0]] == "-" or not a[3].startswith("family|") and bool(WITHIN.fullmatch(text, a[1], b[0])))
+                            for a, b in zip(found, found[1:]))
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, identity) without overlaps, in order. The identity is
     what all spellings of one entity share: digits of a phone or card, the
-    lower-case address, and of a name each part by itself (``_names``)."""
+    lower-case or compressed address, the account without its grouping, and of
+    a name each part by itself (``_names``)."""
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m.group().lower()) for m in EMAIL.finditer(text)]
@@ -138,6 +174,20 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             kind = "other"
         if kind != "other":
             found.append((m.start(), m.start() + len(written), kind, identity))
+    if ":" in text:
+        for m in IPV6.finditer(text):
+            try:
+                address = ipaddress.IPv6Address(m.group())
+            except ValueError:
+                continue
+            if any(map(str.isdigit, m.group())) and int(address) > 1:
+                found.append((*m.span(), "ipv6", address.compressed))
+    for m in IBAN.finditer(text):
+        written = m.group()
+        while not iban_valid(compact := re.sub("[ -]", "", written)) and (cut := max(written.rfind(" "), written.rfind("-"))) > 0:
+            written = written[:cut]  # a word that stands behind it
+        if iban_valid(compact):
+            found.append((m.start(), m.start() + len(written), "iban", compact))
     if "=" in text or ":" in text:
         found += [(*m.span(which), "secret", m.group(which)) for m in SECRET.finditer(text) for which in ("quoted", "bare") if m.group(which)]
     found += _names(text)
@@ -209,6 +259,11 @@ def surrogate(key: bytes, kind: str, identity: str, attempt: int) -> str:
         else:  # reserved, never assigned
             first, second = 240 + draw(15), draw(256)
         return ".".join(map(str, (first, second, draw(256), 1 + draw(254))))
+    if kind == "ipv6":
+        return ":".join(["2001", "db8", *(f"{1 + draw(0xFFFF):x}" for _ in range(6))])
+    if kind == "iban":
+        body = "".join("0123456789"[draw(10)] if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw(26)] for c in identity[4:])
+        return next(made for n in range(2, 99) if iban_valid(made := f"{identity[:2]}{n:02d}{body}"))
     if kind == "card":
         body = identity[0] + "".join(str(draw(10)) for _ in identity[1:-1])
         return next(body + str(c) for c in range(10) if luhn(body + str(c)))
@@ -218,6 +273,8 @@ def surrogate(key: bytes, kind: str, identity: str, attempt: int) -> str:
         return identity[:keep] + "".join(str(draw(10)) for _ in range(len(identity) - keep + more))
     if kind == "name":
         role, script, _ = identity.split("|", 2)
+        if role == "initial":
+            return f"{role}|{script}|{''.join(SYLLABLES[script][draw(16)][0] for _ in range(1 + attempt)).capitalize()}"
         if role in "fm" and not attempt:
             return f"{role}|{script}|{GIVEN[script, role][draw(len(GIVEN[script, role]))]}"
         made = "".join(SYLLABLES[script][draw(16)] for _ in range((4 if role == "family" else 2) + attempt)).capitalize()
@@ -227,11 +284,14 @@ def surrogate(key: bytes, kind: str, identity: str, attempt: int) -> str:
 
 def spell(kind: str, identity: str, written: str) -> str:
     """A surrogate identity in the format of the replaced spelling."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "iban"):
         digits = iter(identity)
-        return "".join([*(next(digits) if c.isdigit() else c for c in written), *digits])
+        return "".join([*(next(digits) if c.isalnum() else c for c in written), *digits])
     if kind == "name":
-        return identity.split("|", 2)[2]
+        made = identity.split("|", 2)[2]
+        return made.upper() if len(written) > 1 and written.isupper() else made
+    if kind == "ipv6" and any(c.isupper() for c in written):
+        return identity.upper()
     if kind == "email" and written.isupper():
         return identity.upper()
     return identity

@@ -16,12 +16,13 @@ need no key of their own.
 Defined cases: null and empty texts pass unchanged; digits that fail the check
 of a card number, and numbers of other shapes, are left alone; repeated rows
 get equal results; empty tables give empty results; all columns are handed
-through, and an ``n_chars`` column follows the new text.
+through, whatever their names, and an ``n_chars`` column follows the new text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +32,34 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 from rollout_tables.llm import entities
 from rollout_tables.llm.common import arrow_map, refresh_n_chars, scratch, table
 
-KEY = b"surrogates"  # a deployment passes its own secret
+KEY = b"surrogates"  # for tests: known to everybody
+KEY_SETTING = "spark.rollout_tables.surrogateKey"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The secret of the session, under which surrogates are drawn. Without
+    one the test key serves, and whoever knows it can look surrogates up."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are drawn under a public key", stacklevel=2)
+        return KEY
+    return key.encode()
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that the table does not have."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def _mark(text: str) -> str:
     return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
 
 
-def _split(docs: DataFrame, wanted: bool) -> DataFrame:
-    """Rows with entities, with their mark and distinct entities, or the rows without."""
+def _split(docs: DataFrame, wanted: bool, added: list[str]) -> DataFrame:
+    """Rows with entities, with their mark and distinct entities under the two
+    names of ``added``, or the rows without."""
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
@@ -53,10 +73,10 @@ def _split(docs: DataFrame, wanted: bool) -> DataFrame:
                         marks.append(_mark(text))
                         lists.append(sorted({f"{kind}:{identity}" for _, _, kind, identity in found}))
             part = batch.take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks, pa.string()), pa.array(lists, pa.list_(pa.string()))], [*names, "__mark", "__found"]) if wanted else part
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks, pa.string()), pa.array(lists, pa.list_(pa.string()))], [*names, *added]) if wanted else part
 
     schema = StructType(list(docs.schema.fields))
-    return arrow_map(docs, run, schema.add("__mark", StringType()).add("__found", ArrayType(StringType())) if wanted else schema)
+    return arrow_map(docs, run, schema.add(added[0], StringType()).add(added[1], ArrayType(StringType())) if wanted else schema)
 
 
 def surrogate_table(found: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -85,14 +105,21 @@ def surrogate_table(found: DataFrame, key: bytes = KEY) -> DataFrame:
         attempt += 1
 
 
-def replace_entities(docs: DataFrame, key: bytes = KEY, counted: bool = False) -> DataFrame:
-    """``docs`` with entities replaced in ``text``; with ``counted`` also
-    n_entities, the number of places replaced."""
+def replace_entities(docs: DataFrame, key: bytes | None = None, counted: bool = False) -> DataFrame:
+    """``docs`` with entities replaced in ``text``, under the key of the
+    session where none is given; with ``counted`` also n_entities, the number
+    of places replaced (in place of a column of that name).
+
+    The surrogates of each distinct text are written before the rows meet
+    them, so that a text with many copies is split between tasks."""
+    key = session_key(docs.sparkSession) if key is None else key
+    docs = docs.drop("n_entities") if counted else docs
     names, at = docs.columns, docs.columns.index("text")
-    holding = scratch(_split(docs, True), "pii-texts")
-    mapping = surrogate_table(holding.select(F.explode("__found").alias("entity")), key)
-    pairs = (holding.select("__mark", F.explode("__found").alias("entity")).distinct().join(mapping, "entity")
-             .groupBy("__mark").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__new")))
+    mark, listed, new, count = (_free(n, names) for n in ("__mark", "__found", "__new", "__count"))
+    holding = scratch(_split(docs, True, [mark, listed]), "pii-texts")
+    mapping = surrogate_table(holding.select(F.explode(listed).alias("entity")), key)
+    pairs = scratch(holding.select(mark, F.explode(listed).alias("entity")).distinct().join(mapping, "entity")
+                    .groupBy(mark).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(new)), "pii-pairs")
 
     def run(batches):
         for batch in batches:
@@ -104,16 +131,16 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, counted: bool = False) -
                     parts += [text[end:start], entities.spell(kind, new[f"{kind}:{identity}"].split(":", 1)[1], text[start:stop])]
                     end = stop
                 texts.append("".join([*parts, text[end:]]))
-                counts.append(entities.mentions(found))
+                counts.append(entities.mentions(found, text))
             arrays = [*batch.columns[:len(names)]]
             arrays[at] = pa.array(texts, arrays[at].type)
             arrays = refresh_n_chars(names, arrays, at)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64())], [*names, "__count"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64())], [*names, count])
 
-    schema = StructType(list(docs.schema.fields)).add("__count", "long")
-    changed = arrow_map(holding.drop("__found").join(pairs, "__mark").drop("__mark"), run, schema)
-    every = _split(docs, False).withColumn("__count", F.lit(0).cast("long")).unionByName(changed)
-    return every.withColumnRenamed("__count", "n_entities") if counted else every.drop("__count")
+    schema = StructType(list(docs.schema.fields)).add(count, "long")
+    changed = arrow_map(holding.drop(listed).join(pairs, mark).drop(mark), run, schema)
+    every = _split(docs, False, []).withColumn(count, F.lit(0).cast("long")).unionByName(changed)
+    return every.withColumnRenamed(count, "n_entities") if counted else every.drop(count)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
