@@ -8,6 +8,12 @@ whole 64 bits. Every bucket gives the links of a spanning star, not all pairs,
 so a large group of copies stays linear; the components come from alternating
 large-star and small-star rounds over those links.
 
+A bucket with more comparisons than ``BUCKET_PAIRS`` is not worked on in one
+task: its fingerprints are posted again under the halves of their other
+segment, where two that are at most 3 bits apart agree in one half up to 1 bit.
+Of those, 16 bits are open, so at most 65,536 fingerprints are posted under one
+key, however many the table holds.
+
 Defined cases: null and empty texts have fingerprint zero and are linked like
 any other; a text of fewer words than a shingle is one shingle; rows with equal
 doc_id or equal text are rows of their own; a null doc_id gets a fingerprint
@@ -31,6 +37,7 @@ from rollout_tables.llm.common import arrow_map, scratch, table
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
+BUCKET_PAIRS = 1 << 24  # comparisons of a bucket in one task
 PIECE_BYTES = 4 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 # byte value -> its 8 bits, most significant first, in the 8 byte lanes of a word
@@ -154,33 +161,75 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     posts = (fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("segment"), low.alias("value")), F.struct(F.lit(1).alias("segment"), high.alias("value")))).alias("s"))
              .select("fp", "s.segment", "s.value", F.explode(flips).alias("flip"))
              .select("fp", (F.col("segment").cast("long") * F.lit(1 << 32) + F.col("value").bitwiseXOR(F.col("flip"))).alias("key"), (F.col("flip") == 0).alias("own")))
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            part = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "own"))
-            if rest is not None:
-                part = tuple(np.concatenate(x) for x in zip(rest, part))
-            keys = part[0]
-            last = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last bucket may go on in the next batch
-            yield from emit(*(x[:last] for x in part))
-            rest = tuple(x[last:] for x in part)
-        if rest is not None:
-            yield from emit(*rest)
-
-    def emit(keys, values, own):
-        if not len(keys):
-            return
+    first = scratch(_meet(posts, max_bits, BUCKET_PAIRS), "simhash-met")
+    found, large = first.filter("key is null").select("a", "b"), first.filter("key is not null")
+    if not large.isEmpty():
+        other = F.when(F.col("key") >= F.lit(1 << 32), F.col("a").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("a", 32))
+        halves = F.array(F.struct(F.lit(0).alias("half"), other.bitwiseAND(F.lit(0xFFFF)).alias("value")), F.struct(F.lit(1).alias("half"), F.shiftright(other, 16).alias("value")))
+        again = (large.select(F.col("a").alias("fp"), "key", "own", F.explode(halves).alias("s"))
+                 .select("fp", "key", "own", "s.half", "s.value", F.explode(F.expr("transform(sequence(-1, 15), i -> if(i < 0, 0L, shiftleft(1L, i)))")).alias("flip"))
+                 .select("fp", F.xxhash64("key", "half", F.col("value").bitwiseXOR(F.col("flip"))).alias("key"), (F.col("own") & (F.col("flip") == 0)).alias("own")))
+        found = found.unionByName(_meet(again, max_bits, None).select("a", "b"))
+    return found.distinct()
+
+
+def _meet(posts: DataFrame, max_bits: int, most: int | None) -> DataFrame:
+    """posts (fp, key, own: is it posted or does it probe) -> links (a, b) of
+    each key's bucket, with a null key; the rows of buckets that need more than
+    ``most`` comparisons come back as they are (a, key, own). Rows posted come
+    first, so a bucket is known to be large before it is held."""
+    def bucket(parts):
+        fps, own = (np.concatenate(x) for x in zip(*parts))
+        return _star_edges(fps, own, max_bits) if own.any() and len(fps) > 1 else (fps[:0], fps[:0])
+
+    def whole(keys, fps, own):
+        """The links of buckets that are complete and small, and the others' rows."""
         begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         size = np.diff(np.r_[begin, len(keys)])
         posted = np.add.reduceat(own.astype(np.int64), begin)
-        found = [_star_edges(values[b:b + n], own[b:b + n], max_bits) for b, n in zip(*(x[(size > 1) & (posted > 0)] for x in (begin, size)))]
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        big = posted * size > most if most is not None else np.zeros(len(size), bool)
+        pairs = [_star_edges(fps[b:b + n], own[b:b + n], max_bits) for b, n in zip(*(x[(size > 1) & (posted > 0) & ~big] for x in (begin, size)))]
+        rows = np.repeat(big, size)
+        return pairs, (keys[rows], fps[rows], own[rows])
+
+    def made(pairs, rows):
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.bool_())], names)
+        keys, fps, own = rows
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.nulls(len(fps), pa.int64()), pa.array(keys), pa.array(own)], names)
 
-    met = posts.repartition("key").sortWithinPartitions("key")
-    return arrow_map(met.select("key", "fp", "own"), run, "a long, b long").distinct()
+    def run(batches):
+        key, held, large = None, [], False  # the bucket that may go on in the next batch
+        for batch in batches:
+            keys, fps, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "own"))
+            if not len(keys):
+                continue
+            goes_on = np.searchsorted(keys, key, "right") if key is not None else 0
+            if goes_on:
+                held.append((fps[:goes_on], own[:goes_on]))
+            if held and most is not None and sum(int(o.sum()) for _, o in held) * sum(len(f) for f, _ in held) > most:
+                large = True
+            if large and held:
+                yield from made([], (np.full(sum(len(f) for f, _ in held), key), *(np.concatenate(x) for x in zip(*held))))
+                held = []
+            if goes_on == len(keys):
+                continue
+            if held:
+                yield from made([bucket(held)], (keys[:0], fps[:0], own[:0]))
+            last = np.searchsorted(keys, keys[-1])
+            if last > goes_on:
+                yield from made(*whole(keys[goes_on:last], fps[goes_on:last], own[goes_on:last]))
+            last = max(last, goes_on)
+            key, held, large = keys[-1], [(fps[last:], own[last:])], False
+        if held:
+            pairs, rows = whole(np.full(sum(len(f) for f, _ in held), key), *(np.concatenate(x) for x in zip(*held)))
+            yield from made(pairs, rows)
+
+    names = ["a", "b", "key", "own"]
+    met = posts.repartition("key").sortWithinPartitions("key", F.desc("own"))
+    return arrow_map(met.select("key", "fp", "own"), run, "a long, b long, key long, own boolean")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -195,10 +244,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     before, state = None, digest(now)
     while state != before and state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        # written first, so that the join to a star's centre can be split
+        least = scratch(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), name + "-least")
         large = (both.join(least, F.col("a") == F.col("u")).filter("b > a")
                  .select(F.col("b").alias("a"), F.least("m", "u").alias("b")).filter("a <> b").distinct())
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = scratch(large, name + "-large")
+        least = scratch(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), name + "-least")
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = scratch(small.filter("a <> b").distinct(), name)
         before, state = state, digest(now)
@@ -211,8 +262,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS)
     rows = scratch(fingerprints(docs, k), "simhash-fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), max_bits), "simhash-links")
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = scratch(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    smallest = scratch(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-smallest")
     by_fp = rooted.select(F.col("fp").alias("own_fp"), "root").join(smallest, "root")
     return rows.join(by_fp, F.col("fp") == F.col("own_fp")).select("doc_id", "mark", "fp", "root", "component_id")
 

@@ -534,7 +534,10 @@ def test_simhash(spark, tmp_dir, monkeypatch):
     assert sorted((min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()), key=repr) == sorted((d for d, _ in found), key=repr)
 
 
-def test_links_and_components_of_near_fingerprints(spark):
+@pytest.mark.parametrize("most", [simhash.BUCKET_PAIRS, 40, 3000])
+def test_links_and_components_of_near_fingerprints(spark, monkeypatch, most):
+    """Also where buckets are split by the halves of the other segment."""
+    monkeypatch.setattr(simhash, "BUCKET_PAIRS", most)
     rng = random.Random(6)
     centre = rng.getrandbits(64)
     prints = {rng.getrandbits(64) for _ in range(200)}
@@ -543,7 +546,7 @@ def test_links_and_components_of_near_fingerprints(spark):
     prints = sorted(prints)
     as_long = [p - (1 << 64) if p >> 63 else p for p in prints]
     edges = simhash.links(spark.createDataFrame([(p,) for p in as_long], "fp long"))
-    assert edges.count() < 8 * len(prints)
+    assert edges.count() < (8 if most > 1 << 20 else 50) * len(prints)
     root = {r.node: r.root for r in simhash.components(edges).collect()}
     want = simple_components(list(zip(range(len(prints)), prints)))
     groups, names = {}, {}
@@ -553,6 +556,23 @@ def test_links_and_components_of_near_fingerprints(spark):
     assert all(len(g) == 1 for g in groups.values()) and all(len(n) == 1 for n in names.values())
 
 
+def test_a_bucket_over_several_batches_is_found_large(spark, monkeypatch):
+    """5,000 fingerprints that share a segment: none is lost, whether their
+    bucket is worked on whole or posted again."""
+    rng = random.Random(9)
+    low = rng.getrandbits(32)
+    prints = {(rng.getrandbits(32) << 32) | low for _ in range(2400)}
+    prints |= {p ^ (1 << rng.randrange(32, 64)) ^ (1 << rng.randrange(64)) for p in list(prints)}
+    as_long = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").repartition(5)
+    whole = rows_of(simhash.components(simhash.links(as_long)))
+    assert len(whole) >= len(prints) // 2 - 10  # all but the roots
+    met = []
+    inner = simhash._meet
+    monkeypatch.setattr(simhash, "_meet", lambda posts, bits, most: met.append(most) or inner(posts, bits, most))
+    monkeypatch.setattr(simhash, "BUCKET_PAIRS", 1 << 18)
+    assert rows_of(simhash.components(simhash.links(as_long))) == whole and met == [1 << 18, None]
+
+
 # --- empty tables, and the pipeline --------------------------------------------------------
 
 def test_empty_documents(spark):
