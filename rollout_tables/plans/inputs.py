@@ -20,7 +20,7 @@ from rollout_tables.operators.evals import fen_values, position_children
 from rollout_tables.operators.index import EvaluationIndex, open_index, write_index
 from rollout_tables.operators.messages import rl_prompts
 from rollout_tables.operators.objects import stored_answers
-from rollout_tables.session import checkpoint_dir
+from rollout_tables.session import checkpoint_dir, compiled
 from rollout_tables.sources import fixtures as fx
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -31,24 +31,30 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
     return os.path.join(checkpoint_dir(spark), "derived", spark.sparkContext.applicationId, tag)
 
 
-def _materialise(spark: SparkSession, sf_dir: str, name: str, build, by: str) -> DataFrame:
-    """Written spread over ``by``: the driver tables are single files of one
-    row group, which one task reads."""
+def _parts(spark: SparkSession) -> int:
+    return 2 * spark.sparkContext.defaultParallelism
+
+
+def _materialise(spark: SparkSession, sf_dir: str, name: str, build, by: str | None = None) -> DataFrame:
+    """Written spread over ``by``, or as built: what is derived row by row from
+    a table that is spread already is not shuffled again."""
+    compiled(spark)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
     path = _WRITTEN.get(key)
     if path is None:
         path = os.path.join(_folder(spark, sf_dir), name)
-        build().repartition(2 * spark.sparkContext.defaultParallelism, by).write.mode("overwrite").parquet(path)
+        df = build() if by is None else build().repartition(_parts(spark), by)
+        df.write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "records", lambda: fx.records(spark, sf_dir), "record_id")
+    return _materialise(spark, sf_dir, "records", lambda: fx.records(spark, sf_dir, _parts(spark)))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "prompts", lambda: rl_prompts(records(spark, sf_dir)), "record_id")
+    return _materialise(spark, sf_dir, "prompts", lambda: rl_prompts(records(spark, sf_dir)))
 
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +79,11 @@ def index(spark: SparkSession, sf_dir: str) -> EvaluationIndex:
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "rollouts", lambda: fx.rollouts(spark, sf_dir), "rollout_id")
+    return _materialise(spark, sf_dir, "rollouts", lambda: fx.rollouts(spark, sf_dir, _parts(spark)))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _materialise(spark, sf_dir, "answers", lambda: stored_answers(rollouts(spark, sf_dir)), "rollout_id")
+    return _materialise(spark, sf_dir, "answers", lambda: stored_answers(rollouts(spark, sf_dir)))
 
 
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 
+def compiled(spark: SparkSession) -> None:
+    """Keeps generated code within HotSpot's limit in a session that was not
+    made by ``build_session``: above it a stage runs interpreted."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(limit)) > int(DEFAULT_CONF[limit]):
+        spark.conf.set(limit, DEFAULT_CONF[limit])
+
+
 def materialise(df, name: str = "table"):
     """Writes ``df`` as parquet under the shared checkpoint folder and reads
     it back: cuts lineage (nothing is recomputed when an executor is lost or
@@ -72,6 +80,7 @@ def materialise(df, name: str = "table"):
     import uuid
 
     spark = df.sparkSession
+    compiled(spark)
     path = os.path.join(checkpoint_dir(spark), "materialised", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

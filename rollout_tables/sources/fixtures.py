@@ -62,9 +62,16 @@ def _prefix(n: Column) -> Column:
     return F.slice(F.array(*[F.lit(m) for m in OPENING]), 1, n.cast("int"))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _spread(df: DataFrame, parts: int | None) -> DataFrame:
+    """The narrow source rows dealt over ``parts`` tasks: the driver tables are
+    single files of few row groups, each of which one task reads, and the
+    derived rows are several times wider."""
+    return df if parts is None else df.repartition(parts, *df.columns)
+
+
+def records(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Instruction records, one per order."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    o = _spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), parts)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     s1 = o.select(
         k.alias("record_id"), F.col("o_orderpriority").alias("task"), _pick(KINDS, k % 7).alias("KIND"),
@@ -92,13 +99,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rollouts(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Rollouts, one per line item (a few with a prompt that does not exist,
     or none): ``prompt_id`` is the order, so groups have
     1 to 17 completions. The completion shape cycles through the parse cases
     by ``l_partkey % 10``."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    li = _spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), parts)
     okey, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     rollout_id = F.concat_ws("-", okey.cast("string"), F.col("l_linenumber").cast("string"),
                              part.cast("string"), supp.cast("string"),
@@ -164,8 +171,9 @@ def evals(spark: SparkSession, sf_dir: str, prompts: DataFrame | None = None) ->
     from rollout_tables.operators.messages import rl_prompts
     if prompts is None:
         prompts = rl_prompts(records(spark, sf_dir))
+    # each position once before its successors are made of it
     base = (prompts.select(F.array_join("moves", " ").alias("position_key"))
-            .unionByName(opening_positions(spark)))
+            .unionByName(opening_positions(spark))).distinct()
     pool = F.array(*[F.lit(m) for m in OPENING])
     children = base.select(F.explode(F.transform(
         pool, lambda m: F.concat_ws(" ", F.nullif(F.col("position_key"), F.lit("")), m))).alias("position_key"))
