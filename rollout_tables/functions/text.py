@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Unicode white space: what \s matches in a (?U) pattern
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(c: Column) -> Column:
-    """``str.strip()``: all leading and trailing whitespace, not just spaces."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """``str.strip()``: all leading and trailing whitespace, not just spaces.
+    Trimmed from both ends: a pattern tries every place of the text."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def strip_chars(c: Column, chars: str) -> Column:

@@ -118,17 +118,22 @@ def fen_values(evals: DataFrame) -> DataFrame:
         F.min_by("eval_value", "position_key").alias("fen_cp"))
 
 
-def with_children(resolved: DataFrame, children: DataFrame, wanted: Column, row_id: str) -> DataFrame:
+def with_children(resolved: DataFrame, children: DataFrame, wanted: Column, row_id: str, move: Column | None = None) -> DataFrame:
     """Attaches the successors of the resolved position to the ``wanted``
     rows. The start position is read by a scalar subquery; all other rows get
-    a unique non-matching key, so they do not pile up in one partition."""
+    a unique non-matching key, so they do not pile up in one partition. Given
+    a ``move``, only the successor by that move is kept of each list."""
     names = ["child_moves", "child_cps", "child_white"]
     start = children.filter(F.col("parent_key") == "").select(F.struct(*names).alias("s")).scalar()
     at_start = wanted & (F.col("resolved_key") == "")
     key = F.when(wanted & (F.col("resolved_key") != ""), F.col("resolved_key")).otherwise(
         F.concat(F.lit("\u0000"), F.col(row_id).cast("string")))
     joined = resolved.withColumn("parent_key", key).join(children, "parent_key", "left").drop("parent_key")
-    return joined.withColumns({n: F.when(at_start, start[n]).otherwise(F.col(n)) for n in names})
+    lists = {n: F.when(at_start, start[n]).otherwise(F.col(n)) for n in names}
+    if move is not None:
+        place = F.nullif(F.array_position(lists["child_moves"], move), F.lit(0)).cast("int")
+        lists = {n: F.slice(c, place, 1) for n, c in lists.items()}
+    return joined.withColumns(lists)
 
 
 def after_move(values: str, move: Column) -> Column:

@@ -4,9 +4,11 @@ rollout (G1-G10, with H1/H2 scaling).
 One pass over the rollouts: where a completion is scanned, the object in it is
 found and only that travels on with a few short labels; the rows meet their
 resolved prompt once, and behind it the one label that the category's rule
-reads is taken from the object. The position after a predicted move is looked
-up in the successor arrays that the prompt brings along, so only SORT_FENS
-needs another lookup, and only its rows pass it.
+reads is taken from the object. The prompt brings only what its category's rule
+reads. The position after a predicted move is looked up behind that, in the
+successor arrays of the resolved position: a prompt that brought these along
+would carry every known successor through the join. Only FIND_NEXT_BEST_MOVE
+and SORT_FENS need another lookup, and only their rows pass it.
 """
 
 from __future__ import annotations
@@ -188,6 +190,18 @@ def join_prompts(parsed: DataFrame, resolved_prompts: DataFrame) -> DataFrame:
                                "position_found": F.coalesce(F.col("position_found"), F.lit(False))})
 
 
+def _of_own_rule(resolved: DataFrame) -> DataFrame:
+    """Resolved prompts with only what the rule of their own category reads
+    of the evaluation: they pass the join to the rollouts."""
+    def of(value, *names):
+        return F.when(F.col("category").isin(*names), value)
+
+    moves = F.transform(F.slice("top_moves", 1, TOP_N_MOVES), lambda m: F.struct(m["move"].alias("move")))
+    return resolved.select("prompt_id", "category", "position_found", of(F.col("resolved_key"), NEXT).alias("resolved_key"),
+                           of(F.col("eval_value"), ADV, FINAL).alias("eval_value"),
+                           of(F.col("best_move"), MLM, LAST).alias("best_move"), of(moves, MLM, LAST).alias("top_moves"))
+
+
 def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, scaling: str = "tanh",
                    draw_partial_credit: bool = False, extra_rules: dict[str, Column] | None = None,
                    categories: list[str] | None = None, mate: str = "as_cp", children: DataFrame | None = None,
@@ -209,8 +223,8 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     Plan: one scan of the rollouts; one join to the resolved prompts; one
     projection. Where SORT_FENS is wanted, the narrow rows are then written
     once (under ``spark.checkpoint.dir``, while this frame is built), and only
-    those with a usable FEN list pass the FEN lookup; all others are read
-    back as they are.
+    those with a usable FEN list pass the FEN lookup, only predicted next moves
+    that to the successors; all others are read back as they are.
     """
     evals = scored_evals(evals, mate)
     cat = F.col("category")
@@ -221,9 +235,8 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     pr = resolve_positions(prompts, evals)
     if "record_id" in pr.columns and "prompt_id" not in pr.columns:
         pr = pr.withColumnRenamed("record_id", "prompt_id")
-    if wanted(NEXT):
-        pr = with_children(pr, position_children(evals) if children is None else children,
-                           F.coalesce(cat == NEXT, F.lit(False)), "prompt_id")
+    if not extra_rules:
+        pr = _of_own_rule(pr)
     if is_stored(rollouts):
         x = join_prompts(known_scores(read_labels(rollouts, None if extra_rules else categories)), pr)
         x = x if categories is None else x.filter(cat.isin(*categories))
@@ -234,7 +247,9 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
         x = label_rollouts(rollouts, pr, categories, strip_think)
     rules = {ADV: rule_advantaged_player(draw_partial_credit), FINAL: rule_final_score(),
              MLM: rule_missing_moves(), LAST: rule_last_move(), SORT: F.lit(PARSE_FAILURE)}
-    if wanted(NEXT):
+    children = position_children(evals) if children is None and wanted(NEXT) else children
+    if wanted(NEXT) and not wanted(SORT):
+        x = with_children(x, children, cat == NEXT, "rollout_id", F.col("pred_move"))
         rules[NEXT] = rule_next_best_move(scaling)
     rules = {name: rule for name, rule in rules.items() if wanted(name)}
     known = {NEXT, SORT, ADV, FINAL, MLM, LAST}
@@ -246,12 +261,17 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
     x = x.withColumn("reward_raw", reward)
     if wanted(SORT):
         usable = (cat == SORT) & (F.col("json_state") == "object") & (F.size("pred_fens") >= 2)
-        x = materialise(x.select(*keep, F.when(usable, F.col("pred_fens")).alias("pred_fens"),
+        of_next = [F.when(cat == NEXT, F.col(c)).alias(c) for c in ("resolved_key", "pred_move") if wanted(NEXT)]
+        x = materialise(x.select(*keep, F.when(usable, F.col("pred_fens")).alias("pred_fens"), *of_next,
                                  F.monotonically_increasing_id().alias("_row")), "labelled")
         lists = x.filter(F.col("pred_fens").isNotNull()).withColumn("n_fens", F.size("pred_fens"))
         walked = sort_fen_counts(lists, fen_values(evals) if fens is None else fens, "_row")
-        x = x.filter(F.col("pred_fens").isNull()).select(*keep).unionByName(
-            walked.withColumn("reward_raw", rule_sort_fens()).select(*keep))
+        others = x.filter(F.col("pred_fens").isNull() & ((cat != NEXT) if wanted(NEXT) else F.lit(True))).select(*keep)
+        others = others.unionByName(walked.withColumn("reward_raw", rule_sort_fens()).select(*keep))
+        if wanted(NEXT):
+            moves = with_children(x.filter(cat == NEXT), children, F.lit(True), "rollout_id", F.col("pred_move"))
+            others = others.unionByName(moves.withColumn("reward_raw", rule_next_best_move(scaling)).select(*keep))
+        x = others
     out = x.select(*keep).withColumn("penalty", reasoning_penalty(F.col("think_tokens")))
     return out.withColumn("reward", F.col("reward_raw") - F.col("penalty"))
 
