@@ -87,11 +87,12 @@ def with_prompt_inputs(records: DataFrame) -> DataFrame:
     inp = _text(records, "input")
     df = records.withColumns({"_top_moves": top_moves, "_top_fens": top_fens,
                               "_objs": F.from_json(F.concat(F.lit("["), inp, F.lit("]")), "ARRAY<MAP<STRING,VARIANT>>",
-                                                   {"allowSingleQuotes": "false"}),
-                              "_var": F.try_parse_json(inp)})
+                                                   {"allowSingleQuotes": "false"})})
     # as the only item of an array an object can have nothing after it
     df = df.withColumn("_obj", F.when(F.size("_objs") == 1, F.col("_objs")[0])).drop("_objs")
     obj, v = F.col("_obj"), F.col("_var")
+    # what else the text may be matters only where it is no object
+    df = df.withColumn("_var", F.when(obj.isNull(), F.try_parse_json(inp)))
     # exact (case-sensitive) keys; a repeated key reads its last value
     entries = F.map_entries(obj)
     df = df.withColumns({
