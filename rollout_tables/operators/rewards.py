@@ -28,7 +28,7 @@ from rollout_tables.operators.evals import (
 )
 from rollout_tables.operators.objects import is_stored, read_labels
 from rollout_tables.operators.parse import PARSED_COLUMNS, label_by_category, parse_completions, scan_completions
-from rollout_tables.session import materialise
+from rollout_tables.session import TABLE_CODEC, materialise
 
 NEXT, ADV, FINAL, MLM, LAST, SORT = ("FIND_NEXT_BEST_MOVE", "FIND_ADVANTAGED_PLAYER", "FIND_FINAL_SCORE",
                                     "MLM_ON_MOVES", "FIND_LAST_MOVE", "SORT_FENS")
@@ -263,7 +263,7 @@ def score_rollouts(rollouts: DataFrame, prompts: DataFrame, evals: DataFrame, sc
         usable = (cat == SORT) & (F.col("json_state") == "object") & (F.size("pred_fens") >= 2)
         of_next = [F.when(cat == NEXT, F.col(c)).alias(c) for c in ("resolved_key", "pred_move") if wanted(NEXT)]
         x = materialise(x.select(*keep, F.when(usable, F.col("pred_fens")).alias("pred_fens"), *of_next,
-                                 F.monotonically_increasing_id().alias("_row")), "labelled")
+                                 F.monotonically_increasing_id().alias("_row")), "labelled", TABLE_CODEC)
         lists = x.filter(F.col("pred_fens").isNotNull()).withColumn("n_fens", F.size("pred_fens"))
         walked = sort_fen_counts(lists, fen_values(evals) if fens is None else fens, "_row")
         others = x.filter(F.col("pred_fens").isNull() & ((cat != NEXT) if wanted(NEXT) else F.lit(True))).select(*keep)

@@ -20,7 +20,7 @@ from rollout_tables.operators.evals import fen_values, position_children
 from rollout_tables.operators.index import EvaluationIndex, open_index, write_index
 from rollout_tables.operators.messages import rl_prompts
 from rollout_tables.operators.objects import stored_answers
-from rollout_tables.session import checkpoint_dir, compiled
+from rollout_tables.session import TABLE_CODEC, checkpoint_dir, compiled
 from rollout_tables.sources import fixtures as fx
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -44,7 +44,7 @@ def _materialise(spark: SparkSession, sf_dir: str, name: str, build, by: str | N
     if path is None:
         path = os.path.join(_folder(spark, sf_dir), name)
         df = build() if by is None else build().repartition(_parts(spark), by)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=TABLE_CODEC)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
 
